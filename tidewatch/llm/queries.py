@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import mix, shard
+from tidewatch.llm import chat, decontam, mix, shard, tokencount
 from tidewatch.llm.common import table
 
 
@@ -18,8 +18,32 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_plan(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    trap = spark.createDataFrame([(-7, 0, "user", chat.TRAP_TEXT), (-7, 1, "assistant", chat.TRAP_TEXT)],
+                                 "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(trap)))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_chat_format": op2_chat_format,
     "op3_shard": op3_shard,
+    "op7_token_counts": op7_token_counts,
+    "op9_decontaminate": op9_decontaminate,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_sources": mix.MIX_SQL,
+    "op2_chat_format": chat.CHAT_SQL,
+    "op9_decontaminate": decontam.DECONTAM_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": mix.MIX_SQL}
