@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat, decontam, mix, shard, tokencount
+from tidewatch.llm import chat, decontam, mix, neardup, shard, tokencount
 from tidewatch.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents"), width=2).drop("text_md5")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -40,10 +44,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
     "op3_shard": op3_shard,
     "op7_token_counts": op7_token_counts,
+    "op8_near_duplicates": op8_near_duplicates,
     "op9_decontaminate": op9_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mix.MIX_SQL,
     "op2_chat_format": chat.CHAT_SQL,
+    "op8_near_duplicates": neardup.NEARDUP_SQL,
     "op9_decontaminate": decontam.DECONTAM_SQL,
 }
