@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat, decontam, mix, neardup, shard, tokencount
+from tidewatch.llm import ann, chat, decontam, langid, mix, neardup, quality, secrets, shard, tokencount
 from tidewatch.llm.common import table
 
 
@@ -25,6 +25,18 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(trap)))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,17 +51,26 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_chat_format": op2_chat_format,
     "op3_shard": op3_shard,
+    "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_token_counts": op7_token_counts,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontaminate": op9_decontaminate,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": mix.MIX_SQL,
     "op2_chat_format": chat.CHAT_SQL,
+    "op6_nearest_neighbours": ann.ANN_SQL,
     "op8_near_duplicates": neardup.NEARDUP_SQL,
     "op9_decontaminate": decontam.DECONTAM_SQL,
 }
