@@ -150,15 +150,16 @@ class PrefixCounter:
         A prefix splits like the whole text except for white space at its end, which then is one piece,
         for a contraction cut short, and inside a special string, which then is ordinary text.
         """
-        out, base = [0], 0
+        out, base, tail = [0], 0, ""
         for part, special in self._segments(text):
             if special:
-                before = out[len(out) - 1 - self._tail]
-                out += [before + self.count_plain(self._tail_text + part[:i]) for i in range(1, len(part))]
+                before = base - self.count_plain(tail)
+                out += [before + self.count_plain(tail + part[:i]) for i in range(1, len(part))]
                 base += 1
                 out.append(base)
-                self._tail, self._tail_text = 0, ""
+                tail = ""
                 continue
+            tail = "".join(PIECE.findall(part)[-2:])  # enough to tell how more text would join it
             at, run, run_base = 0, 0, base
             for piece in PIECE.findall(part):
                 table = self.table(piece.encode())
@@ -175,20 +176,11 @@ class PrefixCounter:
                         out.append(base + (2 if piece[:i + 1] in _SPLIT_CONTRACTIONS and piece[i + 1:] else table[size]))
                 base += table[-1]
                 at += len(piece)
-            self._tail_text = part[max(0, len(part) - self._tail_length(part)):]
-            self._tail = len(self._tail_text)
         return out
 
     def count_plain(self, text: str) -> int:
         return sum(self.table(p.encode())[-1] for p in PIECE.findall(text))
 
-    _tail, _tail_text = 0, ""
-
-    @staticmethod
-    def _tail_length(part: str) -> int:
-        """Length of the last two pieces, enough to tell how more text would join them."""
-        return sum(map(len, PIECE.findall(part)[-2:]))
-
 
 WHITE = regex.compile(r"\p{White_Space}")
 
