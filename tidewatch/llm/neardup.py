@@ -3,12 +3,14 @@
 1. One pass over the texts gives each row the digest of its shingle set, 32 band keys of 4 MinHash values
    and an odd sketch: the 128 samples folded into a 512-bit parity map.
 2. Rows with equal digests are one class; everything after works on classes.
-3. Each band bucket links its members to its smallest class. The XOR population count of two odd sketches
-   estimates their similarity and drops pairs far below the threshold; the rest is confirmed on full sets.
-4. Confirmed links are closed to components (alternating large-star and small-star steps). A bucket whose
-   members are all in one component needs nothing more; in the others, members of different components
-   are compared with each other as well, by sketch in the join itself, so no link between different texts
-   is lost to the choice of the smallest class.
+3. Each band bucket links its members to its most central class (the one that meets the most others over all
+   buckets). The XOR population count of two odd sketches estimates their similarity and drops pairs far below
+   the threshold; the rest is confirmed on full sets.
+4. Confirmed links are closed to components (alternating large-star and small-star steps). The members that
+   meet a centre in some bucket are its family. A family in one component needs nothing more. In the others the
+   members outside the largest component are compared with all members, in blocks of bounded size: by sketch,
+   then exactly on full sets. A block gives out only the links that join components, not all its pairs, so no
+   component is lost to the choice of the centre and no group is collected in one task.
 
 A pair at the threshold shares no band with a chance of (1 - 0.8^4)^32 = 5e-8; the sketch bound stands
 more than six deviations away from it.
@@ -39,6 +41,8 @@ SAMPLES, BAND_ROWS, SKETCH_BITS = 128, 4, 512
 BANDS = SAMPLES // BAND_ROWS
 #: Sketches farther apart than this are of sets with an estimated similarity under 0.5.
 MOST_BITS_APART = int(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * 0.5 / SKETCH_BITS)))
+#: Rows of a block in the comparison of a family's members, and columns of the matrix that counts what they share.
+BLOCK, _COLUMNS = 512, 4096
 #: Up to so many keys (about 40 bytes each) travel by broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 300_000
 _REMEMBERED_WORDS = 500_000
@@ -157,12 +161,9 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "a_n", "b_n"))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets have the similarity. Sets are made again, for the classes in pairs only."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = classes.join(wanted, "cid", "left_semi").select("cid", "digest", F.col("min_id").alias("_id"))
-    wanted = by_broadcast_if_small(wanted)
+def _full_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, width: int) -> DataFrame:
+    """(cid, shingles) of the wanted classes, made again from one text of each."""
+    wanted = by_broadcast_if_small(classes.join(cids.distinct(), "cid", "left_semi").select("cid", "digest", F.col("min_id").alias("_id")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,13 +178,101 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int
     texts = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
              .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "digest", "text"))
     # a doc_id may be repeated, so a class may come more than once: all alike
-    sets = cut(texts.mapInArrow(work, "cid long, shingles array<long>").dropDuplicates(["cid"]))
+    return cut(texts.mapInArrow(work, "cid long, shingles array<long>").dropDuplicates(["cid"]))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full shingle sets have the similarity."""
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"{x}_set"))
     common = F.size(F.array_intersect("a_set", "b_set"))
     return cut(pairs.join(side("b"), "b").join(side("a"), "a")
                .where(100 * common >= percent * (F.col("a_n") + F.col("b_n") - common)).select("a", "b"))
 
 
+def _common(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections where wanted, else 0."""
+    out = np.zeros(wanted.shape)
+    pairs = np.argwhere(wanted)
+    if len(pairs) <= 64:
+        for i, j in pairs:
+            out[i, j] = len(np.intersect1d(left[i], right[j], assume_unique=True))
+        return out
+    every = np.concatenate([*left, *right])
+    values, place, count = np.unique(every, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1  # only what is held twice can be common
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    shared = count[place] > 1
+    owner, place = owner[shared], number[place[shared]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for at in range(0, int(number[-1]) + 1, _COLUMNS):
+        lo, hi = np.searchsorted(place, [at, at + _COLUMNS])
+        part = np.zeros((len(left) + len(right), _COLUMNS), np.float32)
+        part[owner[lo:hi], place[lo:hi] - at] = 1
+        out += part[:len(left)] @ part[len(left):].T
+    return out
+
+
+def joining_links(left: list[tuple], right: list[tuple], percent: int) -> list[tuple[int, int]]:
+    """Links between rows (cid, comp, sketch, shingles) of two blocks that join components, a spanning forest of them."""
+    sketches = [np.array([r[2] for r in rows], np.int64).view(np.uint64) for rows in (left, right)]
+    apart = np.zeros((len(left), len(right)), np.int32)
+    for word in range(sketches[0].shape[1]):
+        apart += np.bitwise_count(sketches[0][:, None, word] ^ sketches[1][None, :, word])
+    comps = [np.array([r[1] for r in rows]) for rows in (left, right)]
+    n = [np.array([len(r[3]) for r in rows], np.float64) for rows in (left, right)]
+    small, large = np.minimum(n[0][:, None], n[1][None]), np.maximum(n[0][:, None], n[1][None])
+    wanted = (apart <= MOST_BITS_APART) & (comps[0][:, None] != comps[1][None]) & (100 * small >= percent * large)
+    if not wanted.any():
+        return []
+    common = _common([r[3] for r in left], [r[3] for r in right], wanted)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j in np.argwhere(wanted & (100 * common >= percent * (n[0][:, None] + n[1][None] - common))):
+        a, b = root(left[i][1]), root(right[j][1])
+        if a != b:
+            parent[a] = b
+            out.append((left[i][0], right[j][0]))
+    return out
+
+
+def _family_links(stars: DataFrame, labels: DataFrame, classes: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links that join components inside the families of star centres. stars: a (centre), b (member)."""
+    members = stars.select(F.col("a").alias("family"), F.col("b").alias("cid")).union(stars.select("a", F.col("a")).distinct())
+    members = members.join(labels, F.col("cid") == F.col("node"), "left").select("family", "cid", F.coalesce("comp", "cid").alias("comp"))
+    members = cut(members)
+    by_comp = members.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    by_family = by_comp.groupBy("family").agg(F.max_by("comp", "n").alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n")).where("n > inside and n > 2")
+    by_family = cut(by_family.select("family", "main", F.ceil((F.col("n") - F.col("inside")) / BLOCK).cast("int").alias("outer"),
+                                     F.ceil(F.col("inside") / BLOCK).cast("int").alias("inner")))
+    mixed = members.join(by_family, "family")
+    spread = lambda n: F.pmod(F.xxhash64("cid"), F.col(n)).cast("int")
+    mixed = mixed.withColumn("block", F.when(F.col("comp") == F.col("main"), F.col("outer") + spread("inner")).otherwise(spread("outer")))
+    sets = sets_of(mixed.select("cid"))
+    rows = mixed.join(classes.select("cid", "sketch"), "cid").join(sets, "cid")
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("outer") + F.col("inner") - 1)))
+    rows = rows.select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "cid", "comp", "sketch", "shingles", "outer")
+    rows = rows.where("i < outer").drop("outer")
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sketches = table.column("sketch").to_pylist()
+        sets = [np.asarray(x.values).view(np.uint64) for x in table.column("shingles")]
+        rows = list(zip(table.column("cid").to_pylist(), table.column("comp").to_pylist(), sketches, sets))
+        blocks = table.column("block").to_pylist()
+        one, two = ([r for r, b in zip(rows, blocks) if b == x] for x in (i, j))
+        links = joining_links(one, two, percent) if one and two else []
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+    return cut(rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, comp): for every node of the edges (a, b), the smallest node it is connected with."""
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -211,25 +300,16 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     bands = classes.select("cid", F.explode("bands").alias("bucket"))
-    buckets = cut(bands.groupBy("bucket").agg(F.min("cid").alias("rep"), F.count("*").alias("n")).where("n > 1"))
+    buckets = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     held = cut(bands.join(buckets, "bucket"))
-    stars = held.where("cid <> rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
-    links = _confirmed(docs, _likely(stars, classes, percent), classes, width, percent)
+    meets = held.groupBy("cid").agg(F.sum("n").alias("meets"))
+    centres = held.join(meets, "cid").groupBy("bucket").agg(F.max_by("cid", "meets").alias("centre"))
+    stars = cut(held.join(centres, "bucket").where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct())
+    sets_of = lambda cids: _full_sets(docs, classes, cids, width)
+    likely = cut(_likely(stars, classes, percent))
+    links = _confirmed(likely, sets_of(likely.select(F.explode(F.array("a", "b")).alias("cid"))), percent)
     labels = connected(links)
-
-    # buckets of three or more that hold different components: compare their members with each other
-    several = held.where("n > 2").join(labels, F.col("cid") == F.col("node"), "left").select(
-        "bucket", "cid", "rep", F.coalesce("comp", "cid").alias("comp"))
-    mixed = several.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    several = several.where("cid <> rep").join(mixed, "bucket", "left_semi").join(classes.select("cid", "sketch", "n_shingles"), "cid")
-    several = cut(several)
-    one, two = (several.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in ("cid", "comp", "sketch", "n_shingles")]) for x in "ab")
-    pairs = one.join(two, "bucket").where(
-        (F.col("a_cid") < F.col("b_cid")) & (F.col("a_comp") != F.col("b_comp"))
-        & (100 * F.least("a_n_shingles", "b_n_shingles") >= percent * F.greatest("a_n_shingles", "b_n_shingles"))
-        & (_bits_apart("a_sketch", "b_sketch") <= MOST_BITS_APART))
-    pairs = pairs.select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"), F.col("a_n_shingles").alias("a_n"), F.col("b_n_shingles").alias("b_n")).distinct()
-    more = _confirmed(docs, pairs, classes, width, percent)
+    more = _family_links(stars, labels, classes, sets_of, percent)
     if more.limit(1).count():
         labels = connected(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(more))
     labels = cut(labels)
