@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: The columns of ``documents``; stages carry these and no others.
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Up to so many keys (about 40 bytes each) travel by broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 300_000
 
 
 def word_count(text: Column) -> Column:
@@ -40,6 +42,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def by_broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
+    """The stored keys, marked for broadcast only if there are at most ``limit`` of them."""
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
+
+
+def hash_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows (all, if fewer) whose key hashes lowest, for fitting on a bounded sample.
+
+    Rows are first cut to about 4 k by a bound on the hash, so the top-k step gets few rows from each of any
+    number of partitions.
+    """
+    n = rows.count()
+    if n > 4 * k:
+        bound = int(4 * k / n * (1 << 40)) or 1
+        rows = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < bound)
+    return rows.orderBy(F.pmod(F.xxhash64(key), F.lit(1 << 40)), key).limit(k)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut
+from tidewatch.llm.common import by_broadcast_if_small, cut
 
 SAMPLES, BAND_ROWS, SKETCH_BITS = 128, 4, 512
 BANDS = SAMPLES // BAND_ROWS
@@ -43,8 +43,6 @@ BANDS = SAMPLES // BAND_ROWS
 MOST_BITS_APART = int(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * 0.5 / SKETCH_BITS)))
 #: Rows of a block in the comparison of a family's members, and columns of the matrix that counts what they share.
 BLOCK, _COLUMNS = 512, 4096
-#: Up to so many keys (about 40 bytes each) travel by broadcast; more are joined by shuffle.
-BROADCAST_KEYS = 300_000
 _REMEMBERED_WORDS = 500_000
 
 _RANDOM = np.random.default_rng(20)
@@ -147,12 +145,6 @@ def _bits_apart(a: str, b: str) -> Column:
     return total
 
 
-def by_broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
-    """The stored keys, marked for broadcast only if there are at most ``limit`` of them."""
-    keys = cut(keys)
-    return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
-
-
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of classes whose sizes allow the similarity and whose odd sketches don't rule it out."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("sketch").alias(f"{x}_sketch"), F.col("n_shingles").alias(f"{x}_n"))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import cut, hash_sample
+
 TRAIN_ROWS = 6000
 BUCKETS = 1 << 18
 GRADES = 3
@@ -66,30 +68,30 @@ class Model:
         return _sigmoid(s[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 120, rate: float = 0.05, l2: float = 5e-4) -> Model | None:
-    """Maximise the cumulative-link likelihood with adaptive full-batch steps."""
+def fit(lengths: np.ndarray, feature: np.ndarray, grades: np.ndarray, steps: int = 120, rate: float = 0.05, l2: float = 5e-4) -> Model | None:
+    """Maximise the cumulative-link likelihood with adaptive full-batch steps.
+
+    Rows have ``lengths`` features each, one after the other in ``feature``; repeats of a feature in a row add up.
+    """
     if len(set(grades.tolist())) < 2:
         return None
-    lengths = np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    feature = np.concatenate(rows) if lengths.sum() else np.empty(0, np.int64)
-    seen, feature = np.unique(feature, return_inverse=True)  # repeats of a feature in a row add up
-    # what one or two documents hold can't be told from those documents
-    often = np.bincount(feature, minlength=len(seen)) >= 3
-    owner, feature = owner[often[feature]], feature[often[feature]]
+    owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+    seen, feature = np.unique(feature, return_inverse=True)
+    feature = feature.astype(np.int32)
+    n = len(lengths)
     w = np.zeros(len(seen))
     upto = np.clip(np.array([(grades <= g).mean() for g in range(GRADES - 1)]), 1e-3, 1 - 1e-3)
     t = np.maximum.accumulate(np.log(upto / (1 - upto)) + 1e-3 * np.arange(GRADES - 1))
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
-    edge = lambda p: np.concatenate([np.zeros((len(rows), 1)), p, np.ones((len(rows), 1))], axis=1)
-    at = np.arange(len(rows))
+    edge = lambda p: np.concatenate([np.zeros((n, 1)), p, np.ones((n, 1))], axis=1)
+    at = np.arange(n)
     for step in range(1, steps + 1):
-        s = np.bincount(owner, w[feature], minlength=len(rows))
+        s = np.bincount(owner, w[feature], minlength=n)
         cum = edge(_sigmoid(t[None, :] - s[:, None]))
         slope = cum * (1 - cum)
         hi, lo = cum[at, grades + 1], cum[at, grades]
         p = np.maximum(hi - lo, 1e-9)
-        ds = (slope[at, grades + 1] - slope[at, grades]) / p / len(rows)  # of minus log likelihood, by s
+        ds = (slope[at, grades + 1] - slope[at, grades]) / p / n  # of minus log likelihood, by s
         gw = np.bincount(feature, ds[owner], minlength=len(w)) + l2 * w
         gt = np.zeros_like(t)
         for g in range(GRADES - 1):
@@ -100,7 +102,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 120, rate: floa
             x -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         t = np.maximum.accumulate(t + 1e-6 * np.arange(GRADES - 1))
     weights = np.zeros(BUCKETS)
-    weights[seen] = np.where(often, w, 0)
+    weights[seen] = w
     return Model(weights, t)
 
 
@@ -111,7 +113,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
-    sample = graded(labels).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    sample = hash_sample(cut(graded(labels)), "_id", rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,10 +121,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "features", "grade"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "grade")
-    made = joined.mapInArrow(work, "doc_id long, features array<int>, grade int").toPandas()
-    made["key"] = [zlib.crc32(np.asarray(f, np.int32).tobytes()) for f in made["features"]]
-    made = made.sort_values(["doc_id", "key"]).head(2 * rows)  # a doc_id may be repeated
-    return fit([np.asarray(f, np.int64) for f in made["features"]], made["grade"].to_numpy(np.int64)) if len(made) else None
+    made = cut(joined.mapInArrow(work, "doc_id long, features array<int>, grade int").dropDuplicates(["doc_id", "features"]))
+    # what one or two documents hold can't be told from those documents: it stays on the executors
+    often = made.select(F.explode(F.array_distinct("features")).alias("f")).groupBy("f").count().where("count > 2").select("f")
+    often = np.sort(often.toArrow().column("f").to_numpy())
+    held = docs.sparkSession.sparkContext.broadcast(often)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [x[np.isin(x, held.value, assume_unique=False)] for x in (np.asarray(v.values, np.int32) for v in batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "features", "grade"])
+
+    found = made.mapInArrow(known, "doc_id long, features array<int>, grade int").orderBy("doc_id", "features").limit(rows).toArrow()
+    if not found.num_rows:
+        return None
+    features = found.column("features").combine_chunks()
+    return fit(np.diff(features.offsets.to_numpy()), features.flatten().to_numpy(), found.column("grade").to_numpy().astype(np.int64))
 
 
 class _Weights(dict):
