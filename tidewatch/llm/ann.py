@@ -113,13 +113,16 @@ def _matrix(column: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
 
 def centers(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Mean of a bounded sample (by hash of the id) for each dimension."""
-    sample = vectors.withColumn("_r", F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("vec_id"), "vec_id", "v")))
+    n = vectors.count()
+    few = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) * n < F.lit(4.0 * SAMPLE * (1 << 40))
+    sample = vectors.where(few).withColumn("_r", F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("vec_id"), "vec_id", "v")))
     held = defaultdict(list)
     for row in sample.where(F.col("_r") <= SAMPLE).select("v").collect():
         held[len(row["v"])].append(row["v"])
     return {dim: np.mean(np.array(rows, np.float64), axis=0) for dim, rows in held.items()}
 
 
+
 def build_index(vectors: DataFrame, seed: int = 31) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """Every usable vector with its code: vec_id, v, code, norm, aligned; and the centres."""
     usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v")).where(_usable(F.col("v")) & F.col("vec_id").isNotNull())
@@ -133,7 +136,7 @@ def build_index(vectors: DataFrame, seed: int = 31) -> tuple[DataFrame, dict[int
             dims = vs.value_lengths().to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 rows = np.nonzero(dims == dim)[0]
-                packed, norm[rows], aligned[rows] = encode(_matrix(vs, rows, dim), center[dim], turns[dim])
+                packed, norm[rows], aligned[rows] = encode(_matrix(vs, rows, dim), center.get(int(dim), np.zeros(dim)), turns[dim])
                 for r, code in zip(rows, packed):
                     codes[r] = code.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), vs, pa.array(codes, pa.binary()), pa.array(norm), pa.array(aligned)],
@@ -174,7 +177,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, seed: int = 31) ->
         held = defaultdict(list)
         for row in asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect():
             held[len(row["v"])].append(row)
-        block = {dim: (np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64), center[dim]) for dim, rows in held.items()}
+        block = {dim: (np.array([r["vec_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.float64), center.get(int(dim), np.zeros(dim))) for dim, rows in held.items()}
         one = _pass(index, spark.sparkContext.broadcast(block), seed, k)
         found = one if found is None else found.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -25,8 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import by_broadcast_if_small
+
 DOCS_PER_LANGUAGE = 200
 CHARS_PER_LANGUAGE = 60_000
+#: Up to so many labels are joined by broadcast.
+LANGUAGES = 10_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 500_000
@@ -130,8 +134,12 @@ def held_out(doc_id: Column) -> Column:
 def training_texts(docs: DataFrame) -> dict[str, str]:
     """A bounded sample of labelled text per language, as words between spaces."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # about four times the rows needed pass a bound on the hash, so that no language sends more to one task
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("_n") < F.lit(4.0 * DOCS_PER_LANGUAGE * (1 << 40))
+    labelled_ids = labelled.select("lang", "doc_id").join(by_broadcast_if_small(counts, LANGUAGES), "lang").where(share)
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("lang", "doc_id").withColumn("_r", order).where(F.col("_r") <= DOCS_PER_LANGUAGE)
+    chosen = labelled_ids.withColumn("_r", order).where(F.col("_r") <= DOCS_PER_LANGUAGE)
     ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})
     rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", "text").orderBy("lang", F.xxhash64("doc_id"), "doc_id") if ids else None
     out: dict[str, str] = {}

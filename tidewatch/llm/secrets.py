@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import hash_sample
+
 TRAIN_DOCS = 4000
 PLAIN_BELOW = 20
 TAGS = ("O", "B", "I")
@@ -297,7 +299,7 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field | None:
                     tags.append(tags_of(stretch, base))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.list_(pa.string()))), pa.array(tags, pa.list_(pa.int8()))], ["words", "tags"])
 
-    ids = [r[0] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    ids = [r[0] for r in hash_sample(docs.where("doc_id is not null").select("doc_id"), "doc_id", rows).collect()]
     if not ids:
         return None
     sample = docs.select("doc_id", "text").where(F.col("doc_id").isin(ids) & F.col("text").isNotNull())
