@@ -84,3 +84,31 @@ def confusion(rows: DataFrame) -> DataFrame:
 def disagreements(rows: DataFrame) -> DataFrame:
     """rows: at, kind, explanation. Groups with their count and instants in order."""
     return rows.groupBy("kind", "explanation").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("instants"))
+
+
+def reference_overdue(instants: DataFrame, publications: DataFrame) -> DataFrame:
+    """instants: at; publications: deadline, proxy. Was any publication past its deadline and not out yet at each instant?
+
+    Opens and closes of the intervals (deadline, proxy) are counted in time order, by day with the days' sums
+    before added, so instants and publications never meet pairwise.
+    """
+    from pyspark.sql import Window
+
+    late = publications.where("proxy > deadline")
+    events = (late.select(F.col("deadline").alias("at"), F.lit(1).alias("step"), F.lit(0).alias("place"))
+              # an interval is open strictly after its deadline and strictly before its proxy
+              .unionByName(late.select(F.col("proxy").alias("at"), F.lit(-1).alias("step"), F.lit(-1).alias("place")))
+              .unionByName(instants.select("at", F.lit(0).alias("step"), F.lit(-1).alias("place")))
+              .withColumn("day", F.col("at").cast("date")))
+    days = events.groupBy("day").agg(F.sum("step").alias("sum"))
+    before = F.coalesce(F.sum("sum").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    events = events.join(days.select("day", before.alias("before")), "day")
+    running = F.sum("step").over(Window.partitionBy("day").orderBy("at", "place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    open_now = events.select("at", "step", (F.col("before") + running).alias("open"))
+    return open_now.where("step = 0").select("at", (F.col("open") > 0).alias("overdue")).distinct()
+
+
+def markdown_report(title: str, counts: list, header: tuple[str, ...]) -> str:
+    """A small Markdown table of collected rows."""
+    lines = [f"# {title}", "", "| " + " | ".join(header) + " |", "|" + "---|" * len(header)]
+    return "\n".join(lines + ["| " + " | ".join(str(r[h]) for h in header) + " |" for r in counts]) + "\n"

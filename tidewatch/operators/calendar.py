@@ -50,11 +50,13 @@ def business_day_reason(day: Column, weekend: Column, working: Column, resting:
             .when(name.isNotNull(), F.concat(F.lit("holiday: "), name, F.lit(" ("), label, F.lit(")"))))
 
 
-def calendar_days(calendars: DataFrame, overrides: DataFrame, refs: DataFrame, holidays: DataFrame, first: date, last: date) -> DataFrame:
+def calendar_days(calendars: DataFrame, overrides: DataFrame, refs: DataFrame, holidays: DataFrame, first: date, last: date,
+                  ranges: DataFrame | None = None) -> DataFrame:
     """calendar_id, date, is_bd, reason, prev_bd, next_bd (strictly before and after, within 31 days) and the
     place of a business day in its month: rank, rank from the end, number in the month.
 
-    The spine is padded so that the asked-for range has its neighbours and whole months.
+    ranges (ref_label, first_year, last_year) says for which years the holidays are known: ``unknown`` marks days
+    that would have to be looked up outside of it (neither overridden nor weekend). The spine is padded so that the asked-for range has its neighbours and whole months.
     """
     days = calendars.select("calendar_id", "weekend", F.explode(F.sequence(
         F.date_sub(F.trunc(F.lit(first), "MM"), MAX_ROLL_DAYS + 1), F.date_add(F.last_day(F.lit(last)), MAX_ROLL_DAYS + 1))).alias("date"))
@@ -63,7 +65,16 @@ def calendar_days(calendars: DataFrame, overrides: DataFrame, refs: DataFrame, h
     working, resting = (F.coalesce(F.col(c), F.lit(False)) for c in ("working", "resting"))
     args = (F.col("date"), F.col("weekend"), working, resting)
     days = days.select("calendar_id", "date", is_business_day(*args, F.col("name").isNotNull()).alias("is_bd"),
-                       business_day_reason(*args, F.col("name"), F.col("ref_label")).alias("reason"))
+                       business_day_reason(*args, F.col("name"), F.col("ref_label")).alias("reason"),
+                       (working | resting).alias("overridden"))
+    if ranges is None:
+        days = days.withColumn("unknown", F.lit(False))
+    else:
+        known = refs.join(ranges, "ref_label").groupBy("calendar_id").agg(F.max("first_year").alias("first_year"), F.min("last_year").alias("last_year"))
+        outside = (F.year("date") < F.col("first_year")) | (F.year("date") > F.col("last_year"))
+        looked_up = F.col("reason").isNull() & ~F.coalesce(F.col("overridden"), F.lit(False))
+        days = days.join(known, "calendar_id", "left").withColumn("unknown", F.coalesce(outside & looked_up, F.lit(False)))
+    days = days.select("calendar_id", "date", "is_bd", "reason", "unknown")
     own = F.when(F.col("is_bd"), F.col("date"))
     by_date = Window.partitionBy("calendar_id").orderBy("date")
     month = F.trunc("date", "MM")

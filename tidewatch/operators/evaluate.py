@@ -80,7 +80,10 @@ def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calenda
     rows = rows.withColumn("stale", F.col("start") < oldest)
 
     held = _needed(release_days(_searches(rows, at), days), at)
-    failed = held.where("roll_failed").groupBy("source_id").agg(F.min("nominal_date").alias("roll_failed_on"))
+    odd = lambda cond, *purposes: F.when(F.col(cond) & F.col("purpose").isin(*purposes), F.col("nominal_date"))
+    failed = held.where("roll_failed or unknown").groupBy("source_id").agg(
+        F.min(odd("roll_failed", "back", "ahead", "since", "recent")).alias("roll_failed_on"), F.max(odd("unknown", "back")).alias("unknown_back"),
+        F.min(odd("unknown", "ahead")).alias("unknown_ahead"), F.min(odd("unknown", "since", "recent")).alias("unknown_since"))
     found = instants(held, ["source_id", "purpose", "start", "inclusive", "stale"])
     deadline = shift(F.col("instant"), F.col("grace_us"))
     about = F.struct("instant", "local", "adjusted_from", "clamped", "dst")
@@ -113,6 +116,12 @@ def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calenda
     e408 = F.when(expired, issue("E408", F.concat(F.lit("calendar "), F.col("label"), F.lit(" is not valid after "), F.col("valid_until").cast("string"))))
     e407 = F.when(F.col("roll_failed_on").isNotNull(), issue("E407", F.concat(
         F.lit("no business day within 31 days of "), F.col("roll_failed_on").cast("string"))))
+    # days beyond the known years only count where the search for the last or the next release gets to them
+    unknown = F.coalesce(
+        F.when(F.col("last").isNull() | (F.col("unknown_back") >= F.date_sub(F.col("last.local").cast("date"), 2)), F.col("unknown_back")),
+        F.when(F.col("next").isNull() | (F.col("unknown_ahead") <= F.date_add(F.col("next").cast("date"), 2)), F.col("unknown_ahead")), F.col("unknown_since"))
+    e405 = F.when(unknown.isNotNull(), issue("E405", F.concat(
+        F.lit("calendar "), F.col("label"), F.lit(" has no holidays for the year of "), unknown.cast("string"))))
     e209 = F.when(F.col("last").isNull() & F.col("next").isNull(), issue("E209", F.concat(
         F.lit("schedule produces no release within 1830 days before or after "), format_utc(at))))
     undecided = F.col("start").isNotNull() & F.col("stale") & F.col("first").isNull()
@@ -120,7 +129,7 @@ def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calenda
         F.lit("cannot decide freshness: observed timestamp "), format_utc(F.col("start")),
         F.lit(" is more than 1830 days old, no release in the last 1830 days has passed its deadline, and "
               "the schedule has no release within 1830 days after the observed timestamp"))))
-    rows = rows.withColumn("error", F.coalesce(e408, F.col("e214"), e407, e209, e215))
+    rows = rows.withColumn("error", F.coalesce(e408, F.col("e214"), e405, e407, e209, e215))
     no_data = F.col("observed_at").isNull() & F.col("active_from").isNull()
     has_first = F.col("first").isNotNull()
     status = (F.when(F.col("error").isNotNull(), "CONFIG_ERROR").when(no_data, "NO_DATA").when(~has_first, "ON_TIME")

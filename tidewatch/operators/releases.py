@@ -50,7 +50,8 @@ def cron_day_matches(day: Column) -> Column:
 
 
 def release_days(windows: DataFrame, days: DataFrame) -> DataFrame:
-    """windows: rules with first and last (local dates). Adds nominal_date, final_date, adjusted_from, clamped, roll_failed.
+    """windows: rules with first and last (local dates). Adds nominal_date, final_date, adjusted_from, clamped,
+    roll_failed (no business day within 31 days) and unknown (beyond the years of the holiday calendars).
 
     Rolling schedules look 31 days farther, as a nominal day outside may roll in. Plain cron never meets the calendar.
     """
@@ -60,7 +61,7 @@ def release_days(windows: DataFrame, days: DataFrame) -> DataFrame:
     spine = spine.where((F.col("kind") != "cron") | cron_day_matches(F.col("nominal_date")))
     none = lambda kind: F.lit(None).cast(kind)
     plain = spine.where(~consults_calendar()).select("*", F.col("nominal_date").alias("final_date"), none("date").alias("adjusted_from"),
-                                                     F.lit(False).alias("clamped"), F.lit(False).alias("roll_failed"))
+                                                     F.lit(False).alias("clamped"), F.lit(False).alias("roll_failed"), F.lit(False).alias("unknown"))
     dated = spine.where(consults_calendar()).join(days.withColumnRenamed("date", "nominal_date"), ["calendar_id", "nominal_date"])
     n = F.col("business_day")
     nth = F.when(n > 0, F.col("rank") == F.least(n, F.col("in_month"))).otherwise(F.col("rank_end") == F.least(-n, F.col("in_month")))

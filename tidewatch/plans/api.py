@@ -8,7 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.functions.holidays import holiday_dim
+from tidewatch.functions.holidays import holiday_dim, holiday_ranges
 from tidewatch.functions.timeutil import format_utc, local_date, ts
 from tidewatch.operators import calendar as cal
 from tidewatch.operators import evaluate as ev
@@ -41,7 +41,8 @@ def calendar_tables(spark: SparkSession, calendars: dict[str, Calendar], first:
     refs = [(c.calendar_id, r, i) for c in cs for i, r in enumerate(c.refs)]
     labels = sorted({r for _, r, _ in refs})
     dim = holiday_dim(spark, labels, first.year - 1, last.year + 1) if labels else spark.createDataFrame([], cal.HOLIDAYS)
-    days = cal.calendar_days(frame, spark.createDataFrame(marks, cal.OVERRIDES), spark.createDataFrame(refs, cal.REFS), dim, first, last)
+    days = cal.calendar_days(frame, spark.createDataFrame(marks, cal.OVERRIDES), spark.createDataFrame(refs, cal.REFS), dim, first, last,
+                             holiday_ranges(spark, labels) if labels else None)
     return frame, days
 
 

@@ -11,9 +11,9 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.holidays import holiday_dim
+from tidewatch.functions.holidays import holiday_dim, holiday_ranges
 from tidewatch.functions.timeutil import classify_local, format_duration, resolve_local, ts
-from tidewatch.operators import backtest, calendar, catalog, evaluate, releases
+from tidewatch.operators import backtest, calendar, catalog, evaluate, releases, trace
 from tidewatch.operators.releases import rule
 from tidewatch.sources.observe import latest_by_relation, observe
 
@@ -46,7 +46,8 @@ def calendars(spark: SparkSession, first: date, last: date, *, refs: list[str] =
     marks = spark.createDataFrame([("default", date.fromisoformat(d), w) for ds, w in ((working, True), (resting, False)) for d in ds], calendar.OVERRIDES)
     named = spark.createDataFrame([("default", r, i) for i, r in enumerate(refs)], calendar.REFS)
     dim = holiday_dim(spark, list(refs)) if refs else spark.createDataFrame([], calendar.HOLIDAYS)
-    return cal, calendar.calendar_days(cal, marks, named, dim, first, last)
+    ranges = holiday_ranges(spark, list(refs)) if refs else None
+    return cal, calendar.calendar_days(cal, marks, named, dim, first, last, ranges)
 
 
 # --- load times -------------------------------------------------------------------------------------------------
@@ -579,3 +580,59 @@ def hourly_loader(spark, sf_dir):
 def disagreement_groups(spark, sf_dir):
     rows = table(spark, sf_dir, "events").where("value > 85").select(F.col("ts").alias("at"), F.col("event_type").alias("kind"), F.when(F.col("value") > 90, "high").otherwise("low").alias("explanation"))
     return backtest.disagreements(rows).select("kind", "explanation", "n", F.element_at("instants", 1).alias("first_at"))
+
+
+@query("""WITH grid AS (SELECT CAST(d AS TIMESTAMP) AS "at" FROM generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-25', INTERVAL 3 HOUR) t(d)),
+pub AS (SELECT CAST(ts AS DATE) + INTERVAL 20 HOUR AS deadline, max(ts) + INTERVAL 90 MINUTE AS proxy FROM events WHERE event_type = 'view' AND value > 90 GROUP BY CAST(ts AS DATE))
+SELECT "at", EXISTS (SELECT 1 FROM pub WHERE deadline < "at" AND proxy > "at") AS overdue FROM grid""")
+def reference_overdue(spark, sf_dir):
+    grid = spark.range(1).select(F.explode(F.sequence(ts(datetime(2024, 1, 2)), ts(datetime(2024, 1, 25)), F.expr("interval 3 hours"))).alias("at"))
+    views = table(spark, sf_dir, "events").where("event_type = 'view' AND value > 90").withColumn("day", F.col("ts").cast("date"))
+    pub = views.groupBy("day").agg(F.timestamp_add("MINUTE", F.lit(90), F.max("ts")).alias("proxy")).withColumn(
+        "deadline", F.timestamp_add("HOUR", F.lit(20), F.col("day").cast("timestamp_ntz")))
+    return backtest.reference_overdue(grid, pub)
+
+
+# --- traces -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH r AS (SELECT CAST(d AS TIMESTAMP) AS instant FROM generate_series(TIMESTAMP '2024-01-01 16:00', TIMESTAMP '2024-02-29 16:00', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6),
+o AS (SELECT max(ts) AS obs FROM events WHERE ts < TIMESTAMP '2024-01-29'),
+n AS (SELECT *, instant > TIMESTAMP '2024-01-31 18:30' AS future, row_number() OVER (PARTITION BY instant > TIMESTAMP '2024-01-31 18:30' ORDER BY instant) AS early,
+  row_number() OVER (PARTITION BY instant > TIMESTAMP '2024-01-31 18:30' ORDER BY instant DESC) AS late FROM r)
+SELECT instant, CASE WHEN obs >= instant THEN 'arrived' WHEN future AND early = 1 THEN 'future (next expected arrival)' WHEN future THEN 'future'
+  WHEN instant + INTERVAL 3 HOUR < TIMESTAMP '2024-01-31 18:30' THEN 'occurred, not arrived; deadline passed' ELSE 'occurred, not arrived; deadline not passed' END AS state
+FROM n, o WHERE (future AND early <= 2) OR (NOT future AND late <= 3)""")
+def release_states(spark, sf_dir):
+    found = _between(spark, datetime(2024, 1, 1), datetime(2024, 2, 29, 23), rule("r", business_days="16:00", grace_minutes=180))
+    last = table(spark, sf_dir, "events").where("ts < timestamp_ntz'2024-01-29'").agg(F.max("ts").alias("obs"))
+    rows = trace.around_now(found, NOW).join(last, how="cross")  # one row
+    return rows.select("instant", trace.release_state(NOW, F.col("obs")).alias("state"))
+
+
+@query("""SELECT DATE '2001-04-17' AS to_date, CAST(d AS DATE) AS date, CASE WHEN isodow(d) > 5 THEN 'weekend' WHEN day(d) = 13 THEN 'holiday: Good Friday (financial XECB)'
+  ELSE 'holiday: Easter Monday (financial XECB)' END AS reason FROM generate_series(TIMESTAMP '2001-04-13', TIMESTAMP '2001-04-16', INTERVAL 1 DAY) t(d)""")
+def closed_days_between(spark, sf_dir):
+    _, days = calendars(spark, date(2001, 3, 1), date(2001, 5, 31), refs=["financial XECB"])
+    found = releases.releases_between(releases.rules_frame(spark, [rule("r", business_days="16:00")]), days, datetime(2001, 4, 10), datetime(2001, 4, 18))
+    return trace.closed_days_between(found.withColumn("calendar_id", F.lit("default")), days).select("to_date", "date", "reason")
+
+
+@query("""WITH m AS (SELECT date_trunc('month', d) AS month, count(*) AS n FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6 GROUP BY 1)
+SELECT CAST(month AS DATE) AS month, n, 'clamped: ' || strftime(month, '%B %Y') || ' has only ' || n || ' business days' AS note FROM m""")
+def clamp_notes(spark, sf_dir):
+    _, days = calendars(spark, date(1995, 1, 1), date(2001, 12, 31))
+    months = trace.business_days_per_month(days)
+    return months.select("month", "n", trace.clamp_text(F.col("month"), F.col("n")).alias("note"))
+
+
+@query("""SELECT * FROM (VALUES ('inside', 'OVERDUE', NULL), ('outside', 'CONFIG_ERROR', 'E405'), ('plain', 'OVERDUE', NULL)) t(source_id, status, code)""")
+def calendar_out_of_range(spark, sf_dir):
+    now = datetime(1999, 3, 15, 12)
+    cal, days = calendars(spark, date(1992, 1, 1), date(2005, 1, 1), refs=["financial XECB"])
+    observed = spark.createDataFrame([("inside", datetime(1999, 3, 8), True), ("outside", datetime(1998, 12, 1), True), ("plain", datetime(1998, 12, 1), True)],
+                                     "source_id string, observed timestamp_ntz, naive boolean")
+    rows = [rule("inside", cron="0 6 * * MON", policy="following", observed_tz="UTC", active_from=date(1999, 1, 1)), rule("outside", business_days="06:00", observed_tz="UTC"),
+            rule("plain", cron="0 6 * * *", observed_tz="UTC")]
+    v = evaluate.evaluate(releases.rules_frame(spark, rows), observed, days, cal, now)
+    return v.select("source_id", "status", F.col("error.code").alias("code"))
