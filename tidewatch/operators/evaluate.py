@@ -67,9 +67,13 @@ def _needed(days: DataFrame, now: Column) -> DataFrame:
     return days.where(keep | F.col("roll_failed"))
 
 
-def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calendars: DataFrame, now: datetime) -> DataFrame:
-    """A row per rule: status, release and its description, deadline, observed_at, next_expected_arrival, counts, warnings, error, explanation."""
-    at = ts(now)
+def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calendars: DataFrame, now: datetime | None) -> DataFrame:
+    """Verdicts at one instant, or, without one, each rule's at the instant in its column ``now``.
+
+    A row per rule: status, release and its description, deadline, observed_at, next_expected_arrival, counts, warnings, error, explanation."""
+    at = F.col("now")
+    if now is not None:
+        rules = rules.withColumn("now", ts(now))
     zones = [r["tz"] for r in rules.select("tz").distinct().collect()]
     names = zone_names(rules.sparkSession, zones)
     rows = normalize_observed(rules, observations, at).join(calendars.select("calendar_id", "valid_until", "label"), "calendar_id", "left")
@@ -84,7 +88,7 @@ def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calenda
     failed = held.where("roll_failed or unknown").groupBy("source_id").agg(
         F.min(odd("roll_failed", "back", "ahead", "since", "recent")).alias("roll_failed_on"), F.max(odd("unknown", "back")).alias("unknown_back"),
         F.min(odd("unknown", "ahead")).alias("unknown_ahead"), F.min(odd("unknown", "since", "recent")).alias("unknown_since"))
-    found = instants(held, ["source_id", "purpose", "start", "inclusive", "stale"])
+    found = instants(held, ["source_id", "purpose", "now", "start", "inclusive", "stale"])
     deadline = shift(F.col("instant"), F.col("grace_us"))
     about = F.struct("instant", "local", "adjusted_from", "clamped", "dst")
     purpose = F.col("purpose")
@@ -190,3 +194,22 @@ def exit_code(verdicts: DataFrame) -> DataFrame:
     any_of = lambda *kinds: F.coalesce(F.bool_or(F.col("status").isin(*kinds)), F.lit(False))
     code = F.when(any_of("CONFIG_ERROR"), 2).when(any_of("QUERY_ERROR"), 3).when(any_of("OVERDUE", "NO_DATA"), 1).otherwise(0)
     return verdicts.agg(code.alias("exit_code"))
+
+
+def replay(rules: DataFrame, loads: DataFrame, days: DataFrame, calendars: DataFrame, start: datetime, end: datetime, step_minutes: int) -> DataFrame:
+    """Verdicts of every rule on a grid of instants, all in one plan.
+
+    loads: source_id, loaded_at, naive like observations. At each instant a rule sees its latest load so far. The
+    result has the columns of ``evaluate``; evaluated_at tells the instant.
+    """
+    grid = F.sequence(ts(start), ts(end), F.expr(f"interval {step_minutes} minutes"))
+    rows = rules.withColumn("now", F.explode(grid))
+    events = rows.select("source_id", F.col("now").alias("at"), F.lit(None).cast("timestamp_ntz").alias("loaded_at")).unionByName(
+        loads.select("source_id", F.col("loaded_at").alias("at"), "loaded_at"))
+    by = Window.partitionBy("source_id").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = events.select("source_id", "at", F.max("loaded_at").over(by).alias("observed"), F.col("loaded_at").isNull().alias("asked")).where("asked")
+    # each rule and instant is a rule of its own
+    key = lambda c: F.concat(F.col("source_id"), F.lit("@"), F.col(c).cast("string"))
+    observed = seen.select(key("at").alias("source_id"), "observed", F.lit(True).alias("naive"))
+    verdicts = evaluate(rows.withColumn("source_id", key("now")), observed, days, calendars, None)
+    return verdicts.withColumn("source_id", F.regexp_replace("source_id", "@[^@]*$", ""))

@@ -636,3 +636,17 @@ def calendar_out_of_range(spark, sf_dir):
             rule("plain", cron="0 6 * * *", observed_tz="UTC")]
     v = evaluate.evaluate(releases.rules_frame(spark, rows), observed, days, cal, now)
     return v.select("source_id", "status", F.col("error.code").alias("code"))
+
+
+@query("""WITH grid AS (SELECT CAST(d AS TIMESTAMP) AS now FROM generate_series(TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-29', INTERVAL 6 HOUR) t(d)),
+loads AS (SELECT event_type AS source_id, ts FROM events WHERE value > 97),
+o AS (SELECT source_id, now, (SELECT max(ts) FROM loads l WHERE l.source_id = s.source_id AND ts <= now) AS obs FROM (SELECT DISTINCT source_id FROM loads) s, grid),
+rel AS (SELECT CAST(d AS TIMESTAMP) AS r FROM generate_series(TIMESTAMP '2023-12-01 16:00', TIMESTAMP '2024-03-01 16:00', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6)
+SELECT source_id, now AS evaluated_at, CASE WHEN obs IS NULL THEN 'NO_DATA' WHEN NOT EXISTS (SELECT 1 FROM rel WHERE r > obs AND r <= now) THEN 'ON_TIME'
+  WHEN EXISTS (SELECT 1 FROM rel WHERE r > obs AND r + INTERVAL 2 HOUR < now) THEN 'OVERDUE' ELSE 'NOT_DUE' END AS status FROM o""")
+def replay_grid(spark, sf_dir):
+    cal, days = calendars(spark, date(2018, 12, 1), date(2029, 6, 1))
+    loads = table(spark, sf_dir, "events").where("value > 97").select(F.col("event_type").alias("source_id"), F.col("ts").alias("loaded_at"))
+    rows = releases.rules_frame(spark, [rule(t, business_days="16:00", grace_minutes=120, observed_tz="UTC") for t in ("click", "error", "purchase", "signup", "view")])
+    v = evaluate.replay(rows, loads, days, cal, datetime(2024, 1, 5), datetime(2024, 1, 29), 360)
+    return v.select("source_id", "evaluated_at", "status")
