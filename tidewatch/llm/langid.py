@@ -33,7 +33,7 @@ CHARS_PER_LANGUAGE = 60_000
 LANGUAGES = 10_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 #: Bits for the phrase count of one language where the counts of all are kept in one integer.
 _BITS = 48
 

@@ -43,7 +43,7 @@ BANDS = SAMPLES // BAND_ROWS
 MOST_BITS_APART = int(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * 0.5 / SKETCH_BITS)))
 #: Rows of a block in the comparison of a family's members, and columns of the matrix that counts what they share.
 BLOCK, _COLUMNS = 512, 4096
-_REMEMBERED_WORDS = 500_000
+_REMEMBERED_WORDS = 200_000
 
 _RANDOM = np.random.default_rng(20)
 _XOR = _RANDOM.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)

@@ -33,8 +33,9 @@ BUCKETS = 1 << 18
 GRADES = 3
 #: The grade from which a document counts as good, and the tail probability from which it is kept.
 GOOD, KEEP = 2, 0.5
+_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 
 
 def tokens(text: str) -> list[str]:
@@ -42,7 +43,8 @@ def tokens(text: str) -> list[str]:
     found = _TOKEN.findall(text.lower())
     out = set(found)
     n = len(found) or 1
-    upper = sum(map(str.isupper, text)) if not text.islower() else 0
+    raw = text.encode()
+    upper = len(raw) - len(raw.translate(None, _CAPITALS))
     marks = (f" distinct {10 * len(out) // n}", f" size {n.bit_length()}", f" upper {10 * upper // (len(text) or 1)}")
     return [*out, *marks]
 
