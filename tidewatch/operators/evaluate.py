@@ -16,7 +16,8 @@ FUTURE_SKEW_US = 5 * 60_000_000
 
 def normalize_observed(rules: DataFrame, observations: DataFrame, now: Column) -> DataFrame:
     """observations: source_id, observed (TIMESTAMP_NTZ) and naive (is it wall time in observed_tz?). Adds the instant,
-    W002 (zone ignored), W003 (future) and E214 (wall time without a zone)."""
+    W002 (zone ignored), W003 (future) and E214 (wall time without a zone). Codes and messages are fixed values of the
+    report format."""
     rows = rules.join(observations, "source_id", "left")
     observed, naive = F.col("observed"), F.col("naive")
     rows = rows.withColumn("observed_at", F.when(naive, resolve_local(observed, F.col("observed_tz"))).otherwise(observed))
@@ -163,7 +164,7 @@ def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calenda
 
 
 def explanation() -> Column:
-    """One sentence per verdict."""
+    """One sentence per verdict. The sentences are fixed values of the report format."""
     show = lambda c: format_local(c, F.col("tz"), F.col("names"))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     release, n = F.col("release.instant"), F.col("missed_count")
