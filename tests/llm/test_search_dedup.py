@@ -197,3 +197,15 @@ def test_nearest_neighbours_odd(spark):
     want = {q: [(round(s, 9), i) for s, i in best] for q, best in brute_nearest(rows).items()}
     assert {q: sorted(v) for q, v in got.items()} == want
     assert ann.search(df.limit(0)).collect() == []
+
+
+def test_a_rare_dimension_among_many_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(4).tolist()) for i in range(1, 9001)] + [(d * 10_000 + i, rng.standard_normal(d).tolist()) for d in range(5, 12) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("vec_id % 100 <> 0 or size(embedding) > 4")
+    got = {}
+    for r in ann.search(df).collect():
+        got.setdefault(r["query_id"], []).append((round(r["score"], 9), r["vec_id"]))
+    rare = [r for r in rows if len(r[1]) > 4]
+    assert {q: sorted(v) for q, v in got.items()} == {q: [(round(s, 9), i) for s, i in best] for q, best in brute_nearest(rare).items()}
+    assert set(ann.centers(df.selectExpr("vec_id", "embedding as v"))) == set(range(4, 12))

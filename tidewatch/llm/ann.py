@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut
+from tidewatch.llm.common import by_broadcast_if_small, cut
 
 #: Vectors of the sample whose mean is the centre, by dimension (a top-k that Spark limits before it shuffles).
 SAMPLE = 1000
 QUERY_BLOCK = 8192
+#: Up to so many dimensions are joined by broadcast.
+DIMENSIONS = 10_000
 #: Width of the error bound in the units of the estimator's deviation; 1.9 is usual, more reranks more.
 EPSILON = 3.0
 _ROWS_AT_ONCE, _QUERIES_AT_ONCE = 2048, 256
@@ -113,9 +115,12 @@ def _matrix(column: pa.Array, rows: np.ndarray, dim: int) -> np.ndarray:
 
 def centers(vectors: DataFrame) -> dict[int, np.ndarray]:
     """Mean of a bounded sample (by hash of the id) for each dimension."""
-    n = vectors.count()
-    few = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) * n < F.lit(4.0 * SAMPLE * (1 << 40))
-    sample = vectors.where(few).withColumn("_r", F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("vec_id"), "vec_id", "v")))
+    sized = vectors.select("vec_id", "v", F.size("v").alias("_dim"))
+    counts = sized.groupBy("_dim").agg(F.count("*").alias("_n"))
+    # divided, not multiplied: the product of hash and count passes the range of long
+    few = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < F.lit(4.0 * SAMPLE * (1 << 40)) / F.col("_n")
+    sample = sized.join(by_broadcast_if_small(counts, DIMENSIONS), "_dim").where(few)
+    sample = sample.withColumn("_r", F.row_number().over(Window.partitionBy("_dim").orderBy(F.xxhash64("vec_id"), "vec_id", "v")))
     held = defaultdict(list)
     for row in sample.where(F.col("_r") <= SAMPLE).select("v").collect():
         held[len(row["v"])].append(row["v"])
@@ -129,14 +134,16 @@ def build_index(vectors: DataFrame, seed: int = 31) -> tuple[DataFrame, dict[int
     center = centers(usable)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = {dim: rotation(dim, seed) for dim in center}
+        turns: dict[int, np.ndarray] = {}
         for batch in batches:
             n, vs = batch.num_rows, batch.column(1)
             codes, norm, aligned = [b""] * n, np.zeros(n), np.ones(n)
             dims = vs.value_lengths().to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
+            for dim in map(int, np.unique(dims)):
                 rows = np.nonzero(dims == dim)[0]
-                packed, norm[rows], aligned[rows] = encode(_matrix(vs, rows, dim), center.get(int(dim), np.zeros(dim)), turns[dim])
+                if dim not in turns:
+                    turns[dim] = rotation(dim, seed)
+                packed, norm[rows], aligned[rows] = encode(_matrix(vs, rows, dim), center.get(dim, np.zeros(dim)), turns[dim])
                 for r, code in zip(rows, packed):
                     codes[r] = code.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), vs, pa.array(codes, pa.binary()), pa.array(norm), pa.array(aligned)],
