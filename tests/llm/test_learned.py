@@ -46,6 +46,12 @@ def test_language_odd(odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.identify(odd_docs.selectExpr("doc_id", "text", "cast(null as string) as lang")).collect()} == {"und"}
 
 
+def test_language_sample_of_very_many_rows(spark):
+    n = 13_500_000  # two thirds are labelled rows to learn from: over 2^23
+    texts = langid.training_texts(spark.range(n).selectExpr("id as doc_id", "'en' as lang", "'some words' as text"))
+    assert texts == {"en": " " + "some words " * langid.DOCS_PER_LANGUAGE}
+
+
 # --- quality ---
 
 

@@ -209,3 +209,9 @@ def test_a_rare_dimension_among_many_vectors(spark):
     rare = [r for r in rows if len(r[1]) > 4]
     assert {q: sorted(v) for q, v in got.items()} == {q: [(round(s, 9), i) for s, i in best] for q, best in brute_nearest(rare).items()}
     assert set(ann.centers(df.selectExpr("vec_id", "embedding as v"))) == set(range(4, 12))
+
+
+def test_centres_of_very_many_vectors(spark):
+    vectors = spark.range(9_000_000).selectExpr("id as vec_id", "array(cast(id % 2 as double), 3D) as v")
+    center = ann.centers(vectors)[2]
+    assert abs(center[0] - 0.5) < 0.1 and center[1] == 3

@@ -134,9 +134,10 @@ def held_out(doc_id: Column) -> Column:
 def training_texts(docs: DataFrame) -> dict[str, str]:
     """A bounded sample of labelled text per language, as words between spaces."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    # about four times the rows needed pass a bound on the hash, so that no language sends more to one task
+    # about four times the rows needed pass a bound on the hash, so that no language sends more to one task;
+    # divided, not multiplied: the product of hash and count passes the range of long
     counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) * F.col("_n") < F.lit(4.0 * DOCS_PER_LANGUAGE * (1 << 40))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(4.0 * DOCS_PER_LANGUAGE * (1 << 40)) / F.col("_n")
     labelled_ids = labelled.select("lang", "doc_id").join(by_broadcast_if_small(counts, LANGUAGES), "lang").where(share)
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = labelled_ids.withColumn("_r", order).where(F.col("_r") <= DOCS_PER_LANGUAGE)
