@@ -119,6 +119,35 @@ def test_stretches_decode_like_whole_texts(spark, sf_dir):
         assert {w for w, tag in zip(words, whole) if tag} == marked
 
 
+def test_every_word_is_weighed(spark, sf_dir):
+    names = ["kinds=lu", "length=2", "length=3", "length=4", "before=telling", "before2=telling", "assigned"]
+    field = secrets.Field({f: i for i, f in enumerate(names)})
+    field.weights[:, 1] = [1, 0, 0, 0, 2, 2, 2]
+    field.weights[0, 0] = 2
+    for text, secret in (("bearer QwErTyUiOpAsDfGh", "QwErTyUiOpAsDfGh"), ("auth key QwErTyUiOpAsDf", "QwErTyUiOpAsDf"),
+                         ("the password is QwErTyUiOpAsDf at 12", "QwErTyUiOpAsDf"), ("pwd:QwErTyUiOpAs", "pwd:QwErTyUiOpAs")):
+        at = text.index(secret)
+        assert (at, at + len(secret), "field") in secrets.field_spans(text, field, []), text
+    rng = random.Random(6)
+    letters = lambda: "".join(rng.choice("QwErTyUiOp") for _ in range(16))
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    texts += [f"{t[:200]} {rng.choice(['bearer', 'password is', 'auth key', 'pwd:'])} {letters()} {t[200:400]}" for t in texts[:60]] + ["set key = Zq81kX02pLm93Tr7 here and password=abcdef123456 there " * 3]
+    examples = [([f for _, _, f in s], secrets.tags_of(s, secrets.base_spans(t))) for t in texts for s in secrets.stretches(t)]
+    learned, got = secrets.fit(examples, rounds=2), 0
+    known = secrets.Known(learned)
+    for text in texts[-90:]:
+        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        described = secrets._described(text, words, secrets.file_features(text)) if words else []
+        emit = learned.emissions(learned.number(described)) if words else np.zeros((0, 3))
+        assert np.allclose(known.emissions(text), emit)
+        tags = learned.decode(described) if words else []
+        found = secrets.field_spans(text, learned, [], known)
+        got += len(found)
+        assert all(any(tag and a < f[1] and f[0] < b for (a, b), tag in zip(words, tags)) for f in found)
+        assert all(any(a < f[1] and f[0] < b for f in found) for (a, b), tag in zip(words, tags) if tag == 1 and b - a > 16)
+    assert got
+
+
 def test_field_adds_what_the_patterns_do_not_name(spark):
     rng = random.Random(9)
     hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))

@@ -6,10 +6,10 @@ learned transitions; Viterbi decoding picks the best tags. It is trained on the
 sample of documents, with the shape alone to go by, and so finds secrets whose names or forms the patterns
 don't know. Its spans are added where they touch no base span; base spans always stay.
 
-Words of letters only, shorter than ``PLAIN_BELOW`` and not next to a telling word, all have the same features. The
-fitted model is held to give such words the tag outside by more than any transition can win back
-(``_settle``), so the best path over a whole text runs outside there, and decoding the stretches between
-them gives the same tags as decoding the text at once.
+The scan weighs every word of a text. Where a word's whole weight is for outside by more than its two transitions
+can win back, the best path over the text runs outside there, so only the words between such words are
+decoded, with the same tags as decoding the text at once (``field_spans``). For training, texts are taken
+apart into ``stretches`` around words of a telling form, each with two words of context.
 
 Defined results
 * null text: empty, no spans; texts of any length are scanned whole, to the last character;
@@ -23,7 +23,9 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,10 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Characters that no plain word has, and words long enough to be worth a look.
-_ODD = re.compile(r"[0-9=_+/@]|[^\x20\x09-\x0D]{%d,}" % PLAIN_BELOW)
+#: Bounds of the words remembered by a task: their number and their characters.
+_REMEMBERED, _REMEMBERED_CHARS = 300_000, 4_000_000
+#: Characters that no plain word has, capitals inside a word, and words long enough to be worth a look.
+_ODD = re.compile(r"[0-9=_+/@:]|[a-z][A-Z]|[^\x20\x09-\x0D]{%d,}" % PLAIN_BELOW)
 _TELLING = re.compile(r"pass|secret|token|key|auth|credential|bearer", re.IGNORECASE)
 
 Span = tuple[int, int, str]
@@ -65,23 +69,29 @@ def base_spans(text: str) -> list[Span]:
 
 def _entropy(word: str) -> float:
     n = len(word)
-    return -sum(c / n * math.log2(c / n) for c in Counter(word).values())
+    counts = map(word.count, dict.fromkeys(word)) if n <= 64 else Counter(word).values()
+    return -sum([_share(c, n) for c in counts])
+
+
+@lru_cache(100_000)
+def _share(c: int, n: int) -> float:
+    return c / n * math.log2(c / n)
 
 
 def word_features(word: str) -> list[str]:
     """Shape of a word, without its letters."""
     core = word.strip("\"'`,;()[]{}<>")
-    cut = re.split(r"[:=]", core, maxsplit=1)
+    cut = re.split(r"[:=]", core, maxsplit=1) if ":" in core or "=" in core else [core]
     value = cut[1].strip("\"'") if len(cut) > 1 else core
-    kinds = "".join(sorted({"d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value[:200]}))
-    out = [f"kinds={kinds}", f"length={min(12, len(value) // 4)}", f"entropy={int(2 * _entropy(value[:200])) if value else -1}"]
+    kinds = "l" if value.isascii() and value.isalpha() and value.islower() else "".join(sorted({"d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in set(value)}))
+    out = [f"kinds={kinds}", f"length={min(12, len(value) // 4)}", f"entropy={int(2 * _entropy(value)) if value else -1}"]
     if len(cut) > 1:
         out += ["assigned", "named" if _TELLING.search(cut[0]) else "unnamed"]
-    if value and all(c in "0123456789abcdef" for c in value):
+    if value and value[0] in "0123456789abcdef" and all(c in "0123456789abcdef" for c in value):
         out.append("hexadecimal")
-    if re.search(r"https?:|www\.|@", word):
+    if "@" in word or "www." in word or "http:" in word or "https:" in word:
         out.append("address")
-    if re.fullmatch(r"[-+().\d/:%,]*", core):
+    if not core[:1].isalpha() and re.fullmatch(r"[-+().\d/:%,]*", core):
         out.append("number")
     return out
 
@@ -103,11 +113,10 @@ Word = tuple[int, int, list[str]]
 
 
 def stretches(text: str) -> Iterator[list[Word]]:
-    """The parts of a text that are not all plain words, each with a word of context on both sides."""
-    spots = [(m.start(), m.end()) for m in _ODD.finditer(text)]
+    """The parts of a text that are not all plain words, each with two words of context on both sides."""
+    spots = [(m.start(), m.end()) for pattern in (_ODD, _TELLING) for m in pattern.finditer(text)]
     if not spots:
         return
-    spots += [(m.start(), m.end()) for m in _TELLING.finditer(text)]
     spots.sort()
     words: list[tuple[int, int]] = []  # the odd words
     for a, b in spots:
@@ -121,9 +130,8 @@ def stretches(text: str) -> Iterator[list[Word]]:
     group: list[tuple[int, int]] = []
     for word in words:
         if group:
-            between = text[group[-1][1]:word[0]]
-            gap = [(group[-1][1] + m.start(), group[-1][1] + m.end()) for m in _WORD.finditer(between)] if len(between) < 200 else None
-            if gap is not None and len(gap) <= 2:
+            gap = [m.span() for m in islice(_WORD.finditer(text, group[-1][1], word[0]), 5)]
+            if len(gap) <= 4:  # no word of context is told twice
                 group += [*gap, word]
                 continue
             yield _described(text, group, file)
@@ -136,17 +144,19 @@ def _blank(c: str) -> bool:
 
 
 def _described(text: str, group: list[tuple[int, int]], file: list[str]) -> list[Word]:
-    before = None
+    before: list[tuple[int, int]] = []
     end = group[0][0]
-    while end > 0 and _blank(text[end - 1]):
-        end -= 1
-    if end > 0:
+    while len(before) < 2:
+        while end > 0 and _blank(text[end - 1]):
+            end -= 1
+        if end == 0:
+            break
         start = end
         while start > 0 and not _blank(text[start - 1]):
             start -= 1
-        before = (start, end)
-    after = _WORD.search(text, group[-1][1])
-    group = [*([before] if before else []), *group, *([(after.start(), after.end())] if after else [])]
+        before.insert(0, (start, end))
+        end = start
+    group = [*before, *group, *(m.span() for m in islice(_WORD.finditer(text, group[-1][1]), 2))]
     words = [text[a:b] for a, b in group]
     near = [_telling(w) for w in words]
     out = []
@@ -185,8 +195,10 @@ class Field:
         return [[self.names[f] for f in features if f in self.names] for _, _, features in stretch]
 
     def decode(self, stretch: list[Word]) -> list[int]:
-        """Viterbi: the best tags of a stretch that lies between outside words."""
-        emit = self.emissions(self.number(stretch))
+        return self.best_tags(self.emissions(self.number(stretch)))
+
+    def best_tags(self, emit: np.ndarray) -> list[int]:
+        """Viterbi: the best tags of words that lie between outside words."""
         best, back = self.moves[0] + emit[0], []
         for e in emit[1:]:
             through = best[:, None] + self.moves
@@ -259,11 +271,55 @@ def _settle(field: Field) -> None:
         field.weights[field.names["kinds=l"], 0] += short + 1e-6
 
 
-def field_spans(text: str, field: Field, base: list[Span]) -> list[Span]:
+class Known(dict):
+    """Words seen by a task to numbers of shapes: what a word weighs by itself and how it tells of its neighbours."""
+
+    CLASSES = ("other", "telling", "mark")
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field, self.chars, self.shapes, self.filled = field, 0, {}, 0
+        self.own, self.near = np.zeros((1024, 3)), np.zeros(1024, np.int8)
+        self.before, self.after, self.before2 = (np.array([self.weigh([f"{at}={c}"]) for c in self.CLASSES]) for at in ("before", "after", "before2"))
+
+    def weigh(self, features: Iterable[str]) -> np.ndarray:
+        return self.field.weights[[self.field.names[f] for f in features if f in self.field.names]].sum(axis=0)
+
+    def __missing__(self, word: str) -> int:
+        near = _telling(word)
+        features = (*word_features(word), f"self={near}")
+        at = self.shapes.setdefault(features, len(self.shapes))
+        if at == len(self.own):
+            self.own, self.near = np.concatenate([self.own, np.zeros_like(self.own)]), np.concatenate([self.near, np.zeros_like(self.near)])
+        if at == self.filled:
+            self.own[at], self.near[at] = self.weigh(features), self.CLASSES.index(near)
+            self.filled += 1
+        self[word] = at
+        self.chars += len(word)
+        return at
+
+    def emissions(self, text: str) -> np.ndarray:
+        """What every word of the text weighs for each tag."""
+        if len(self) > _REMEMBERED or self.chars > _REMEMBERED_CHARS:
+            self.clear()
+            self.chars = 0
+        at = np.fromiter(map(self.__getitem__, words), np.int64) if (words := _WORD.findall(text)) else np.zeros(0, np.int64)
+        near = np.concatenate([[0, 0], self.near[at], [0]])
+        return self.own[at] + self.before[near[1:-2]] + self.after[near[3:]] + self.before2[near[:-3]] + self.weigh(file_features(text))
+
+
+def field_spans(text: str, field: Field, base: list[Span], known: Known | None = None) -> list[Span]:
     """Spans of the field that touch no base span; quotes and commas around a secret are left out."""
     out: list[Span] = []
-    for stretch in stretches(text):
-        tags, i = field.decode(stretch), 0
+    emit = (Known(field) if known is None else known).emissions(text)
+    # tags of neighbours can win back no more than this, so elsewhere the best path is outside
+    doubtful = np.nonzero(emit[:, 0] - emit[:, 1:].max(axis=1) <= 2 * (field.moves.max() - field.moves.min()) + 1e-9)[0]
+    if not len(doubtful):
+        return out
+    words = [m.span() for m in _WORD.finditer(text)]
+    for run in np.split(doubtful, np.nonzero(np.diff(doubtful) > 1)[0] + 1):
+        stretch = words[run[0]:run[-1] + 1]
+        tags, i = field.best_tags(emit[run]), 0
         while i < len(tags):
             if not tags[i]:
                 i += 1
@@ -314,12 +370,13 @@ def scan(docs: DataFrame, rows: int = TRAIN_DOCS) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = held.value
+        known = Known(field) if field else None
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                added = field_spans(text, field, base) if field else []
+                added = field_spans(text, field, base, known) if field else []
                 kinds = Counter(s[2] for s in base)
                 spans = sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
                 out.append((kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
