@@ -106,3 +106,14 @@ def test_equal_rows_scatter(spark):
     docs = spark.range(5000).selectExpr("7L as doc_id", "'same' as text")
     rows = shard.shard_plan(docs, bucket_bytes=64 * 100)
     check_shards(rows.collect(), 24, 5000)
+
+
+def test_equal_whole_rows_scatter(spark):
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) as doc_id", "if(id % 3 = 0, null, concat('text ', id)) as text", "'a' as source")
+    rows = shard.shard(docs, bucket_bytes=2000).collect()
+    check_shards(rows, 24, 3000)
+    assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.collect())
+    places = [at for at, r in enumerate(sorted(rows, key=lambda r: (r["shard"], r["slot"]))) if r["text"] is None]
+    assert len(places) == 1000 and places[-1] - places[0] > 2700
+    again = shard.shard(docs.repartition(5), bucket_bytes=2000).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
