@@ -7,6 +7,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewatch.functions.frames import local_frame
+
 Holiday = tuple[date, str]
 FIRST_YEAR, LAST_YEAR = 1970, 2100
 
@@ -157,9 +159,9 @@ def holiday_rows(label: str, first: int, last: int) -> list[tuple[str, date, str
 def holiday_dim(spark: SparkSession, labels: list[str], first: int = 1990, last: int = 2040) -> DataFrame:
     """(ref_label, date, name) for known references; other calendars come from a user's table of the same columns."""
     rows = [r for label in sorted(set(labels)) for r in holiday_rows(label, first, last)]
-    return spark.createDataFrame(rows, "ref_label string, date date, name string")
+    return local_frame(spark, rows, "ref_label string, date date, name string")
 
 
 def holiday_ranges(spark: SparkSession, labels: list[str]) -> DataFrame:
     """(ref_label, first_year, last_year): the years for which a reference's rules hold."""
-    return spark.createDataFrame([(label, RULES[label][1], LAST_YEAR) for label in sorted(set(labels))], "ref_label string, first_year int, last_year int")
+    return local_frame(spark, [(label, RULES[label][1], LAST_YEAR) for label in sorted(set(labels))], "ref_label string, first_year int, last_year int")

@@ -9,6 +9,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.frames import local_frame
+
 #: Zone names the JVM spells differently; fixed values.
 ZONE_ALIASES = {"ROC": "Asia/Taipei"}
 DAY_US = 86_400_000_000
@@ -39,10 +41,6 @@ def shift(instant: Column, microseconds: Column) -> Column:
     return F.timestamp_add("MICROSECOND", microseconds, instant)
 
 
-def microseconds_between(start: Column, end: Column) -> Column:
-    return F.timestamp_diff("MICROSECOND", start, end)
-
-
 def classify_local(local: Column, tz: Column) -> Column:
     """normal, gap or ambiguous."""
     utc = resolve_local(local, tz)
@@ -55,15 +53,15 @@ def classify_local(local: Column, tz: Column) -> Column:
             .when((offset > offset_later) & (to_local(again, tz) == local), "ambiguous").otherwise("normal"))
 
 
-def _text(ntz: Column) -> Column:
-    return F.rpad(ntz.cast("string"), 26, "0")
+def format_plain(instant: Column) -> Column:
+    """``2026-01-31 16:00:00``; microseconds, six digits of them, only if there are any."""
+    text = instant.cast("string")
+    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
 
 
 def format_utc(instant: Column) -> Column:
     """ISO with Z; microseconds only if there are any."""
-    plain = F.substring(instant.cast("string"), 1, 19)
-    micros = F.substring(F.rpad(F.concat(instant.cast("string"), F.when(F.length(instant.cast("string")) == 19, ".").otherwise("")), 26, "0"), 21, 6)
-    return F.concat(F.translate(plain, " ", "T"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("Z"))
+    return F.concat(F.translate(format_plain(instant), " ", "T"), F.lit("Z"))
 
 
 def format_local(instant: Column, tz: Column, names: Column) -> Column:
@@ -102,7 +100,8 @@ def _abbreviations(zone: str, first: int, last: int) -> list[tuple[datetime, str
     return out
 
 
-def zone_names(spark: SparkSession, zones: list[str], first: int = 1970, last: int = 2037) -> DataFrame:
-    """(tz, names): for each zone its abbreviations with the instants since when they hold."""
+def zone_names(spark: SparkSession, zones: list[str], first: int = 1850, last: int = 2200) -> DataFrame:
+    """(tz, names): for each zone its abbreviations with the instants since when they hold. Before ``first`` the
+    earliest holds, after ``last`` the last one."""
     rows = [(z, [(since, name) for since, name in _abbreviations(z, first, last)]) for z in sorted(zones)]
-    return spark.createDataFrame(rows, "tz string, names array<struct<since:timestamp_ntz,name:string>>")
+    return local_frame(spark, rows, "tz string, names array<struct<since:timestamp_ntz,name:string>>")

@@ -4,184 +4,186 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.timeutil import format_duration, format_local, format_utc, local_date, resolve_local, shift, to_local, ts, zone_names
-from tidewatch.operators.releases import consults_calendar, instants, release_days, times_of_day
+from tidewatch.functions.timeutil import classify_local, format_duration, format_plain, format_utc, ts, zone_names
+from tidewatch.operators.releases import (
+    CONSULTS_CALENDAR, DAY, FLOOR, HORIZON_DAYS, TIMES_OF_DAY, days_off, distinct_instants, kept, let, local_day, schedule_days, times_on, with_calendar,
+)
 
-HORIZON_DAYS, MAX_COUNTED, CONSULT_DAYS = 1830, 10_000, 34
+MAX_COUNTED, CONSULT_DAYS, NEAR_DAYS = 10_000, 34, 45
 FUTURE_SKEW_US = 5 * 60_000_000
 
 
-def normalize_observed(rules: DataFrame, observations: DataFrame, now: Column) -> DataFrame:
+def _issue(code: str, *message: str) -> str:
+    return f"named_struct('code', '{code}', 'message', concat({', '.join(message)}))"
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "\\'") + "'"
+
+
+def normalize_observed(rules: DataFrame, observations: DataFrame) -> DataFrame:
     """observations: source_id, observed (TIMESTAMP_NTZ) and naive (is it wall time in observed_tz?). Adds the instant,
-    W002 (zone ignored), W003 (future) and E214 (wall time without a zone). Codes and messages are fixed values of the
-    report format."""
-    rows = rules.join(observations, "source_id", "left")
-    observed, naive = F.col("observed"), F.col("naive")
-    rows = rows.withColumn("observed_at", F.when(naive, resolve_local(observed, F.col("observed_tz"))).otherwise(observed))
-    text = F.translate(F.substring(observed.cast("string"), 1, 26), "", "")
-    e214 = F.when(observed.isNotNull() & naive & F.col("observed_tz").isNull(), F.struct(F.lit("E214").alias("code"), F.concat(
-        F.lit("max("), F.col("loaded_at_field"), F.lit(") returned a timestamp without time zone ("), text,
-        F.lit("); set observed_timezone on the source or under defaults (write UTC explicitly if the column stores UTC)")).alias("message")))
-    late = F.timestamp_diff("MICROSECOND", now, F.col("observed_at"))
-    w002 = F.when(observed.isNotNull() & ~naive & F.col("observed_tz").isNotNull(), F.struct(F.lit("W002").alias("code"), F.concat(
-        F.lit("observed_timezone '"), F.col("observed_tz"), F.lit("' ignored because the value is timezone-aware")).alias("message")))
-    w003 = F.when(late > FUTURE_SKEW_US, F.struct(F.lit("W003").alias("code"), F.concat(
-        F.lit("observed timestamp "), format_utc(F.col("observed_at")), F.lit(" is "), format_duration(late),
-        F.lit(" after now; check observed_timezone or clock skew")).alias("message")))
-    return rows.withColumn("e214", e214).withColumn("warnings", F.array_compact(F.array(w002, w003)))
-
-
-def _searches(rows: DataFrame, now: Column) -> DataFrame:
-    """The date windows each rule needs: around now, forward from now, and from the load time on."""
-    today = local_date(now, F.col("tz"))
-    floor_date = F.coalesce("active_from", today)
-    start = local_date(F.col("start"), F.col("tz"))
-    old = F.coalesce(F.col("stale"), F.lit(False))
-    window = lambda name, first, last: F.struct(F.lit(name).alias("purpose"), first.alias("first"), last.alias("last"))
-    options = F.array(
-        window("back", F.date_sub(today, HORIZON_DAYS + 2), F.date_add(today, 2)),
-        window("ahead", F.date_sub(F.greatest(today, floor_date), 2), F.date_add(today, HORIZON_DAYS + 2)),
-        F.when(F.col("start").isNotNull(), window("since", F.date_sub(start, 2), F.date_add(today, 2))),
-        F.when(old, window("recent", F.date_sub(today, HORIZON_DAYS + 2), F.date_add(today, 2))))
-    rows = rows.select("*", F.explode(F.array_compact(options)).alias("w")).select("*", "w.*").drop("w")
-    return rows.where("first <= last")
-
-
-def _needed(days: DataFrame, now: Column) -> DataFrame:
-    """Of each window only the days that can decide: the ends near now, or as many as reach the count cap.
-
-    Offsets of one zone stay within 26 hours of each other, so beyond two days from an anchor the four nearest
-    distinct days are enough; counting never needs more days than hold MAX_COUNTED releases.
-    """
-    today = local_date(now, F.col("tz"))
-    by = Window.partitionBy("source_id", "purpose")
-    back = F.dense_rank().over(by.orderBy(F.desc("final_date")))
-    forth = F.dense_rank().over(by.orderBy("final_date"))
-    per_day = F.size(times_of_day())
-    days = days.withColumn("_back", back).withColumn("_forth", forth)
-    counting = F.col("_forth") <= F.ceil(F.lit(MAX_COUNTED) / per_day) + 8
-    keep = (F.when(F.col("purpose") == "back", (F.col("_back") <= 8) | (F.col("final_date") >= F.date_sub(today, 2)))
-            .when(F.col("purpose") == "ahead", F.col("_forth") <= 8).otherwise(counting))
-    return days.where(keep | F.col("roll_failed"))
+    W002 (zone ignored), W003 (future) and E214 (wall time without a zone); ``now`` is a column of the rules. Codes and
+    messages are fixed values of the report format."""
+    rows = rules.join(observations.select("source_id", "observed", "naive"), "source_id", "left")
+    rows = rows.withColumn("observed_at", F.expr("CASE WHEN naive THEN convert_timezone(observed_tz, 'UTC', observed) ELSE observed END"))
+    late = F.timestamp_diff("MICROSECOND", F.col("now"), F.col("observed_at"))
+    rows = rows.withColumns({"late": late, "late_text": format_duration(late), "utc_text": format_utc(F.col("observed_at")), "plain_text": format_plain(F.col("observed"))})
+    e214 = _issue("E214", _q("max("), "loaded_at_field", _q(") returned a timestamp without time zone ("), "plain_text",
+                  _q("); set observed_timezone on the source or under defaults (write UTC explicitly if the column stores UTC)"))
+    w002 = _issue("W002", _q("observed_timezone '"), "observed_tz", _q("' ignored because the value is timezone-aware"))
+    w003 = _issue("W003", _q("observed timestamp "), "utc_text", _q(" is "), "late_text", _q(" after now; check observed_timezone or clock skew"))
+    return rows.withColumns({
+        "e214": F.expr(f"CASE WHEN observed IS NOT NULL AND naive AND observed_tz IS NULL THEN {e214} END"),
+        "noted": F.expr(f"array_compact(array(CASE WHEN observed IS NOT NULL AND NOT naive AND observed_tz IS NOT NULL THEN {w002} END, "
+                        f"CASE WHEN late > {FUTURE_SKEW_US} THEN {w003} END))")}).drop("late", "late_text", "plain_text")
+
+
+#: Days around today that can hold the last or the next release: today and its neighbours, three before and five
+#: after. Offsets of one zone differ by at most a day, so a farther day can't come first.
+_AROUND = let("held", kept("filter(near, x -> active_from IS NULL OR x.final >= date_sub(active_from, 1))"), let(
+    "past", "filter(held, x -> x.final < date_sub(today, 1))",
+    "concat(slice(past, greatest(size(past) - 2, 1), 3), filter(held, x -> x.final BETWEEN date_sub(today, 1) AND date_add(today, 1)), "
+    "slice(filter(held, x -> x.final > date_add(today, 1)), 1, 5))"))
+_ACTIVE = "(floor IS NULL OR r.instant >= floor)"
+_PAST = f"r.instant <= now AND r.instant >= oldest AND {_ACTIVE}"
+_FUTURE = f"r.instant > now AND r.instant <= {days_off('now', HORIZON_DAYS)} AND {_ACTIVE}"
+_LATE = "timestampadd(MICROSECOND, grace_us, r.instant) < now"
+
+
+def _latest(times: str) -> str:
+    """The latest release so far, told of by its first nominal."""
+    return let("had", f"filter({times}, r -> {_PAST})", let("top", "array_max(transform(had, r -> r.instant))", "array_min(filter(had, r -> r.instant = top))"))
+
+
+def in_steps(rows: DataFrame, steps: list[dict[str, str]], at_once: int = 5) -> DataFrame:
+    """Columns added step by step, several steps a statement: the plan is analysed once for each statement."""
+    for i in range(0, len(steps), at_once):
+        text = "SELECT * FROM {rows}"
+        for step in steps[i:i + at_once]:
+            text = f"SELECT *, {', '.join(f'{value} AS {name}' for name, value in step.items())} FROM ({text})"
+        rows = rows.sparkSession.sql(text, rows=rows)
+    return rows
+
+
+def _search() -> list[dict[str, str]]:
+    """The steps that add last, next_release, the first of the releases since the load time with their counts, and the days that
+    could not be decided.
+
+    A search takes 45 days around now first; the full horizon of 1830 days is looked through only by rules that
+    find nothing there, or whose data are older (``CASE`` leaves the rest unevaluated)."""
+    steps: list[dict[str, str]] = []
+    steps.append(dict(today=local_day("now"), first_day=local_day("start"), oldest=days_off("now", -HORIZON_DAYS)))
+    steps.append(dict(near=schedule_days(f"date_sub(today, {NEAR_DAYS})", f"date_add(today, {NEAR_DAYS})")))
+    steps.append(dict(around=times_on(_AROUND)))
+    steps.append(dict(last_near=_latest("around"), next_near=f"array_min(filter(around, r -> {_FUTURE}))"))
+    begin = f"date_sub(today, {HORIZON_DAYS + 2})"
+    back = schedule_days(f"greatest({begin}, date_sub(coalesce(active_from, {begin}), 1))", f"date_sub(today, {NEAR_DAYS - 2})")
+    ahead = schedule_days(f"greatest(date_add(today, {NEAR_DAYS - 2}), date_sub(coalesce(active_from, today), 1))", f"date_add(today, {HORIZON_DAYS + 2})")
+    steps.append(dict(far_back=f"CASE WHEN last_near IS NULL AND (floor IS NULL OR floor <= now) THEN {back} END",
+                        far_ahead=f"CASE WHEN next_near IS NULL THEN {ahead} END"))
+    end = let("held", kept("far_back"), "slice(held, greatest(size(held) - 3, 1), 4)")
+    steps.append(dict(last=f"coalesce(last_near, CASE WHEN far_back IS NOT NULL THEN {_latest(times_on(end))} END)",
+                        next_release=f"coalesce(next_near, CASE WHEN far_ahead IS NOT NULL THEN array_min(filter({times_on(f'slice({kept("far_ahead")}, 1, 5)')}, r -> {_FUTURE})) END)"))
+    # counting: as many days from the load time on as reach the cap
+    whole = schedule_days("date_sub(first_day, 2)", "date_add(today, 2)")
+    recent = schedule_days(begin, "date_add(today, 2)")
+    steps.append(dict(since_days=f"CASE WHEN start IS NULL THEN NULL WHEN stale THEN {recent} WHEN first_day >= date_sub(today, {NEAR_DAYS - 4}) "
+                                   f"THEN filter(near, x -> x.final IS NULL OR x.final BETWEEN date_sub(first_day, 2) AND date_add(today, 2)) ELSE {whole} END"))
+    after_start = "CASE WHEN inclusive THEN r.instant >= start ELSE r.instant > start END"
+    some = lambda days: times_on(f"slice({kept(days)}, 1, CAST(ceil({MAX_COUNTED} / size({TIMES_OF_DAY})) AS INT) + 8)")
+    steps.append(dict(since=f"filter({some('since_days')}, r -> r.instant <= now AND {_ACTIVE} AND CASE WHEN stale THEN r.instant >= oldest ELSE {after_start} END)"))
+    steps.append(dict(by_recent=f"coalesce(stale AND exists(since, r -> {_LATE}), false)"))
+    steps.append(dict(old_days=f"CASE WHEN stale AND NOT by_recent THEN {whole} END"))
+    steps.append(dict(counted=f"CASE WHEN old_days IS NOT NULL THEN filter({some('old_days')}, r -> r.instant <= now AND {_ACTIVE} AND {after_start}) ELSE since END"))
+    capped = lambda times: f"CAST(least(coalesce({distinct_instants(times)}, 0), {MAX_COUNTED}) AS BIGINT)"
+    steps.append(dict(first=f"{let('f', 'array_min(counted)', f'CASE WHEN NOT stale OR by_recent OR f.instant <= {days_off("start", HORIZON_DAYS)} THEN f END')}",
+                        n=capped("counted"), missed=capped(f"filter(counted, r -> {_LATE})")))
+    # days that can't be decided matter where a search gets to them
+    lo, hi = (f"coalesce({a}, {b})" for a, b in (("date_sub(last.nominal, 2)", f"date_sub(today, {HORIZON_DAYS + 40})"),
+                                                 ("date_add(next_release.nominal, 2)", f"date_add(today, {HORIZON_DAYS + 40})")))
+    parts = [f"coalesce(filter({c}, x -> x.nominal BETWEEN lo.a AND lo.b AND (x.final IS NULL OR x.unknown)), CAST(array() AS array<{DAY}>))" for c in ("near", "far_back", "far_ahead")]
+    parts += [f"coalesce(filter({c}, x -> x.nominal <= today AND (x.final IS NULL OR x.unknown)), CAST(array() AS array<{DAY}>))" for c in ("since_days", "old_days")]
+    steps.append(dict(touched=let("lo", f"named_struct('a', {lo}, 'b', {hi})", f"concat({', '.join(parts)})")))
+    steps.append(dict(roll_failed_on="array_min(transform(filter(touched, x -> x.final IS NULL), x -> x.nominal))",
+                      unknown_on="array_min(transform(filter(touched, x -> x.unknown), x -> x.nominal))"))
+    return steps
+
+
+#: ``Fri 2026-09-25 16:00 CEST``, of the instants a sentence speaks of.
+_TEXTS = """transform(array(release.instant, timestampadd(MICROSECOND, grace_us, release.instant), next_at, seen_at), t -> CASE WHEN t IS NOT NULL THEN """ + let(
+    "wall", "convert_timezone('UTC', tz, t)",
+    "concat_ws(' ', substr('MonTueWedThuFriSatSun', weekday(CAST(wall AS DATE)) * 3 + 1, 3), substr(CAST(wall AS STRING), 1, 16), "
+    "element_at(filter(names, z -> z.since <= t), -1).name)") + " END)"
+
+
+def _explanation() -> str:
+    """One sentence per verdict. The sentences are fixed values of the report format."""
+    text = lambda *parts: f"concat({', '.join(parts)})"
+    release, deadline, following, observed = (f"texts[{i}]" for i in range(4))
+    then = f"coalesce({text(_q('next release '), following)}, {_q('no next release within 1830 days')})"
+    noun = f"CASE WHEN missed_count = 1 THEN {_q(' release missed')} ELSE {_q(' releases missed')} END"
+    missed = text(f"CASE WHEN missed_truncated THEN {_q('at least ')} ELSE '' END", "CAST(missed_count AS STRING)", noun)
+    pending = f"CASE WHEN pending_count = 1 THEN '' ELSE {text(_q(' ('), 'CAST(pending_count AS STRING)', _q(' releases pending)'))} END"
+    on_time = (f"coalesce({text(_q('On time: latest release '), release, _q(' arrived (observed '), observed, _q('); '), then, _q('.'))}, "
+               f"{text(_q('On time: no release has occurred yet; '), then, _q('.'))})")
+    return (f"CASE WHEN status = 'CONFIG_ERROR' THEN {text(_q('Configuration error: '), 'error.code', _q(' '), 'error.message')} "
+            f"WHEN status = 'NO_DATA' THEN {text(_q('No data: max('), 'loaded_at_field', _q(') returned NULL; latest release '), f'coalesce({release}, {_q("none")})', _q('; '), then, _q('.'))} "
+            f"WHEN status = 'ON_TIME' THEN {on_time} "
+            f"WHEN status = 'NOT_DUE' THEN {text(_q('Not due: release '), release, _q(' has not arrived yet'), pending, _q('; grace window ends '), deadline, _q('; '), then, _q('.'))} "
+            f"ELSE {text(_q('Overdue: release '), release, _q(' missed its deadline '), deadline, _q('; '), missed, _q('; latest data observed '), f'coalesce({observed}, {_q("never")})', _q('.'))} END")
 
 
 def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calendars: DataFrame, now: datetime | None) -> DataFrame:
     """Verdicts at one instant, or, without one, each rule's at the instant in its column ``now``.
 
     A row per rule: status, release and its description, deadline, observed_at, next_expected_arrival, counts, warnings, error, explanation."""
-    at = F.col("now")
     if now is not None:
         rules = rules.withColumn("now", ts(now))
     zones = [r["tz"] for r in rules.select("tz").distinct().collect()]
-    names = zone_names(rules.sparkSession, zones)
-    rows = normalize_observed(rules, observations, at).join(calendars.select("calendar_id", "valid_until", "label"), "calendar_id", "left")
-    floor = resolve_local(F.col("active_from").cast("timestamp_ntz"), F.col("tz"))
-    oldest = F.timestamp_add("DAY", F.lit(-HORIZON_DAYS), at)
-    rows = rows.withColumn("inclusive", F.col("observed_at").isNull())
-    rows = rows.withColumn("start", F.when(F.col("observed_at") <= at, F.col("observed_at")).when(F.col("observed_at").isNull() & (floor <= at), floor))
-    rows = rows.withColumn("stale", F.col("start") < oldest)
-
-    held = _needed(release_days(_searches(rows, at), days), at)
-    odd = lambda cond, *purposes: F.when(F.col(cond) & F.col("purpose").isin(*purposes), F.col("nominal_date"))
-    failed = held.where("roll_failed or unknown").groupBy("source_id").agg(
-        F.min(odd("roll_failed", "back", "ahead", "since", "recent")).alias("roll_failed_on"), F.max(odd("unknown", "back")).alias("unknown_back"),
-        F.min(odd("unknown", "ahead")).alias("unknown_ahead"), F.min(odd("unknown", "since", "recent")).alias("unknown_since"))
-    found = instants(held, ["source_id", "purpose", "now", "start", "inclusive", "stale"])
-    deadline = shift(F.col("instant"), F.col("grace_us"))
-    about = F.struct("instant", "local", "adjusted_from", "clamped", "dst")
-    purpose = F.col("purpose")
-    after_start = F.when(F.col("inclusive"), F.col("instant") >= F.col("start")).otherwise(F.col("instant") > F.col("start"))
-    since = (purpose == "since") & (F.col("instant") <= at) & after_start
-    recent = (purpose == "recent") & F.col("instant").between(oldest, at)
-    pick = lambda fn, cond: fn(F.when(cond, about), F.when(cond, F.col("instant")))
-    agg = found.groupBy("source_id").agg(
-        pick(F.max_by, (purpose == "back") & F.col("instant").between(oldest, at)).alias("last"),
-        F.min(F.when((purpose == "ahead") & (F.col("instant") > at) & (F.col("instant") <= F.timestamp_add("DAY", F.lit(HORIZON_DAYS), at)), F.col("instant"))).alias("next"),
-        pick(F.min_by, since).alias("first_since"), pick(F.min_by, recent).alias("first_recent"),
-        F.count_if(since).alias("n_since"), F.count_if(since & (deadline < at)).alias("missed_since"),
-        F.count_if(recent).alias("n_recent"), F.count_if(recent & (deadline < at)).alias("missed_recent"))
-    rows = rows.join(agg, "source_id", "left").join(failed, "source_id", "left").join(F.broadcast(names), "tz", "left")
-
-    by_recent = F.coalesce(F.col("stale") & (F.col("missed_recent") > 0), F.lit(False))
-    reach = F.timestamp_add("DAY", F.lit(HORIZON_DAYS), F.col("start"))
-    usable_since = F.col("first_since").isNotNull() & (~F.col("stale") | (F.col("first_since.instant") <= reach))
-    first = F.when(by_recent, F.col("first_recent")).when(usable_since, F.col("first_since"))
-    capped = lambda c: F.least(F.coalesce(c, F.lit(0)), F.lit(MAX_COUNTED)).cast("long")
-    n = F.when(by_recent, capped(F.col("n_recent"))).otherwise(capped(F.col("n_since")))
-    missed = F.when(by_recent, capped(F.col("missed_recent"))).otherwise(capped(F.col("missed_since")))
-    rows = rows.withColumns({"first": first, "n": n, "missed": missed, "by_recent": by_recent})
-
-    def issue(code: str, message: Column) -> Column:
-        return F.struct(F.lit(code).alias("code"), message.alias("message"))
-
-    expired = local_date(at, F.col("tz")) > F.col("valid_until")
-    e408 = F.when(expired, issue("E408", F.concat(F.lit("calendar "), F.col("label"), F.lit(" is not valid after "), F.col("valid_until").cast("string"))))
-    e407 = F.when(F.col("roll_failed_on").isNotNull(), issue("E407", F.concat(
-        F.lit("no business day within 31 days of "), F.col("roll_failed_on").cast("string"))))
-    # days beyond the known years only count where the search for the last or the next release gets to them
-    unknown = F.coalesce(
-        F.when(F.col("last").isNull() | (F.col("unknown_back") >= F.date_sub(F.col("last.local").cast("date"), 2)), F.col("unknown_back")),
-        F.when(F.col("next").isNull() | (F.col("unknown_ahead") <= F.date_add(F.col("next").cast("date"), 2)), F.col("unknown_ahead")), F.col("unknown_since"))
-    e405 = F.when(unknown.isNotNull(), issue("E405", F.concat(
-        F.lit("calendar "), F.col("label"), F.lit(" has no holidays for the year of "), unknown.cast("string"))))
-    e209 = F.when(F.col("last").isNull() & F.col("next").isNull(), issue("E209", F.concat(
-        F.lit("schedule produces no release within 1830 days before or after "), format_utc(at))))
-    undecided = F.col("start").isNotNull() & F.col("stale") & F.col("first").isNull()
-    e215 = F.when(undecided, issue("E215", F.concat(
-        F.lit("cannot decide freshness: observed timestamp "), format_utc(F.col("start")),
-        F.lit(" is more than 1830 days old, no release in the last 1830 days has passed its deadline, and "
-              "the schedule has no release within 1830 days after the observed timestamp"))))
-    rows = rows.withColumn("error", F.coalesce(e408, F.col("e214"), e405, e407, e209, e215))
-    no_data = F.col("observed_at").isNull() & F.col("active_from").isNull()
-    has_first = F.col("first").isNotNull()
-    status = (F.when(F.col("error").isNotNull(), "CONFIG_ERROR").when(no_data, "NO_DATA").when(~has_first, "ON_TIME")
-              .when(F.col("missed") > 0, "OVERDUE").otherwise("NOT_DUE"))
-    rows = rows.withColumn("status", status)
-    open_ = F.col("status").isin("OVERDUE", "NOT_DUE")
-    release = F.when(F.col("error").isNotNull(), None).when(open_, F.col("first")).otherwise(F.col("last"))
-    w005 = F.when(F.col("error").isNull() & consults_calendar() & (local_date(F.timestamp_add("DAY", F.lit(CONSULT_DAYS), at), F.col("tz")) > F.col("valid_until")),
-                  issue("W005", F.concat(F.lit("calendar "), F.col("label"), F.lit(" was consulted for "),
-                                         local_date(F.timestamp_add("DAY", F.lit(CONSULT_DAYS), at), F.col("tz")).cast("string"), F.lit(", after its valid_until "),
-                                         F.col("valid_until").cast("string"), F.lit("; the next expected arrival may be wrong"))))
-    ok = F.col("error").isNull()
-    rows = rows.withColumns({
-        "release": release, "next_expected_arrival": F.when(ok, F.col("next")),
-        "observation": F.when(ok, F.col("observed_at")),
-        "missed_count": F.when(F.col("status") == "OVERDUE", F.col("missed")).otherwise(0).cast("long"),
-        "pending_count": F.when(open_, F.col("n") - F.col("missed")).otherwise(0).cast("long"),
-        "missed_truncated": F.coalesce(open_ & (F.col("by_recent") | (F.col("n") == MAX_COUNTED)), F.lit(False)),
-        "warnings": F.concat("warnings", F.array_compact(F.array(w005)))})
-    rows = rows.withColumn("deadline", shift(F.col("release.instant"), F.col("grace_us"))).withColumn("evaluated_at", at)
-    rows = rows.withColumn("explanation", explanation())
-    return rows.select(
-        "source_id", "origin", "status", "evaluated_at", F.col("tz").alias("schedule_timezone"), F.col("release.instant").alias("release"),
-        F.col("release.local").alias("release_local"), F.col("release.adjusted_from").alias("adjusted_from"), F.col("release.dst").alias("dst"),
-        F.col("release.clamped").alias("clamped"), "deadline", F.col("observation").alias("observed_at"), "next_expected_arrival",
-        "missed_count", "missed_truncated", "pending_count", "warnings", "error", "explanation")
-
-
-def explanation() -> Column:
-    """One sentence per verdict. The sentences are fixed values of the report format."""
-    show = lambda c: format_local(c, F.col("tz"), F.col("names"))
-    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    release, n = F.col("release.instant"), F.col("missed_count")
-    then = F.coalesce(text("next release ", show(F.col("next_expected_arrival"))), F.lit("no next release within 1830 days"))
-    noun = F.when(n == 1, "release missed").otherwise("releases missed")
-    missed = F.when(F.col("missed_truncated"), text("at least ", n.cast("string"), " ", noun)).otherwise(text(n.cast("string"), " ", noun))
-    pending = F.when(F.col("pending_count") == 1, "").otherwise(text(" (", F.col("pending_count").cast("string"), " releases pending)"))
-    on_time = F.coalesce(text("On time: latest release ", show(release), " arrived (observed ", show(F.col("observation")), "); ", then, "."),
-                         text("On time: no release has occurred yet; ", then, "."))
-    return (F.when(F.col("status") == "CONFIG_ERROR", text("Configuration error: ", F.col("error.code"), " ", F.col("error.message")))
-            .when(F.col("status") == "NO_DATA", text("No data: max(", F.col("loaded_at_field"), ") returned NULL; latest release ",
-                                                     F.coalesce(show(release), F.lit("none")), "; ", then, "."))
-            .when(F.col("status") == "ON_TIME", on_time)
-            .when(F.col("status") == "NOT_DUE", text("Not due: release ", show(release), " has not arrived yet", pending, "; grace window ends ",
-                                                     show(F.col("deadline")), "; ", then, "."))
-            .otherwise(text("Overdue: release ", show(release), " missed its deadline ", show(F.col("deadline")), "; ", missed, "; latest data observed ",
-                            F.coalesce(show(F.col("observation")), F.lit("never")), ".")))
+    rows = normalize_observed(rules, observations).join(calendars.select("calendar_id", "valid_until", "label"), "calendar_id", "left")
+    rows = with_calendar(rows, days).join(F.broadcast(zone_names(rules.sparkSession, zones)), "tz", "left")
+    steps: list[dict[str, str]] = [
+        dict(floor=FLOOR, inclusive="observed_at IS NULL"),
+        dict(start="CASE WHEN observed_at <= now THEN observed_at WHEN observed_at IS NULL AND floor <= now THEN floor END"),
+        dict(stale=f"coalesce(start < {days_off('now', -HORIZON_DAYS)}, false)"), *_search()]
+
+    utc = lambda c: let("u", f"CAST({c} AS STRING)", "concat(translate(CASE WHEN length(u) > 19 THEN rpad(u, 26, '0') ELSE u END, ' ', 'T'), 'Z')")
+    named, valid = _q("calendar "), "CAST(valid_until AS STRING)"
+    errors = {
+        "today > valid_until": _issue("E408", named, "label", _q(" is valid until "), valid, _q(", but the evaluation date is "), "CAST(today AS STRING)",
+                                      _q("; review its holidays and overrides for the next period and extend valid_until")),
+        "e214 IS NOT NULL": "e214",
+        "unknown_on IS NOT NULL": _issue("E405", named, "label", _q(" has no holiday data for "), "CAST(year(unknown_on) AS STRING)"),
+        "roll_failed_on IS NOT NULL": _issue("E407", _q("no business day within 31 days "), f"CASE WHEN policy = 'following' THEN {_q('after ')} ELSE {_q('before ')} END", "CAST(roll_failed_on AS STRING)"),
+        "last IS NULL AND next_release IS NULL": _issue("E209", _q("schedule produces no release within 1830 days before or after "), utc("now")),
+        "start IS NOT NULL AND stale AND first IS NULL": _issue("E215", _q("cannot decide freshness: observed timestamp "), utc("start"), _q(
+            " is more than 1830 days old, no release in the last 1830 days has passed its deadline, and the schedule has no release within 1830 days after the observed timestamp")),
+    }
+    steps.append(dict(error="CASE " + " ".join(f"WHEN {c} THEN {i}" for c, i in errors.items()) + " END"))
+    steps.append(dict(status="CASE WHEN error IS NOT NULL THEN 'CONFIG_ERROR' WHEN observed_at IS NULL AND active_from IS NULL THEN 'NO_DATA' "
+                             "WHEN first IS NULL THEN 'ON_TIME' WHEN missed > 0 THEN 'OVERDUE' ELSE 'NOT_DUE' END"))
+    open_ = "status IN ('OVERDUE', 'NOT_DUE')"
+    steps.append({
+        "release": f"CASE WHEN error IS NOT NULL THEN NULL WHEN {open_} THEN first ELSE last END",
+        "next_at": "CASE WHEN error IS NULL THEN next_release.instant END", "seen_at": "CASE WHEN error IS NULL THEN observed_at END",
+        "missed_count": "CASE WHEN status = 'OVERDUE' THEN missed ELSE 0L END", "pending_count": f"CASE WHEN {open_} THEN n - missed ELSE 0L END",
+        "missed_truncated": f"coalesce({open_} AND (by_recent OR n = {MAX_COUNTED}), false)",
+        "consulted": f"greatest({local_day(days_off('now', CONSULT_DAYS))}, next_release.nominal, CAST(next_release.local AS DATE))"})
+    w005 = _issue("W005", named, "label", _q(" was consulted for "), "CAST(consulted AS STRING)", _q(", after its valid_until "), valid, _q("; the next expected arrival may be wrong"))
+    noted = f"CASE WHEN error IS NOT NULL THEN filter(noted, x -> false) WHEN {CONSULTS_CALENDAR} AND consulted > valid_until THEN concat(noted, array({w005})) ELSE noted END"
+    steps.append(dict(texts=_TEXTS, warnings=noted))
+    rows = in_steps(rows, steps).withColumn("dst", F.when(F.col("release").isNotNull(), classify_local(F.col("release.local"), F.col("tz"))))
+    return rows.selectExpr(
+        "source_id", "origin", "status", "now AS evaluated_at", "tz AS schedule_timezone", "release.instant AS release", "release.local AS release_local",
+        "release.adjusted_from AS adjusted_from", "dst", "release.clamped AS clamped", "timestampadd(MICROSECOND, grace_us, release.instant) AS deadline",
+        "seen_at AS observed_at", "CASE WHEN seen_at IS NOT NULL THEN observed END AS observed_raw", "CASE WHEN seen_at IS NOT NULL THEN naive END AS was_naive",
+        "CASE WHEN seen_at IS NOT NULL AND naive THEN observed_tz END AS interpreted_timezone", "next_at AS next_expected_arrival", "missed_count",
+        "missed_truncated", "pending_count", "warnings", "error", f"{_explanation()} AS explanation",
+        "named_struct('release', texts[0], 'deadline', texts[1], 'next', texts[2], 'observed', texts[3]) AS texts")
 
 
 def status_summary(verdicts: DataFrame) -> DataFrame:

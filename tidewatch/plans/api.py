@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.frames import local_frame
 from tidewatch.functions.holidays import holiday_dim, holiday_ranges
 from tidewatch.functions.timeutil import format_utc, local_date, ts
 from tidewatch.operators import calendar as cal
@@ -36,12 +37,12 @@ def calendar_tables(spark: SparkSession, calendars: dict[str, Calendar], first:
     """The calendars and their days from first to last."""
     cs = list(calendars.values())
     label = lambda c: c.calendar_id if c.calendar_id.startswith("of ") else f"'{c.calendar_id}'"
-    frame = spark.createDataFrame([(c.calendar_id, c.weekend, c.valid_until, label(c)) for c in cs], cal.CALENDARS)
+    frame = local_frame(spark, [(c.calendar_id, c.weekend, c.valid_until, label(c)) for c in cs], cal.CALENDARS)
     marks = [(c.calendar_id, d, w) for c in cs for days, w in ((c.working, True), (c.resting, False)) for d in sorted(days)]
     refs = [(c.calendar_id, r, i) for c in cs for i, r in enumerate(c.refs)]
     labels = sorted({r for _, r, _ in refs})
-    dim = holiday_dim(spark, labels, first.year - 1, last.year + 1) if labels else spark.createDataFrame([], cal.HOLIDAYS)
-    days = cal.calendar_days(frame, spark.createDataFrame(marks, cal.OVERRIDES), spark.createDataFrame(refs, cal.REFS), dim, first, last,
+    dim = holiday_dim(spark, labels, first.year - 1, last.year + 1) if labels else local_frame(spark, [], cal.HOLIDAYS)
+    days = cal.calendar_days(frame, local_frame(spark, marks, cal.OVERRIDES), local_frame(spark, refs, cal.REFS), dim, first, last,
                              holiday_ranges(spark, labels) if labels else None)
     return frame, days
 
@@ -54,7 +55,7 @@ def _tables(spark: SparkSession, config: Config, rows: list[tuple], now: datetim
 
 def _broken(spark: SparkSession, entries: list[Entry], now: datetime, like: DataFrame) -> DataFrame:
     rows = [(e.source_id, e.origin, e.errors[0].code, e.errors[0].message) for e in entries if e.row is None or e.errors]
-    df = spark.createDataFrame(rows, "source_id string, origin string, code string, message string")
+    df = local_frame(spark, rows, "source_id string, origin string, code string, message string")
     df = df.withColumns({"status": F.lit("CONFIG_ERROR"), "evaluated_at": ts(now), "error": F.struct("code", "message"), "missed_count": F.lit(0).cast("long"),
                          "pending_count": F.lit(0).cast("long"), "missed_truncated": F.lit(False), "warnings": F.array().cast(like.schema["warnings"].dataType),
                          "explanation": F.concat(F.lit("Configuration error: "), "code", F.lit(" "), "message")})
@@ -79,7 +80,7 @@ def check(spark: SparkSession, path: str, now: datetime, patterns: list[str] = (
         **{c: F.when(F.col("broken"), 0).otherwise(F.col(c)).cast("long") for c in ("missed_count", "pending_count")}}).drop("broken", "query_error")
     warned = [(e.source_id, w.code, w.message) for e in entries for w in e.warnings]
     if warned:
-        more = spark.createDataFrame(warned, "source_id string, code string, message string").groupBy("source_id").agg(F.collect_list(F.struct("code", "message")).alias("more"))
+        more = local_frame(spark, warned, "source_id string, code string, message string").groupBy("source_id").agg(F.collect_list(F.struct("code", "message")).alias("more"))
         verdicts = verdicts.join(more, "source_id", "left").withColumn("warnings", F.when(F.col("more").isNull(), F.col("warnings")).otherwise(F.concat("warnings", "more"))).drop("more")
     return verdicts.unionByName(_broken(spark, entries, now, verdicts), allowMissingColumns=True).orderBy("source_id")
 
@@ -99,7 +100,7 @@ def upcoming(spark: SparkSession, path: str, now: datetime, count: int = 3, patt
     rows_out = out.where("error is null or position is null or position = 1").select(
         "source_id", "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in described])
     bad = [(e.source_id, (e.errors[0].code, e.errors[0].message)) for e in entries if e.errors]
-    broken = spark.createDataFrame(bad, f"source_id string, error struct<{ISSUE.replace(' string', ':string')}>")
+    broken = local_frame(spark, bad, f"source_id string, error struct<{ISSUE.replace(' string', ':string')}>")
     return rows_out.unionByName(broken, allowMissingColumns=True).orderBy("source_id", "position")
 
 
@@ -108,10 +109,10 @@ def validate(spark: SparkSession, path: str, now: datetime, patterns: list[str]
     config, entries = load_entries(path, patterns)
     issues = {("error", x.location or e.source_id, x.code, x.message) for e in entries for x in e.errors}
     issues |= {("warning", x.location or e.source_id, x.code, x.message) for e in entries for x in e.warnings}
-    static = spark.createDataFrame(sorted(issues), "severity string, source_id string, code string, message string")
+    static = local_frame(spark, sorted(issues), "severity string, source_id string, code string, message string")
     rows = [e.row for e in entries if e.row is not None and not e.errors]
     rules, frame, days = _tables(spark, config, rows, now)
-    nothing = spark.createDataFrame([], "source_id string, observed timestamp_ntz, naive boolean")
+    nothing = local_frame(spark, [], "source_id string, observed timestamp_ntz, naive boolean")
     verdicts = ev.evaluate(rules, nothing, days, frame, now)
     errors = verdicts.where("error is not null").select(F.lit("error").alias("severity"), "source_id", "error.code", "error.message")
     warnings = verdicts.select("source_id", F.explode("warnings").alias("w")).select(F.lit("warning").alias("severity"), "source_id", "w.code", "w.message")

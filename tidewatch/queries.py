@@ -11,6 +11,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.frames import local_frame
 from tidewatch.functions.holidays import holiday_dim, holiday_ranges
 from tidewatch.functions.timeutil import classify_local, format_duration, resolve_local, ts
 from tidewatch.operators import backtest, calendar, catalog, evaluate, releases, trace
@@ -42,10 +43,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def calendars(spark: SparkSession, first: date, last: date, *, refs: list[str] = (), working: list[str] = (), resting: list[str] = (),
               weekend: tuple[int, ...] = (5, 6), valid_until: date | None = None) -> tuple[DataFrame, DataFrame]:
     """One calendar called default: its row and its days."""
-    cal = spark.createDataFrame([("default", list(weekend), valid_until, "default")], calendar.CALENDARS)
-    marks = spark.createDataFrame([("default", date.fromisoformat(d), w) for ds, w in ((working, True), (resting, False)) for d in ds], calendar.OVERRIDES)
-    named = spark.createDataFrame([("default", r, i) for i, r in enumerate(refs)], calendar.REFS)
-    dim = holiday_dim(spark, list(refs)) if refs else spark.createDataFrame([], calendar.HOLIDAYS)
+    cal = local_frame(spark, [("default", list(weekend), valid_until, "default")], calendar.CALENDARS)
+    marks = local_frame(spark, [("default", date.fromisoformat(d), w) for ds, w in ((working, True), (resting, False)) for d in ds], calendar.OVERRIDES)
+    named = local_frame(spark, [("default", r, i) for i, r in enumerate(refs)], calendar.REFS)
+    dim = holiday_dim(spark, list(refs)) if refs else local_frame(spark, [], calendar.HOLIDAYS)
     ranges = holiday_ranges(spark, list(refs)) if refs else None
     return cal, calendar.calendar_days(cal, marks, named, dim, first, last, ranges)
 
@@ -116,9 +117,9 @@ def target_holidays(spark, sf_dir):
 @query("WITH " + EASTER_SQL + """ SELECT date, count(*) AS n_refs FROM (SELECT date FROM target UNION ALL SELECT * FROM (VALUES (DATE '2001-12-24'), (DATE '2001-12-25')) v(date))
           WHERE year(date) = 2001 GROUP BY 1""")
 def holiday_union(spark, sf_dir):
-    own = spark.createDataFrame([("own", date(2001, 12, 24), "Eve"), ("own", date(2001, 12, 25), "Day")], calendar.HOLIDAYS)
+    own = local_frame(spark, [("own", date(2001, 12, 24), "Eve"), ("own", date(2001, 12, 25), "Day")], calendar.HOLIDAYS)
     dim = holiday_dim(spark, ["financial XECB"], 2001, 2001).union(own)
-    refs = spark.createDataFrame([("default", "financial XECB", 0), ("default", "own", 1)], calendar.REFS)
+    refs = local_frame(spark, [("default", "financial XECB", 0), ("default", "own", 1)], calendar.REFS)
     union = calendar.holiday_union(refs, dim)
     counts = refs.join(dim, "ref_label").groupBy("date").agg(F.count("*").alias("n_refs"))
     return union.join(counts, "date").select("date", "n_refs")
@@ -142,7 +143,7 @@ def override_precedence(spark, sf_dir):
 
 @query("SELECT DATE '2001-05-02' AS date")
 def override_conflict(spark, sf_dir):
-    marks = spark.createDataFrame([("c", date(2001, 5, 2), True), ("c", date(2001, 5, 2), False), ("c", date(2001, 5, 3), True)], calendar.OVERRIDES)
+    marks = local_frame(spark, [("c", date(2001, 5, 2), True), ("c", date(2001, 5, 2), False), ("c", date(2001, 5, 3), True)], calendar.OVERRIDES)
     return calendar.override_conflicts(marks).select("date")
 
 
@@ -414,7 +415,7 @@ def verdict_mixed_rules(spark, sf_dir):
 @query("""SELECT * FROM (VALUES ('empty', 'NO_DATA', TIMESTAMP '2024-01-31 06:00', CAST(0 AS BIGINT)), ('floored', 'OVERDUE', TIMESTAMP '2024-01-20 06:00', CAST(12 AS BIGINT)),
   ('not yet', 'ON_TIME', NULL, CAST(0 AS BIGINT))) t(source_id, status, release, missed_count)""")
 def verdict_no_data_and_active_from(spark, sf_dir):
-    observed = spark.createDataFrame([], "source_id string, observed timestamp_ntz, naive boolean")
+    observed = local_frame(spark, [], "source_id string, observed timestamp_ntz, naive boolean")
     rows = [rule("empty", cron="0 6 * * *"), rule("floored", cron="0 6 * * *", active_from=date(2024, 1, 20)), rule("not yet", cron="0 6 * * *", active_from=date(2024, 3, 1))]
     return _verdicts(spark, rows, observed, NOW).select("source_id", "status", "release", "missed_count")
 
@@ -630,7 +631,7 @@ def clamp_notes(spark, sf_dir):
 def calendar_out_of_range(spark, sf_dir):
     now = datetime(1999, 3, 15, 12)
     cal, days = calendars(spark, date(1992, 1, 1), date(2005, 1, 1), refs=["financial XECB"])
-    observed = spark.createDataFrame([("inside", datetime(1999, 3, 8), True), ("outside", datetime(1998, 12, 1), True), ("plain", datetime(1998, 12, 1), True)],
+    observed = local_frame(spark, [("inside", datetime(1999, 3, 8), True), ("outside", datetime(1998, 12, 1), True), ("plain", datetime(1998, 12, 1), True)],
                                      "source_id string, observed timestamp_ntz, naive boolean")
     rows = [rule("inside", cron="0 6 * * MON", policy="following", observed_tz="UTC", active_from=date(1999, 1, 1)), rule("outside", business_days="06:00", observed_tz="UTC"),
             rule("plain", cron="0 6 * * *", observed_tz="UTC")]

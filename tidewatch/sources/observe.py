@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.functions.frames import local_frame
+
 OBSERVATIONS = "source_id string, observed timestamp_ntz, naive boolean, code string, message string"
 _READ = re.compile(r"read_(parquet|csv|json)\('([^']+)'\)")
 #: Spark type -> name of the value's type in messages; fixed values.
@@ -101,7 +103,7 @@ def observe(spark: SparkSession, rules: DataFrame, folder: str = "", given: dict
     by_relation = defaultdict(list)
     for r in rules.select("source_id", "relation", "loaded_at_field", "filter").collect():
         by_relation[r["relation"]].append((r["source_id"], r["loaded_at_field"], r["filter"]))
-    out = spark.createDataFrame([], OBSERVATIONS)
+    out = local_frame(spark, [], OBSERVATIONS)
     for relation, targets in sorted(by_relation.items()):
         try:
             df = resolve_relation(spark, relation, folder, given)
@@ -124,4 +126,4 @@ def observe(spark: SparkSession, rules: DataFrame, folder: str = "", given: dict
 def _failed(spark: SparkSession, targets: list[tuple], error: Exception) -> DataFrame:
     code = error.code if isinstance(error, QueryError) else "E502"
     message = str(error) if isinstance(error, QueryError) else f"query failed: {first_line(error)}"
-    return spark.createDataFrame([(s, None, None, code, message) for s, _, _ in targets], OBSERVATIONS)
+    return local_frame(spark, [(s, None, None, code, message) for s, _, _ in targets], OBSERVATIONS)
