@@ -193,12 +193,12 @@ calendars:
     holidays: [{financial: XECB}]
     overrides: [{working_days: ["2024-01-06"]}]
 sources:
-  - {name: fx.daily, relation: "read_csv('fx.csv')", loaded_at_field: _loaded_at, calendar: ecb, schedule: {business_days: true, time: "16:00"}}
-  - {name: fx.empty, relation: "read_csv('fx.csv')", loaded_at_field: _loaded_at, filter: "rate < 0", schedule: {cron: "0 6 * * *"}}
-  - {name: fx.gone, relation: nowhere, loaded_at_field: x, schedule: {cron: "0 6 * * *"}}
-  - {name: fx.bad, relation: r, loaded_at_field: x, schedule: {cron: "0 6 * *"}}
-  - {name: fx.twice, relation: r, loaded_at_field: x, schedule: {cron: "0 6 * * *"}}
-  - {name: fx.twice, relation: r, loaded_at_field: x, schedule: {cron: "0 6 * * *"}}
+  - {name: fx.daily, relation: "read_csv('fx.csv')", loaded_at_field: _loaded_at, calendar: ecb, schedule: {kind: business_days, time: "16:00"}}
+  - {name: fx.empty, relation: "read_csv('fx.csv')", loaded_at_field: _loaded_at, filter: "rate < 0", schedule: {kind: cron, cron: "0 6 * * *"}}
+  - {name: fx.gone, relation: nowhere, loaded_at_field: x, schedule: {kind: cron, cron: "0 6 * * *"}}
+  - {name: fx.bad, relation: r, loaded_at_field: x, schedule: {kind: cron, cron: "0 6 * *"}}
+  - {name: fx.twice, relation: r, loaded_at_field: x, schedule: {kind: cron, cron: "0 6 * * *"}}
+  - {name: fx.twice, relation: r, loaded_at_field: x, schedule: {kind: cron, cron: "0 6 * * *"}}
 """
 
 
@@ -211,7 +211,6 @@ def folder(tmp_path):
 
 def test_check_next_validate_explain(spark, folder, capsys):
     path = str(folder / "rules.yml")
-    # CSV times are instants with the session's zone, so UTC here
     got = {}
     for r in api.check(spark, path, datetime(2024, 1, 31, 12)).collect():
         got.setdefault(r["source_id"], r)
@@ -222,15 +221,41 @@ def test_check_next_validate_explain(spark, folder, capsys):
     assert ahead == [datetime(2024, 1, 31, 16), datetime(2024, 2, 1, 16), datetime(2024, 2, 2, 16)]
     codes = {r["code"] for r in api.validate(spark, path, datetime(2024, 1, 31, 12)).collect()}
     assert {"E202", "E206", "W006"} <= codes
-    lines = api.explain(spark, path, "fx.daily", datetime(2024, 1, 31, 12))
-    assert lines[-2] == "Result: ON_TIME" and lines[-1].startswith("On time: latest release Tue 2024-01-30 16:00 UTC arrived")
+    lines, status = api.explain(spark, path, "fx.daily", datetime(2024, 1, 31, 12))
+    assert status == "ON_TIME" and any(x.startswith("Result    ON_TIME: On time: latest release Tue 2024-01-30 16:00 UTC arrived") for x in lines)
+    assert "  Sat 2024-01-27  no release: weekend" in lines and any(x.endswith("future (next expected arrival)") for x in lines)
+    assert "  3. Nothing due is outstanding: no release in the searched interval is missing." in lines
     assert cli.main(["check", "-c", path, "--now", "2024-01-31T12:00:00+00:00", "--format", "json", "-s", "fx.daily"], spark) == 0
-    assert json.loads(capsys.readouterr().out)["summary"]["on_time"] == 1
+    assert json.loads(capsys.readouterr().out)["summary"]["ON_TIME"] == 1
     assert cli.main(["check", "-c", path, "--now", "2024-01-31T12:00:00+00:00"], spark) == 2
     assert "QUERY_ERROR" in capsys.readouterr().out
     assert cli.main(["next", "-c", path, "--now", "2024-01-31T12:00:00+00:00", "-s", "fx.empty"], spark) == 0
     assert cli.main(["explain", "-c", path, "--now", "2024-01-31T12:00:00+00:00", "nope"], spark) == 2
     assert cli.main([], spark) == 2
+    capsys.readouterr()
+    assert cli.main(["explain", "-c", path, "--now", "2024-01-31T12:00:00+00:00", "--observed", "null", "fx.empty"], spark) == 1
+    assert "Observed  NULL" in capsys.readouterr().out
+    assert cli.main(["check", "-c", path, "--now", "yesterday"], spark) == 2 and "E211" in capsys.readouterr().err
+
+
+def test_one_bad_source_stops_no_other(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("v,at\n1,2024-01-30 16:04:00\n")
+    source = lambda name, field, **more: {"name": name, "relation": "read_csv('t.csv')", "loaded_at_field": field, "schedule": {"kind": "cron", "cron": "0 6 * * *"}, "grace": "1h"} | more
+    sources = [source("good", "at"), source("cast", "CAST(concat('x', v) AS timestamp)"), source("tokyo", "at", observed_timezone="Asia/Tokyo"), source("number", "v"),
+               source("forever", "timestamp_ntz'9999-12-31 23:59:59.999999'"), source("outside", "at", relation="read_csv('/etc/passwd')"), source("path", "at", relation="(SELECT * FROM csv.`/etc/passwd`)")]
+    (tmp_path / "c.yml").write_text(json.dumps({"version": 1, "connection": {"type": "spark"}, "defaults": {"timezone": "UTC", "observed_timezone": "UTC"}, "sources": sources}))
+    got = {r["source_id"]: r for r in api.check(spark, str(tmp_path / "c.yml"), datetime(2024, 1, 31, 5)).collect()}
+    assert got["good"]["status"] == "ON_TIME" and got["good"]["observed_at"] == datetime(2024, 1, 30, 16, 4) and got["good"]["warnings"] == []
+    assert got["tokyo"]["observed_at"] == datetime(2024, 1, 30, 7, 4)
+    assert {k: r["error"]["code"] for k, r in got.items() if r["error"]} == {"cast": "E502", "number": "E503", "forever": "E502", "outside": "E502", "path": "E502"}
+
+
+@pytest.mark.parametrize("connection, code", [({"type": "duckdb", "path": "./none.duckdb"}, "E501"), ({"type": "postgres", "dsn_env": "NO_SUCH_VARIABLE"}, "E504"), (None, "E213")])
+def test_connections(spark, tmp_path, connection, code, capsys):
+    source = {"name": "s", "relation": "r", "loaded_at_field": "x", "schedule": {"kind": "cron", "cron": "0 6 * * *"}, "grace": "1h"}
+    (tmp_path / "c.yml").write_text(json.dumps({"version": 1, "defaults": {"timezone": "UTC"}, "sources": [source]} | ({"connection": connection} if connection else {})))
+    assert cli.main(["check", "-c", str(tmp_path / "c.yml"), "--now", "2024-01-31T12:00:00+00:00"], spark) == (2 if connection is None else 3)
+    assert code in "".join(capsys.readouterr())
 
 
 @pytest.mark.parametrize("text, code", [
@@ -248,11 +273,11 @@ def test_document_errors(tmp_path, text, code):
 
 
 @pytest.mark.parametrize("change, code", [
-    ({"grace": "1w"}, "E106"), ({"grace": "367d"}, "E203"), ({"calendar": "none"}, "E207"), ({"schedule": {"monthly_business_day": 0, "time": "09:00"}}, "E204"),
-    ({"schedule": {"business_days": True, "time": "09:00", "on_non_business_day": "skip"}}, "E205"), ({"schedule": {"business_days": True, "time": "9:00"}}, "E106"),
-    ({"observed_timezone": "Mars"}, "E201"), ({"loaded_at_field": None}, "E102"), ({"colour": 1}, "E101")])
+    ({"grace": "1w"}, "E106"), ({"grace": "367d"}, "E203"), ({"calendar": "none"}, "E207"), ({"schedule": {"kind": "monthly_business_day", "business_day": 0, "time": "09:00"}}, "E204"),
+    ({"schedule": {"kind": "business_days", "time": "09:00", "on_non_business_day": "skip"}}, "E205"), ({"schedule": {"kind": "business_days", "time": "9:00"}}, "E106"),
+    ({"observed_timezone": "Mars"}, "E201"), ({"loaded_at_field": None}, "E103"), ({"schedule": {"cron": "0 6 * * *"}}, "E102"), ({"schedule": {"kind": "weekly"}}, "E104"), ({"schedule": {"kind": "business_days", "time": 960}}, "E103"), ({"schedule": {"kind": "cron", "cron": "0 6 * * *"}, "grace": None}, "E103"), ({"colour": 1}, "E101")])
 def test_source_errors(tmp_path, change, code):
-    spec = {"name": "s", "relation": "r", "loaded_at_field": "x", "schedule": {"cron": "0 6 * * *"}, "grace": "1h"} | change
+    spec = {"name": "s", "relation": "r", "loaded_at_field": "x", "schedule": {"kind": "cron", "cron": "0 6 * * *"}, "grace": "1h"} | change
     path = tmp_path / "c.yml"
     path.write_text(json.dumps({"version": 1, "defaults": {"timezone": "UTC"}, "sources": [spec]}))
     assert cfg.load_config(path).entries[0].errors[0].code == code
@@ -260,7 +285,7 @@ def test_source_errors(tmp_path, change, code):
 
 def test_manifest(tmp_path):
     node = lambda **x: {"source_name": "shop", "name": "orders", "relation_name": "db.orders", "loaded_at_field": "at"} | x
-    good = {"schedule": {"cron": "0 6 * * *"}, "grace": "1h"}
+    good = {"schedule": {"kind": "cron", "cron": "0 6 * * *"}, "grace": "1h"}
     sources = {"a": node(config={"meta": {"tidewatch": good}}), "b": node(name="b", meta={"tidewatch": good}, loaded_at_field=None), "c": node(name="c"),
                "d": node(name="d", meta={"tidewatch": "x"}), "e": node(name="e", meta={"tidewatch": good | {"relation": "r"}})}
     (tmp_path / "m.json").write_text(json.dumps({"metadata": {"dbt_schema_version": "https://x/manifest/v12.json"}, "sources": sources}))

@@ -140,11 +140,37 @@ def england(year: int) -> Iterator[Holiday]:
             yield date.fromisoformat(day), name
 
 
+#: Announced public holidays of China, first and last days, by year.
+CHINA = {
+    2023: (("2023-01-01", "2023-01-02", "New Year's Day"), ("2023-01-21", "2023-01-27", "Spring Festival"), ("2023-04-05", "2023-04-05", "Tomb-Sweeping Day"),
+           ("2023-04-29", "2023-05-03", "Labor Day"), ("2023-06-22", "2023-06-24", "Dragon Boat Festival"), ("2023-09-29", "2023-10-06", "National Day")),
+    2024: (("2024-01-01", "2024-01-01", "New Year's Day"), ("2024-02-10", "2024-02-17", "Spring Festival"), ("2024-04-04", "2024-04-06", "Tomb-Sweeping Day"),
+           ("2024-05-01", "2024-05-05", "Labor Day"), ("2024-06-08", "2024-06-10", "Dragon Boat Festival"), ("2024-09-15", "2024-09-17", "Mid-Autumn Festival"),
+           ("2024-10-01", "2024-10-07", "National Day")),
+    2025: (("2025-01-01", "2025-01-01", "New Year's Day"), ("2025-01-28", "2025-02-04", "Spring Festival"), ("2025-04-04", "2025-04-06", "Tomb-Sweeping Day"),
+           ("2025-05-01", "2025-05-05", "Labor Day"), ("2025-05-31", "2025-06-02", "Dragon Boat Festival"), ("2025-10-01", "2025-10-08", "National Day")),
+    2026: (("2026-01-01", "2026-01-03", "New Year's Day"), ("2026-02-15", "2026-02-23", "Spring Festival"), ("2026-04-04", "2026-04-06", "Tomb-Sweeping Day"),
+           ("2026-05-01", "2026-05-05", "Labor Day"), ("2026-06-19", "2026-06-21", "Dragon Boat Festival"), ("2026-09-25", "2026-09-27", "Mid-Autumn Festival"),
+           ("2026-10-01", "2026-10-07", "National Day")),
+}
+
+
+def china(year: int) -> Iterator[Holiday]:
+    for first, last, name in CHINA.get(year, ()):
+        day = date.fromisoformat(first)
+        while day <= date.fromisoformat(last):
+            yield day, name
+            day += timedelta(days=1)
+
+
 #: Label of a reference -> rule and first year of its range.
 RULES: dict[str, tuple[Callable[[int], Iterator[Holiday]], int]] = {
     "financial XECB": (target, 1999), "country DE": (germany, FIRST_YEAR), "country DE-BY": (bavaria, FIRST_YEAR),
     "country US": (united_states, FIRST_YEAR), "financial XNYS": (new_york_exchange, FIRST_YEAR), "country GB-ENG": (england, FIRST_YEAR),
+    "country CN": (china, min(CHINA)),
 }
+#: Last years of references that end before LAST_YEAR.
+LAST_YEARS = {"country CN": max(CHINA)}
 
 
 def holiday_rows(label: str, first: int, last: int) -> list[tuple[str, date, str]]:
@@ -164,4 +190,4 @@ def holiday_dim(spark: SparkSession, labels: list[str], first: int = 1990, last:
 
 def holiday_ranges(spark: SparkSession, labels: list[str]) -> DataFrame:
     """(ref_label, first_year, last_year): the years for which a reference's rules hold."""
-    return local_frame(spark, [(label, RULES[label][1], LAST_YEAR) for label in sorted(set(labels))], "ref_label string, first_year int, last_year int")
+    return local_frame(spark, [(label, RULES[label][1], LAST_YEARS.get(label, LAST_YEAR)) for label in sorted(set(labels))], "ref_label string, first_year int, last_year int")

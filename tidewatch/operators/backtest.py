@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.timeutil import to_local
@@ -56,22 +56,38 @@ def hourly_load(stamp: Column, minute: int = 5) -> Column:
     return F.when(slot >= stamp, slot).otherwise(F.timestamp_add("HOUR", F.lit(1), slot))
 
 
-def loads_as_of(instants: DataFrame, loads: DataFrame) -> DataFrame:
-    """instants: at; loads: loaded_at. The latest load at or before each instant, null if none.
+#: Rows of about so many minutes are carried forward together.
+BLOCK_MINUTES = 60
+
+
+def _carried(events: DataFrame, key: str, value: str, how: str, order: tuple[str, ...] = ("at",), block_minutes: int = BLOCK_MINUTES) -> DataFrame:
+    """Adds _run, the running max or sum of ``value`` per key in time order: within blocks of time, plus what the blocks before it add up to.
+
+    A key's rows are dealt by blocks of time, and only one row a block is put in order over all of its time, so a
+    key with very many rows is no task's alone."""
+    block = (F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (block_minutes * 60_000_000))).alias("_block")
+    events = events.withColumn("_block", block)
+    fold = {"max": F.max, "sum": F.sum}[how]
+    blocks = events.groupBy(key, "_block").agg(fold(value).alias("_all"))
+    before = fold("_all").over(Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    events = events.join(blocks.select(key, "_block", before.alias("_before")), [key, "_block"])
+    own = fold(value).over(Window.partitionBy(key, "_block").orderBy(*order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+                           if len(order) == 1 else Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = F.coalesce(own, F.col("_before")) if how == "max" else F.coalesce(F.col("_before"), F.lit(0)) + F.coalesce(own, F.lit(0))
+    return events.withColumn("_run", run).drop("_block", "_before")
 
-    Instants and loads are merged in time order and the last load is carried on, by day, with the last load of
-    the days before added; so neither side meets all rows of the other.
-    """
-    from pyspark.sql import Window
 
-    events = instants.select("at", F.lit(None).cast("timestamp_ntz").alias("loaded_at")).unionByName(loads.select(F.col("loaded_at").alias("at"), "loaded_at"))
-    events = events.withColumn("day", F.col("at").cast("date"))
-    days = events.groupBy("day").agg(F.max("loaded_at").alias("last"))
-    before = F.max("last").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
-    events = events.join(days.select("day", before.alias("before")), "day")
-    running = F.max("loaded_at").over(Window.partitionBy("day").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = events.select("at", F.coalesce(running, F.col("before")).alias("last_load"), F.col("loaded_at").isNull().alias("asked"))
-    return seen.where("asked").select("at", "last_load")
+def loads_as_of(instants: DataFrame, loads: DataFrame, key: str = "source_id") -> DataFrame:
+    """instants: at; loads: loaded_at; both with a key if there are several series. The latest load at or before each
+    instant, null if none. Instants and loads are merged in time order, so neither side meets all rows of the other."""
+    single = key not in loads.columns
+    if single:
+        instants, loads = instants.withColumn(key, F.lit("")), loads.withColumn(key, F.lit(""))
+    # loads of one instant count once
+    loads = loads.select(key, "loaded_at").distinct()
+    events = instants.select(key, "at", F.lit(None).cast("timestamp_ntz").alias("loaded_at")).unionByName(loads.select(key, F.col("loaded_at").alias("at"), "loaded_at"))
+    seen = _carried(events, key, "loaded_at", "max").where("loaded_at is null").select(key, "at", F.col("_run").alias("last_load"))
+    return seen.drop(key) if single else seen
 
 
 def confusion(rows: DataFrame) -> DataFrame:
@@ -82,30 +98,49 @@ def confusion(rows: DataFrame) -> DataFrame:
 
 
 def disagreements(rows: DataFrame) -> DataFrame:
-    """rows: at, kind, explanation. Groups with their count and instants in order."""
-    return rows.groupBy("kind", "explanation").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("at")).alias("instants"))
+    """rows: at, kind, explanation. Groups with their count, first and last instant; the instants stay rows of the input."""
+    return rows.groupBy("kind", "explanation").agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
 
 
-def reference_overdue(instants: DataFrame, publications: DataFrame) -> DataFrame:
-    """instants: at; publications: deadline, proxy. Was any publication past its deadline and not out yet at each instant?
+def disagreement_text(said: Column, truth: Column, model: Column, last_load: Column) -> Column:
+    """What a model said against the reference, in a sentence; null where they agree."""
+    load = F.coalesce(F.substring(last_load.cast("string"), 1, 16), F.lit("never"))
+    return (F.when(said & ~truth, F.concat(F.lit("false alarm: "), model, F.lit(" says late, nothing published is missing; last load "), load))
+            .when(~said & truth, F.concat(F.lit("missed: "), model, F.lit(" says fine, a publication is past its deadline; last load "), load)))
 
-    Opens and closes of the intervals (deadline, proxy) are counted in time order, by day with the days' sums
-    before added, so instants and publications never meet pairwise.
-    """
-    from pyspark.sql import Window
 
+def reference_overdue(instants: DataFrame, publications: DataFrame, key: str = "source_id") -> DataFrame:
+    """instants: at; publications: deadline, proxy; both with a key if there are several series. Was any publication
+    past its deadline and not out yet at each instant?
+
+    Opens and closes of the intervals (deadline, proxy) are counted in time order, so instants and publications
+    never meet pairwise. Equal opens and closes are added up first.
+    """
+    single = key not in publications.columns
+    if single:
+        instants, publications = instants.withColumn(key, F.lit("")), publications.withColumn(key, F.lit(""))
     late = publications.where("proxy > deadline")
-    events = (late.select(F.col("deadline").alias("at"), F.lit(1).alias("step"), F.lit(0).alias("place"))
-              # an interval is open strictly after its deadline and strictly before its proxy
-              .unionByName(late.select(F.col("proxy").alias("at"), F.lit(-1).alias("step"), F.lit(-1).alias("place")))
-              .unionByName(instants.select("at", F.lit(0).alias("step"), F.lit(-1).alias("place")))
-              .withColumn("day", F.col("at").cast("date")))
-    days = events.groupBy("day").agg(F.sum("step").alias("sum"))
-    before = F.coalesce(F.sum("sum").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    events = events.join(days.select("day", before.alias("before")), "day")
-    running = F.sum("step").over(Window.partitionBy("day").orderBy("at", "place").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    open_now = events.select("at", "step", (F.col("before") + running).alias("open"))
-    return open_now.where("step = 0").select("at", (F.col("open") > 0).alias("overdue")).distinct()
+    # an interval is open strictly after its deadline and strictly before its proxy
+    marks = late.select(key, F.col("deadline").alias("at"), F.lit(1).alias("step"), F.lit(0).alias("place")).unionByName(
+        late.select(key, F.col("proxy").alias("at"), F.lit(-1).alias("step"), F.lit(-2).alias("place")))
+    marks = marks.groupBy(key, "at", "place").agg(F.sum("step").alias("step")).withColumn("asked", F.lit(False))
+    events = marks.unionByName(instants.select(key, "at", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("step"), F.lit(True).alias("asked")).distinct())
+    seen = _carried(events, key, "step", "sum", ("at", "place")).where("asked").select(key, "at", (F.col("_run") > 0).alias("overdue"))
+    return seen.drop(key) if single else seen
+
+
+def read_publications(spark: SparkSession, path: str) -> DataFrame:
+    """(rate_date, last_modified, first_seen) of a file of collected publications; times are UTC."""
+    rows = spark.read.csv(path, header=True)
+    at = lambda c: F.to_timestamp_ntz(F.translate(F.regexp_replace(c, "Z$", ""), "T", " ")).alias(c.removesuffix("_utc"))
+    return rows.select(F.col("rate_date").cast("date"), at("last_modified_utc"), at("first_seen_utc"))
+
+
+def replay_report(title: str, scores: DataFrame, groups: DataFrame) -> str:
+    """Markdown of a replay: counts by model and the groups of disagreements. Both are a few rows."""
+    head = ("model", "tp", "fp", "fn", "tn")
+    text = markdown_report(title, scores.orderBy("model").collect(), head)
+    return text + "\n" + markdown_report("Disagreements", groups.orderBy("kind", "explanation").collect(), ("kind", "explanation", "n", "first_at", "last_at"))
 
 
 def markdown_report(title: str, counts: list, header: tuple[str, ...]) -> str:

@@ -131,21 +131,27 @@ def _explanation() -> str:
     on_time = (f"coalesce({text(_q('On time: latest release '), release, _q(' arrived (observed '), observed, _q('); '), then, _q('.'))}, "
                f"{text(_q('On time: no release has occurred yet; '), then, _q('.'))})")
     return (f"CASE WHEN status = 'CONFIG_ERROR' THEN {text(_q('Configuration error: '), 'error.code', _q(' '), 'error.message')} "
+            f"WHEN status = 'QUERY_ERROR' THEN {text(_q('Query error: '), 'query_error.code', _q(' '), 'query_error.message')} "
             f"WHEN status = 'NO_DATA' THEN {text(_q('No data: max('), 'loaded_at_field', _q(') returned NULL; latest release '), f'coalesce({release}, {_q("none")})', _q('; '), then, _q('.'))} "
             f"WHEN status = 'ON_TIME' THEN {on_time} "
             f"WHEN status = 'NOT_DUE' THEN {text(_q('Not due: release '), release, _q(' has not arrived yet'), pending, _q('; grace window ends '), deadline, _q('; '), then, _q('.'))} "
             f"ELSE {text(_q('Overdue: release '), release, _q(' missed its deadline '), deadline, _q('; '), missed, _q('; latest data observed '), f'coalesce({observed}, {_q("never")})', _q('.'))} END")
 
 
-def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calendars: DataFrame, now: datetime | None) -> DataFrame:
+def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calendars: DataFrame, now: datetime | None,
+             failed: DataFrame | None = None) -> DataFrame:
     """Verdicts at one instant, or, without one, each rule's at the instant in its column ``now``.
 
+    failed: source_id, query_error of sources whose load time could not be read; these get QUERY_ERROR with the release
+    and the next one their schedule gives, whatever their calendar's validity.
+
     A row per rule: status, release and its description, deadline, observed_at, next_expected_arrival, counts, warnings, error, explanation."""
     if now is not None:
         rules = rules.withColumn("now", ts(now))
     zones = [r["tz"] for r in rules.select("tz").distinct().collect()]
     rows = normalize_observed(rules, observations).join(calendars.select("calendar_id", "valid_until", "label"), "calendar_id", "left")
     rows = with_calendar(rows, days).join(F.broadcast(zone_names(rules.sparkSession, zones)), "tz", "left")
+    rows = rows.join(failed, "source_id", "left") if failed is not None else rows.withColumn("query_error", F.lit(None).cast("struct<code:string,message:string>"))
     steps: list[dict[str, str]] = [
         dict(floor=FLOOR, inclusive="observed_at IS NULL"),
         dict(start="CASE WHEN observed_at <= now THEN observed_at WHEN observed_at IS NULL AND floor <= now THEN floor END"),
@@ -154,7 +160,7 @@ def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calenda
     utc = lambda c: let("u", f"CAST({c} AS STRING)", "concat(translate(CASE WHEN length(u) > 19 THEN rpad(u, 26, '0') ELSE u END, ' ', 'T'), 'Z')")
     named, valid = _q("calendar "), "CAST(valid_until AS STRING)"
     errors = {
-        "today > valid_until": _issue("E408", named, "label", _q(" is valid until "), valid, _q(", but the evaluation date is "), "CAST(today AS STRING)",
+        "query_error IS NULL AND today > valid_until": _issue("E408", named, "label", _q(" is valid until "), valid, _q(", but the evaluation date is "), "CAST(today AS STRING)",
                                       _q("; review its holidays and overrides for the next period and extend valid_until")),
         "e214 IS NOT NULL": "e214",
         "unknown_on IS NOT NULL": _issue("E405", named, "label", _q(" has no holiday data for "), "CAST(year(unknown_on) AS STRING)"),
@@ -164,7 +170,7 @@ def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calenda
             " is more than 1830 days old, no release in the last 1830 days has passed its deadline, and the schedule has no release within 1830 days after the observed timestamp")),
     }
     steps.append(dict(error="CASE " + " ".join(f"WHEN {c} THEN {i}" for c, i in errors.items()) + " END"))
-    steps.append(dict(status="CASE WHEN error IS NOT NULL THEN 'CONFIG_ERROR' WHEN observed_at IS NULL AND active_from IS NULL THEN 'NO_DATA' "
+    steps.append(dict(fault="coalesce(error, query_error)", status="CASE WHEN error IS NOT NULL THEN 'CONFIG_ERROR' WHEN query_error IS NOT NULL THEN 'QUERY_ERROR' WHEN observed_at IS NULL AND active_from IS NULL THEN 'NO_DATA' "
                              "WHEN first IS NULL THEN 'ON_TIME' WHEN missed > 0 THEN 'OVERDUE' ELSE 'NOT_DUE' END"))
     open_ = "status IN ('OVERDUE', 'NOT_DUE')"
     steps.append({
@@ -174,7 +180,7 @@ def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calenda
         "missed_truncated": f"coalesce({open_} AND (by_recent OR n = {MAX_COUNTED}), false)",
         "consulted": f"greatest({local_day(days_off('now', CONSULT_DAYS))}, next_release.nominal, CAST(next_release.local AS DATE))"})
     w005 = _issue("W005", named, "label", _q(" was consulted for "), "CAST(consulted AS STRING)", _q(", after its valid_until "), valid, _q("; the next expected arrival may be wrong"))
-    noted = f"CASE WHEN error IS NOT NULL THEN filter(noted, x -> false) WHEN {CONSULTS_CALENDAR} AND consulted > valid_until THEN concat(noted, array({w005})) ELSE noted END"
+    noted = f"CASE WHEN error IS NOT NULL THEN filter(noted, x -> false) WHEN query_error IS NULL AND {CONSULTS_CALENDAR} AND consulted > valid_until THEN concat(noted, array({w005})) ELSE noted END"
     steps.append(dict(texts=_TEXTS, warnings=noted))
     rows = in_steps(rows, steps).withColumn("dst", F.when(F.col("release").isNotNull(), classify_local(F.col("release.local"), F.col("tz"))))
     return rows.selectExpr(
@@ -182,7 +188,7 @@ def evaluate(rules: DataFrame, observations: DataFrame, days: DataFrame, calenda
         "release.adjusted_from AS adjusted_from", "dst", "release.clamped AS clamped", "timestampadd(MICROSECOND, grace_us, release.instant) AS deadline",
         "seen_at AS observed_at", "CASE WHEN seen_at IS NOT NULL THEN observed END AS observed_raw", "CASE WHEN seen_at IS NOT NULL THEN naive END AS was_naive",
         "CASE WHEN seen_at IS NOT NULL AND naive THEN observed_tz END AS interpreted_timezone", "next_at AS next_expected_arrival", "missed_count",
-        "missed_truncated", "pending_count", "warnings", "error", f"{_explanation()} AS explanation",
+        "missed_truncated", "pending_count", "warnings", "fault AS error", f"{_explanation()} AS explanation",
         "named_struct('release', texts[0], 'deadline', texts[1], 'next', texts[2], 'observed', texts[3]) AS texts")
 
 

@@ -71,12 +71,9 @@ def cron_day_matches(d: str) -> str:
 
 def calendar_flags(days: DataFrame) -> DataFrame:
     """(calendar_id, cal_first, bd, unknown): business days of a calendar and days whose holidays aren't known, from
-    ``cal_first`` on, a flag per day without gaps (missing days are no business days)."""
-    span = days.groupBy("calendar_id").agg(
-        F.min("date").alias("cal_first"), F.max("date").alias("cal_last"),
-        F.map_from_entries(F.collect_list(F.struct("date", F.struct("is_bd", "unknown")))).alias("held"))
-    flag = lambda name: F.transform(F.sequence("cal_first", "cal_last"), lambda d: F.coalesce(F.col("held")[d][name], F.lit(False)))
-    return span.select("calendar_id", "cal_first", flag("is_bd").alias("bd"), flag("unknown").alias("unknown"))
+    ``cal_first`` on, a flag per day. ``days`` has every date of a calendar's span once, as ``calendar_days`` makes it."""
+    held = days.groupBy("calendar_id").agg(F.array_sort(F.collect_list(F.struct("date", "is_bd", "unknown"))).alias("held"))
+    return held.selectExpr("calendar_id", "held[0].date AS cal_first", "held.is_bd AS bd", "held.unknown AS unknown")
 
 
 def with_calendar(rules: DataFrame, days: DataFrame) -> DataFrame:

@@ -23,12 +23,14 @@ def around_now(releases: DataFrame, now: datetime, before: int = 3, after: int =
     return rows.where((~F.col("future") & (F.col("_late") <= before)) | (F.col("future") & (F.col("_early") <= after))).drop("_late", "_early")
 
 
-def release_state(now: datetime, observed: Column) -> Column:
+def release_state(now: datetime, observed: Column, deadline_text: Column | None = None) -> Column:
     """arrived, future (the first one being the next expected arrival), or occurred with its deadline passed or not."""
     at, deadline = ts(now), shift(F.col("instant"), F.col("grace_us"))
     first = F.row_number().over(Window.partitionBy("source_id", "future").orderBy("instant")) == 1
+    named = F.lit("") if deadline_text is None else F.concat(deadline_text, F.lit(" "))
+    occurred = F.concat(F.lit("occurred, not arrived; deadline "), named, F.when(deadline < at, "passed").otherwise("not passed"))
     return (F.when(observed >= F.col("instant"), "arrived").when(F.col("future") & first, "future (next expected arrival)").when(F.col("future"), "future")
-            .when(deadline < at, "occurred, not arrived; deadline passed").otherwise("occurred, not arrived; deadline not passed"))
+            .otherwise(occurred))
 
 
 def closed_days_between(listed: DataFrame, days: DataFrame) -> DataFrame:

@@ -7,15 +7,18 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.functions.frames import local_frame
 from tidewatch.functions.holidays import holiday_dim, holiday_ranges
-from tidewatch.functions.timeutil import format_utc, local_date, ts
+from tidewatch.functions.timeutil import format_local, format_utc, ts, zone_names
 from tidewatch.operators import calendar as cal
 from tidewatch.operators import evaluate as ev
 from tidewatch.operators import releases as rel
+from tidewatch.operators import trace
+from tidewatch.plans import report
 from tidewatch.sources.config import Calendar, Config, ConfigError, Entry, Issue, load_config, load_manifest, merge
-from tidewatch.sources.observe import observe
+from tidewatch.sources.observe import OBSERVATIONS, observe
 
 HORIZON = timedelta(days=1830 + 70)
 ISSUE = "code string, message string"
@@ -25,19 +28,18 @@ def load_entries(path: str, patterns: list[str] = ()) -> tuple[Config, list[Entr
     config = load_config(path)
     entries = merge(config, load_manifest(config.manifest, config) if config.manifest else [])
     if not entries:
-        raise ConfigError([Issue("E216", "no sources are configured")])
+        raise ConfigError([Issue("E216", "no sources to evaluate")])
     if patterns:
         entries = [e for e in entries if any(fnmatch.fnmatchcase(e.source_id, p) for p in patterns)]
         if not entries:
-            raise ConfigError([Issue("E210", f"no source matches {', '.join(patterns)}")])
+            raise ConfigError([Issue("E210", f"--select matched no sources: {', '.join(patterns)}")])
     return config, entries
 
 
 def calendar_tables(spark: SparkSession, calendars: dict[str, Calendar], first: date, last: date) -> tuple[DataFrame, DataFrame]:
     """The calendars and their days from first to last."""
     cs = list(calendars.values())
-    label = lambda c: c.calendar_id if c.calendar_id.startswith("of ") else f"'{c.calendar_id}'"
-    frame = local_frame(spark, [(c.calendar_id, c.weekend, c.valid_until, label(c)) for c in cs], cal.CALENDARS)
+    frame = local_frame(spark, [(c.calendar_id, c.weekend, c.valid_until, c.calendar_id) for c in cs], cal.CALENDARS)
     marks = [(c.calendar_id, d, w) for c in cs for days, w in ((c.working, True), (c.resting, False)) for d in sorted(days)]
     refs = [(c.calendar_id, r, i) for c in cs for i, r in enumerate(c.refs)]
     labels = sorted({r for _, r, _ in refs})
@@ -62,22 +64,19 @@ def _broken(spark: SparkSession, entries: list[Entry], now: datetime, like: Data
     return df.drop("code", "message")
 
 
-def check(spark: SparkSession, path: str, now: datetime, patterns: list[str] = (), given: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Verdicts of all sources, a row each; sources whose rule or query is broken carry their error."""
-    config, entries = load_entries(path, patterns)
+def require_connection(config: Config) -> None:
+    if config.connection is None:
+        raise ConfigError([Issue("E213", "'connection' is required for this command")])
+
+
+def verdicts_of(spark: SparkSession, config: Config, entries: list[Entry], now: datetime, found: DataFrame) -> DataFrame:
+    """Verdicts of entries whose load times (a table of OBSERVATIONS) are known, a row each; broken ones carry their error."""
     rows = [e.row for e in entries if e.row is not None and not e.errors]
-    found = observe(spark, rel.rules_frame(spark, rows), config.folder, given).cache()
     oldest = found.agg(F.min("observed")).first()[0]
     rules, frame, days = _tables(spark, config, rows, now, oldest.date() if oldest else None)
-    good = found.where("code is null").select("source_id", "observed", "naive")
-    verdicts = ev.evaluate(rules, good, days, frame, now)
     failed = found.where("code is not null").select("source_id", F.struct("code", "message").alias("query_error"))
-    # a query error keeps the schedule's context but has no verdict
-    verdicts = verdicts.join(failed, "source_id", "left").withColumn("broken", F.col("query_error").isNotNull() & F.coalesce(F.col("error.code") != "E209", F.lit(True)))
-    verdicts = verdicts.withColumns({
-        "status": F.when(F.col("broken"), "QUERY_ERROR").otherwise(F.col("status")), "error": F.when(F.col("broken"), F.col("query_error")).otherwise(F.col("error")),
-        "explanation": F.when(F.col("broken"), F.concat(F.lit("Query error: "), F.col("query_error.code"), F.lit(" "), F.col("query_error.message"))).otherwise(F.col("explanation")),
-        **{c: F.when(F.col("broken"), 0).otherwise(F.col(c)).cast("long") for c in ("missed_count", "pending_count")}}).drop("broken", "query_error")
+    # a query error keeps the schedule's context (the validity of a calendar isn't asked) but has no verdict
+    verdicts = ev.evaluate(rules, found.where("code is null"), days, frame, now, failed)
     warned = [(e.source_id, w.code, w.message) for e in entries for w in e.warnings]
     if warned:
         more = local_frame(spark, warned, "source_id string, code string, message string").groupBy("source_id").agg(F.collect_list(F.struct("code", "message")).alias("more"))
@@ -85,61 +84,99 @@ def check(spark: SparkSession, path: str, now: datetime, patterns: list[str] = (
     return verdicts.unionByName(_broken(spark, entries, now, verdicts), allowMissingColumns=True).orderBy("source_id")
 
 
+def check(spark: SparkSession, path: str, now: datetime, patterns: list[str] = (), given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Verdicts of all sources, a row each; sources whose rule or query is broken carry their error."""
+    config, entries = load_entries(path, patterns)
+    require_connection(config)
+    rows = [e.row for e in entries if e.row is not None and not e.errors]
+    return verdicts_of(spark, config, entries, now, observe(spark, rel.rules_frame(spark, rows), config.folder, given, config.connection))
+
+
 def upcoming(spark: SparkSession, path: str, now: datetime, count: int = 3, patterns: list[str] = ()) -> DataFrame:
     """The next releases of each source; expired calendars and broken rules give a row with the error."""
     config, entries = load_entries(path, patterns)
+    require_connection(config)
     rows = [e.row for e in entries if e.row is not None and not e.errors]
     rules, frame, days = _tables(spark, config, rows, now)
-    found = rel.next_releases(rules, days, now, count).select("source_id", "position", "instant", "local", "adjusted_from", "clamped", "dst", "tz")
-    out = rules.select("source_id", "tz", "calendar_id").join(frame.select("calendar_id", "valid_until", "label"), "calendar_id", "left")
-    expired = local_date(ts(now), F.col("tz")) > F.col("valid_until")
-    error = F.when(expired, F.struct(F.lit("E408").alias("code"), F.concat(F.lit("calendar "), "label", F.lit(" is not valid after "), F.col("valid_until").cast("string")).alias("message")))
-    out = out.select("source_id", error.alias("error")).join(found, "source_id", "left")
-    described = ("position", "instant", "local", "adjusted_from", "clamped", "dst", "tz")
-    # an expired calendar leaves one row with the error and no release
-    rows_out = out.where("error is null or position is null or position = 1").select(
-        "source_id", "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in described])
+    found = rel.next_releases(rules, days, now, count).withColumn("deadline", F.expr("timestampadd(MICROSECOND, grace_us, instant)"))
+    found = found.select("source_id", "position", "instant", "local", "deadline", "adjusted_from", "clamped", "dst")
+    nothing = local_frame(spark, [], OBSERVATIONS)
+    judged = ev.evaluate(rules, nothing, days, frame, now).select("source_id", F.col("schedule_timezone").alias("tz"), "warnings", "error")
+    joined = judged.join(found, "source_id", "left").where("error is null or coalesce(position, 1) = 1")
+    described = ("position", "instant", "local", "deadline", "adjusted_from", "clamped", "dst")
+    out = joined.select("source_id", "tz", "warnings", "error", *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in described])
     bad = [(e.source_id, (e.errors[0].code, e.errors[0].message)) for e in entries if e.errors]
     broken = local_frame(spark, bad, f"source_id string, error struct<{ISSUE.replace(' string', ':string')}>")
-    return rows_out.unionByName(broken, allowMissingColumns=True).orderBy("source_id", "position")
+    return out.unionByName(broken, allowMissingColumns=True).orderBy("source_id", "position")
 
 
 def validate(spark: SparkSession, path: str, now: datetime, patterns: list[str] = ()) -> DataFrame:
-    """Issues of all rules, errors first, without reading any load time: severity, source_id, code, message."""
+    """Issues of all rules, errors first, without reading any load time: severity, source_id, code, message. The message
+    of ids defined twice (E206) is told once."""
     config, entries = load_entries(path, patterns)
-    issues = {("error", x.location or e.source_id, x.code, x.message) for e in entries for x in e.errors}
-    issues |= {("warning", x.location or e.source_id, x.code, x.message) for e in entries for x in e.warnings}
-    static = local_frame(spark, sorted(issues), "severity string, source_id string, code string, message string")
     rows = [e.row for e in entries if e.row is not None and not e.errors]
     rules, frame, days = _tables(spark, config, rows, now)
-    nothing = local_frame(spark, [], "source_id string, observed timestamp_ntz, naive boolean")
-    verdicts = ev.evaluate(rules, nothing, days, frame, now)
-    errors = verdicts.where("error is not null").select(F.lit("error").alias("severity"), "source_id", "error.code", "error.message")
-    warnings = verdicts.select("source_id", F.explode("warnings").alias("w")).select(F.lit("warning").alias("severity"), "source_id", "w.code", "w.message")
-    return static.unionByName(errors).unionByName(warnings).orderBy("severity", "source_id", "code")
-
-
-def explain(spark: SparkSession, path: str, source_id: str, now: datetime, given: dict[str, DataFrame] | None = None) -> list[str]:
-    """The steps that lead to one source's verdict, as lines."""
+    verdicts = ev.evaluate(rules, local_frame(spark, [], OBSERVATIONS), days, frame, now)
+    found = verdicts.select("source_id", "error", "warnings").collect()
+    issues = [(0, e.source_id, x.code, str(x)) for e in entries for x in e.errors]
+    issues += [(0, r["source_id"], r["error"]["code"], f"{r['error']['code']} {r['source_id']}: {r['error']['message']}") for r in found if r["error"]]
+    issues += [(1, e.source_id, x.code, str(x)) for e in entries for x in e.warnings]
+    issues += [(1, r["source_id"], w["code"], f"{w['code']} {r['source_id']}: {w['message']}") for r in found for w in r["warnings"]]
+    seen: set[str] = set()
+    once = [i for i in issues if i[2] != "E206" or not (i[3].partition(": ")[2] in seen or seen.add(i[3].partition(": ")[2]))]
+    rows_out = [(n, "error" if kind == 0 else "warning", source_id, code, text) for n, (kind, source_id, code, text) in enumerate(sorted(once, key=lambda i: i[:2]))]
+    return local_frame(spark, rows_out, "position int, severity string, source_id string, code string, message string").orderBy("position")
+
+
+def find_entry(path: str, source_id: str) -> tuple[Config, Entry]:
     config, entries = load_entries(path)
     chosen = [e for e in entries if e.source_id == source_id]
     if not chosen:
-        raise ConfigError([Issue("E212", f"unknown source '{source_id}'")])
-    if chosen[0].errors:
-        return [str(i) for i in chosen[0].errors]
-    row = dict(zip([f.name for f in rel.rules_frame(spark, [chosen[0].row]).schema], chosen[0].row))
-    verdict = check(spark, path, now, [source_id], given).first()
-    rules, _, days = _tables(spark, config, [chosen[0].row], now)
-    around = rel.releases_between(rules, days, now - timedelta(days=40), now + timedelta(days=40))
-    past = around.where(F.col("instant") <= ts(now)).orderBy(F.desc("instant")).limit(3)
-    ahead = around.where(F.col("instant") > ts(now)).orderBy("instant").limit(2)
-    listed = past.union(ahead).orderBy("instant").select(format_utc(F.col("instant")).alias("i"), "adjusted_from", "clamped", "dst", (F.col("instant") > ts(now)).alias("future")).collect()
-    schedule = row["cron_text"] and f"cron '{row['cron_text']}'" or f"{row['kind']} {row['business_day'] or ''}".strip() + f" at {row['at_minute'] // 60:02d}:{row['at_minute'] % 60:02d}"
-    query = f"SELECT max({row['loaded_at_field']}) AS observed FROM {row['relation']}" + (f" WHERE ({row['filter']})" if row["filter"] else "")
-    lines = [f"Source: {source_id} ({row['origin']})", f"Schedule: {schedule} {row['tz']} (on_non_business_day: {row['policy']})", f"Calendar: {row['calendar_id']}",
-             f"Grace: {row['grace_us'] // 60_000_000} minutes", f"Query: {query}", f"Now: {now.isoformat()}Z", f"Observed: {verdict['observed_at'] or 'none'}", "Releases:"]
-    for r in listed:
-        notes = [f"moved from {r['adjusted_from']}"] * bool(r["adjusted_from"]) + ["clamped"] * r["clamped"] + [r["dst"]] * (r["dst"] != "normal")
-        lines.append(f"  {r['i']} {'future' if r['future'] else 'occurred'}" + (f" ({', '.join(notes)})" if notes else ""))
-    lines += [f"Result: {verdict['status']}", verdict["explanation"]]
-    return lines
+        raise ConfigError([Issue("E212", f"unknown source '{source_id}'", path)])
+    return config, chosen[0]
+
+
+def _listed(spark: SparkSession, rules: DataFrame, days: DataFrame, now: datetime) -> DataFrame:
+    """The three releases before now and the two after it; looks back in steps, as far as needed."""
+    ahead = rel.next_releases(rules, days, now, 2).drop("position")
+    for back in (45, 400, rel.HORIZON_DAYS):
+        past = rel.releases_between(rules, days, now - timedelta(days=back), now).drop("calendar_id")
+        if back == rel.HORIZON_DAYS or past.count() >= 3:
+            return trace.around_now(past.unionByName(ahead), now)
+
+
+def explain(spark: SparkSession, path: str, source_id: str, now: datetime, given: dict[str, DataFrame] | None = None, observed: tuple | None = None) -> tuple[list[str], str]:
+    """The steps that lead to one source's verdict, as lines, and its status.
+
+    observed: (value or None, is it wall time?) instead of a query. A source whose rule is broken gives its issues.
+    """
+    config, entry = find_entry(path, source_id)
+    if entry.row is None or entry.errors:
+        return [str(i) for i in entry.errors], "CONFIG_ERROR"
+    row = dict(zip([f.name for f in T.StructType.fromDDL(rel.RULES)], entry.row))
+    rules = rel.rules_frame(spark, [entry.row])
+    if observed is None:
+        require_connection(config)
+        found = observe(spark, rules, config.folder, given, config.connection)
+    else:
+        found = local_frame(spark, [(source_id, observed[0], observed[1], None, None)], OBSERVATIONS)
+    verdict = verdicts_of(spark, config, [entry], now, found).first()
+    if verdict["status"] == "QUERY_ERROR":
+        return [f"Result    QUERY_ERROR: {verdict['explanation']}"], "QUERY_ERROR"
+    _, frame, days = _tables(spark, config, [entry.row], now)
+    listed = _listed(spark, rules, days, now)
+    names = zone_names(spark, [row["tz"]])
+    state = trace.release_state(now, F.lit(verdict["observed_at"]).cast("timestamp_ntz"), F.col("deadline_text"))
+    show = lambda c: format_local(c, F.col("tz"), F.col("names"))
+    listed = listed.join(names, "tz").withColumns({"deadline_text": show(F.expr("timestampadd(MICROSECOND, grace_us, instant)")), "text": show(F.col("instant")),
+                                                   "month": F.trunc(F.col("local").cast("date"), "MM")})
+    months = trace.business_days_per_month(days.where(F.col("calendar_id") == row["calendar_id"])).select("month", F.col("n").alias("open_days"))
+    listed = listed.join(months, "month", "left").select("instant", "local", "text", state.alias("state"), "adjusted_from", "clamped", "dst", format_utc(F.col("instant")).alias("utc"),
+                                                         trace.clamp_text(F.col("local"), F.coalesce("open_days", F.lit(0))).alias("clamp"), F.lit(source_id).alias("source_id"),
+                                                         F.lit(row["calendar_id"]).alias("calendar_id")).orderBy("instant")
+    releases = listed.collect()
+    closed = []
+    if row["kind"] == "business_days" or row["policy"] != "none":
+        closed = trace.closed_days_between(listed, days).orderBy("date").collect()
+    now_row = spark.range(1).select(F.lit(row["tz"]).alias("tz")).join(names, "tz").select(format_utc(ts(now)).alias("utc"), show(ts(now)).alias("local")).first()
+    return report.explain_lines(config, entry, row, verdict, now_row, releases, closed, query=observed is None), verdict["status"]

@@ -4,34 +4,68 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from datetime import datetime
+from datetime import UTC, datetime
 from pathlib import Path
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
 
+from tidewatch import __version__
+
 #: Fixed order of the summary.
 STATUSES = ("ON_TIME", "NOT_DUE", "OVERDUE", "NO_DATA", "CONFIG_ERROR", "QUERY_ERROR")
+VERDICTS = STATUSES[:4]
 VERSION = "1.0"
 
 
-def _json(value):
-    if isinstance(value, datetime):
-        return value.isoformat() + "Z"
-    if hasattr(value, "asDict"):
-        return {k: _json(v) for k, v in value.asDict().items()}
-    if isinstance(value, list):
-        return [_json(v) for v in value]
-    return value.isoformat() if hasattr(value, "isoformat") else value
+TOOL = "tidewatch"
+
+
+def utc(value: datetime | None) -> str | None:
+    return None if value is None else value.isoformat() + "Z"
+
+
+def _issue(issue, source_id: str | None) -> dict | None:
+    return None if issue is None else {"code": issue["code"], "message": issue["message"], "location": source_id}
+
+
+def _local(instant: datetime | None, zone: str | None) -> str | None:
+    return None if instant is None else instant.replace(tzinfo=UTC).astimezone(ZoneInfo(zone)).isoformat()
+
+
+def _result(r) -> dict:
+    release = None if r["release"] is None else {
+        "instant": utc(r["release"]), "local": _local(r["release"], r["schedule_timezone"]), "adjusted_from": r["adjusted_from"] and r["adjusted_from"].isoformat(),
+        "dst": r["dst"], "clamped": r["clamped"]}
+    raw = r["observed_raw"]
+    seen = None if r["observed_at"] is None else {
+        "instant": utc(r["observed_at"]), "raw": raw.isoformat() + ("" if r["was_naive"] else "+00:00"), "was_naive": r["was_naive"], "interpreted_timezone": r["interpreted_timezone"]}
+    return {"source_id": r["source_id"], "origin": r["origin"], "status": r["status"], "is_verdict": r["status"] in VERDICTS, "schedule_timezone": r["schedule_timezone"],
+            "release": release, "deadline": utc(r["deadline"]), "observed": seen, "next_expected_arrival": utc(r["next_expected_arrival"]), "missed_count": r["missed_count"],
+            "missed_truncated": r["missed_truncated"], "pending_count": r["pending_count"], "explanation": r["explanation"],
+            "warnings": [_issue(w, r["source_id"]) for w in r["warnings"] or []], "error": _issue(r["error"], r["source_id"])}
+
+
+def by_source(rows: list) -> dict[str, list]:
+    out: dict[str, list] = {}
+    for r in rows:
+        out.setdefault(r["source_id"], []).append(r)
+    return out
 
 
 def json_report(rows: DataFrame, kind: str, now: datetime) -> str:
-    """An ordered document with a summary, two-space indent and a final newline."""
-    found = [_json(r) for r in rows.collect()]
-    document = {"version": VERSION, "kind": kind, "evaluated_at": _json(now)}
+    """A document of the published form: keys in its order, two-space indent, a final newline."""
+    found = rows.collect()
+    head = {"schema_version": VERSION, "kind": kind, f"{TOOL}_version": __version__, "evaluated_at": utc(now)}
     if kind == "check":
         counts = Counter(r["status"] for r in found)
-        document["summary"] = {s.lower(): counts[s] for s in STATUSES} | {"total": len(found)}
-    return json.dumps(document | {"results": found}, indent=2, ensure_ascii=False) + "\n"
+        body = {"exit_code": exit_code([r["status"] for r in found]), "summary": {"total": len(found)} | {s: counts[s] for s in STATUSES}, "results": [_result(r) for r in found]}
+    else:
+        body = {"sources": [{
+            "source_id": source_id, "schedule_timezone": held[0]["tz"],
+            "releases": [{"instant": utc(r["instant"]), "local": _local(r["instant"], r["tz"]), "deadline": utc(r["deadline"])} for r in held if r["instant"] is not None],
+            "warnings": [_issue(w, source_id) for w in held[0]["warnings"] or []], "error": _issue(held[0]["error"], source_id)} for source_id, held in by_source(found).items()]}
+    return json.dumps(head | body, indent=2, ensure_ascii=False) + "\n"
 
 
 def _table(header: list[str], rows: list[list[str]]) -> list[str]:
@@ -39,21 +73,91 @@ def _table(header: list[str], rows: list[list[str]]) -> list[str]:
     return ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in (header, *rows)]
 
 
-def _cell(value) -> str:
-    return "-" if value is None else value.isoformat(sep=" ", timespec="minutes") if isinstance(value, datetime) else str(value)
+def _shown(instant: datetime | None, zone: str | None) -> str:
+    """``Fri 2026-09-25 16:00 CEST``, or a dash."""
+    return "-" if instant is None or zone is None else instant.replace(tzinfo=UTC).astimezone(ZoneInfo(zone)).strftime("%a %Y-%m-%d %H:%M %Z")
 
 
-def table_report(rows: DataFrame, kind: str) -> str:
+def table_report(rows: DataFrame, kind: str, now: datetime) -> str:
     found = rows.collect()
     if kind == "next":
-        lines = _table(["SOURCE", "RELEASE", "MOVED FROM", "DST"], [[r["source_id"], _cell(r["instant"]), _cell(r["adjusted_from"]), _cell(r["dst"])] for r in found])
-        return "\n".join(lines + [f"{r['error']['code']} {r['source_id']}: {r['error']['message']}" for r in found if r["error"]]) + "\n"
-    lines = _table(["SOURCE", "STATUS", "RELEASE", "DEADLINE", "OBSERVED", "NEXT"],
-                   [[r["source_id"], r["status"], *(_cell(r[c]) for c in ("release", "deadline", "observed_at", "next_expected_arrival"))] for r in found])
+        lines = [(r["source_id"], *(("-", "-", "-") if r["instant"] is None else (_shown(r["instant"], r["tz"]), utc(r["instant"]), _shown(r["deadline"], r["tz"])))) for r in found]
+        out = _table(["SOURCE", "RELEASE", "RELEASE (UTC)", "DEADLINE"], lines) if lines else ["no sources"]
+        notices = [f"  {i['code']} {s}: {i['message']}" for s, held in by_source(found).items() for i in [*(held[0]["warnings"] or []), held[0]["error"]] if i]
+        return "\n".join(out + ([""] + notices if notices else [])) + "\n"
+    noun = "source" if len(found) == 1 else "sources"
+    rows_of = [(r["source_id"], r["status"], *(_shown(r[c], r["schedule_timezone"]) for c in ("release", "deadline", "observed_at", "next_expected_arrival"))) for r in found]
+    lines = [f"{TOOL} {__version__} | evaluated at {utc(now)} | {len(found)} {noun}", "",
+             *(_table(["SOURCE", "STATUS", "RELEASE", "DEADLINE", "OBSERVED", "NEXT EXPECTED"], rows_of) if rows_of else ["no sources"]), ""]
     for r in found:
-        lines += ["", f"{r['source_id']}: {r['explanation']}", *(f"  {w['code']} {w['message']}" for w in r["warnings"] or [])]
+        lines += [f"{r['source_id']}: {r['explanation']}", *(f"  {i['code']} {i['message']}" for i in [*(r["warnings"] or []), r["error"]] if i)]
     counts = Counter(r["status"] for r in found)
-    return "\n".join([*lines, "", ", ".join(f"{counts[s]} {s}" for s in STATUSES if counts[s]) + f" ({len(found)} sources)"]) + "\n"
+    listed = ", ".join(f"{counts[s]} {s}" for s in STATUSES if counts[s]) or "no sources"
+    return "\n".join([*lines, "", f"Summary: {listed} | exit code {exit_code([r['status'] for r in found])}"]) + "\n"
+
+
+def _schedule(row: dict) -> str:
+    if row["kind"] == "cron":
+        return f"cron '{row['cron_text']}' {row['tz']}" + (f" (on_non_business_day: {row['policy']})" if row["policy"] != "none" else "")
+    number = f" {row['business_day']}" if row["kind"] == "monthly_business_day" else ""
+    return f"{row['kind']}{number} at {row['at_minute'] // 60:02d}:{row['at_minute'] % 60:02d} {row['tz']}"
+
+
+def _calendar(c) -> str:
+    days = lambda held: ", ".join(d.isoformat() for d in sorted(held))
+    overrides = " | ".join(f"{name}: {days(held)}" for name, held in (("working", c.working), ("non-working", c.resting)) if held)
+    weekend = ", ".join(("mon", "tue", "wed", "thu", "fri", "sat", "sun")[d] for d in c.weekend)
+    return (f"weekend: {weekend or 'none'} | holidays: {', '.join(c.refs) or 'none'} | overrides: {overrides or 'none'}"
+            + (f" | valid_until: {c.valid_until.isoformat()}" if c.valid_until else ""))
+
+
+def _duration(us: int) -> str:
+    minutes = us // 60_000_000
+    parts = [f"{n}{u}" for n, u in ((minutes // 1440, "d"), (minutes // 60 % 24, "h"), (minutes % 60, "m")) if n]
+    return " ".join(parts) or "0m"
+
+
+def reasoning(verdict) -> list[str]:
+    """Why the status is what it is, step by step. The sentences are fixed values of the trace."""
+    texts, status = verdict["texts"], verdict["status"]
+    if verdict["error"]:
+        return [f"  1. {verdict['error']['code']} {verdict['error']['message']}"]
+    if status == "NO_DATA":
+        return ["  1. The warehouse returned NULL and no active_from is configured, so no release can be attributed."]
+    if status == "ON_TIME":
+        if verdict["release"] is None or verdict["observed_at"] is None:
+            return ["  1. No release has occurred yet."]
+        later = (f"  2. The first release after the observed timestamp, {texts['next']}, is later than now (release > now)." if texts["next"]
+                 else "  2. No release occurs after the observed timestamp within the search horizon.")
+        return [f"  1. The latest release at or before the observed timestamp: {texts['release']} arrived (observed {texts['observed']}).", later,
+                "  3. Nothing due is outstanding: no release in the searched interval is missing."]
+    where = "the observed timestamp" if verdict["observed_at"] is not None else "active_from (the floor is inclusive)"
+    passed = f"has not passed (now <= deadline)." if status == "NOT_DUE" else "has passed (now > deadline)."
+    return [f"  1. First release after {where}: {texts['release']}.", "  2. It has occurred (release <= now).", f"  3. Its deadline {texts['deadline']} {passed}"]
+
+
+def explain_lines(config, entry, row: dict, verdict, now_row, releases: list, closed: list, *, query: bool) -> list[str]:
+    origin = f"config {config.path}" if entry.origin == "config" else f"manifest {config.manifest}"
+    lines = [f"Source    {entry.source_id} ({origin}, {entry.location})", f"Schedule  {_schedule(row)}", f"Calendar  {_calendar(config.calendars[row['calendar_id']])}",
+             f"Grace     {_duration(row['grace_us'])} (wall-clock)"]
+    if query:
+        lines.append(f"Query     SELECT max({row['loaded_at_field']}) AS observed FROM {row['relation']}" + (f" WHERE ({row['filter']})" if row["filter"] is not None else ""))
+    lines.append(f"Now       {now_row['utc']} = {now_row['local']}")
+    if verdict["observed_at"] is None:
+        lines.append("Observed  NULL")
+    else:
+        how = f"naive value interpreted in {verdict['interpreted_timezone']} via observed_timezone" if verdict["was_naive"] else "timezone-aware value"
+        lines.append(f"Observed  {utc(verdict['observed_at'])} = {verdict['texts']['observed']} ({how})")
+    lines += ["", f"Releases around now ({row['tz']})"]
+    for r in releases:
+        lines += [f"  {c['date'].strftime('%a %Y-%m-%d')}  no release: {c['reason']}" for c in closed if c["to_date"] == r["local"].date()]
+        notes = [f"adjusted from {r['adjusted_from']}"] * bool(r["adjusted_from"])
+        notes += [f"DST gap: shifted to {r['text'].split()[2]}"] * (r["dst"] == "gap") + ["DST overlap: first occurrence"] * (r["dst"] == "ambiguous") + [r["clamp"]] * r["clamped"]
+        lines.append(f"  {r['text']}  {r['utc']}  {r['state']}" + (f" ({'; '.join(notes)})" if notes else ""))
+    if not releases:
+        lines.append("  no releases within the search horizon")
+    lines += ["", "Reasoning", *reasoning(verdict), f"  => {verdict['status']}", "", f"Result    {verdict['status']}: {verdict['explanation']}"]
+    return lines + [f"{i['code']} {i['message']}" for i in [*(verdict["warnings"] or []), verdict["error"]] if i]
 
 
 def exit_code(statuses: list[str]) -> int:

@@ -6,9 +6,15 @@ allowed folder, a parenthesised subquery, or a DataFrame given by name. Reads on
 
 from __future__ import annotations
 
+import os
 import re
 from collections import defaultdict
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path, PurePosixPath
+from urllib.parse import unquote, urlsplit
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +24,11 @@ from tidewatch.functions.frames import local_frame
 
 OBSERVATIONS = "source_id string, observed timestamp_ntz, naive boolean, code string, message string"
 _READ = re.compile(r"read_(parquet|csv|json)\('([^']+)'\)")
+#: A path named like a table (``parquet.`/any/path` ``) would read outside the allowed folder.
+_PATH_TABLE = re.compile(r"\b(parquet|csv|json|orc|text|avro|xml|binaryfile|image|libsvm|delta|iceberg|jdbc)\s*\.\s*[`\w]", re.IGNORECASE)
 #: Spark type -> name of the value's type in messages; fixed values.
-VALUE_NAMES = {"date": "date", "string": "str", "int": "int", "bigint": "int", "double": "float", "boolean": "bool"}
+VALUE_NAMES = {"date": "date", "string": "str", "int": "int", "bigint": "int", "smallint": "int", "tinyint": "int", "double": "float", "float": "float", "boolean": "bool", "binary": "bytes"}
+RELATIONS_AT_ONCE = 8
 
 
 class QueryError(Exception):
@@ -44,6 +53,22 @@ def scrub(text: str, *secrets: str) -> str:
     return text
 
 
+def inside(path: str, folder: str) -> bool:
+    """Is the path the folder or below it, part by part?"""
+    parts = lambda p: PurePosixPath(p.split("://", 1)[-1]).parts
+    return ("://" in path) == ("://" in folder) and parts(path)[:len(parts(folder))] == parts(folder)
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with types inferred; times without an offset stay wall times, whatever the session's zone."""
+    before = spark.conf.get("spark.sql.timestampType")
+    spark.conf.set("spark.sql.timestampType", "TIMESTAMP_NTZ")
+    try:
+        return spark.read.csv(path, header=True, inferSchema=True)
+    finally:
+        spark.conf.set("spark.sql.timestampType", before)
+
+
 def resolve_relation(spark: SparkSession, relation: str, folder: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
     relation = relation.strip()
     if given and relation in given:
@@ -53,12 +78,11 @@ def resolve_relation(spark: SparkSession, relation: str, folder: str, given: dic
         if ".." in path.split("/"):
             raise QueryError("E502", f"query failed: path '{path}' leaves the configuration's folder")
         path = path if "://" in path or path.startswith("/") else f"{folder}/{path}"
-        if not path.startswith(folder):
+        if not inside(path, folder):
             raise QueryError("E502", f"query failed: path '{path}' is outside the configuration's folder")
-        reader = spark.read
-        if kind == "csv":
-            return reader.csv(path, header=True, inferSchema=True, timestampFormat="yyyy-MM-dd HH:mm:ss[.SSSSSS]")
-        return getattr(reader, kind)(path)
+        return read_csv(spark, path) if kind == "csv" else getattr(spark.read, kind)(path)
+    if _PATH_TABLE.search(relation):
+        raise QueryError("E502", f"query failed: '{relation[:80]}' names files as a table; use read_parquet, read_csv or read_json below the configuration's folder")
     if relation.startswith("(") and relation.endswith(")"):
         return spark.sql(f"SELECT * FROM {relation}")  # a subquery can only read
     return spark.table(relation)
@@ -66,64 +90,125 @@ def resolve_relation(spark: SparkSession, relation: str, folder: str, given: dic
 
 def read_jdbc(spark: SparkSession, url: str, relation: str, timeout_seconds: int = 30, **options: str) -> DataFrame:
     """A relation behind JDBC in a read-only, UTC session; aggregates are pushed down to it."""
-    return (spark.read.format("jdbc").option("url", url).option("dbtable", relation).option("queryTimeout", timeout_seconds)
-            .option("pushDownAggregate", "true").option("sessionInitStatement", "SET default_transaction_read_only = on; SET TIME ZONE 'UTC'")
-            .options(**options).load())
+    if url.startswith("jdbc:postgresql:"):
+        options.setdefault("sessionInitStatement", "SET default_transaction_read_only = on; SET TIME ZONE 'UTC'")
+    table = f"{relation} AS observed_relation" if relation.startswith("(") else relation
+    return spark.read.format("jdbc").option("url", url).option("dbtable", table).option("queryTimeout", timeout_seconds).option("pushDownAggregate", "true").options(**options).load()
+
+
+def connected(spark: SparkSession, connection: dict | None, folder: str) -> Callable[[str], DataFrame] | None:
+    """How relations of a connection are read; None: by Spark itself. Raises QueryError (E501, E504, E505)."""
+    kind = (connection or {}).get("type")
+    if kind == "duckdb" and connection["path"] != ":memory:":
+        path = connection["path"] if connection["path"].startswith("/") else f"{folder}/{connection['path']}"
+        if not Path(path).exists():
+            raise QueryError("E501", f"cannot connect to the warehouse: no database file '{path}'")
+        url, secrets, options = f"jdbc:duckdb:{path}", (), {"duckdb.read_only": "true"}
+    elif kind in ("postgres", "jdbc"):
+        name = connection.get("dsn_env") or "TIDEWATCH_DSN"
+        if not (dsn := os.environ.get(name)):
+            raise QueryError("E504", f"environment variable {name} is not set")
+        at = urlsplit(dsn.removeprefix("jdbc:"))
+        where = f"{at.hostname or ''}{f':{at.port}' if at.port else ''}{at.path}"
+        url = dsn if dsn.startswith("jdbc:") else f"jdbc:postgresql://{where}"
+        secrets = tuple(filter(None, (at.password, unquote(at.password or ""), dsn)))
+        options = {k: unquote(v) for k, v in (("user", at.username), ("password", at.password)) if v and not dsn.startswith("jdbc:")}
+    else:
+        return None
+
+    def read(relation: str) -> DataFrame:
+        try:
+            return read_jdbc(spark, url, relation, connection.get("statement_timeout_seconds", 30), **options)
+        except Exception as e:
+            text = scrub(first_line(e), *secrets)
+            if "No suitable driver" in str(e) or "ClassNotFound" in str(e):
+                raise QueryError("E505", f"reading {kind} needs its JDBC driver on Spark's class path") from None
+            raise QueryError("E501", f"cannot connect to the warehouse: {text}") from None
+
+    return read
 
 
-def _checked(value, kind: T.DataType, field: str) -> None:
+def _checked(kind: T.DataType, field: str) -> None:
     if not isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.NullType)):
         name = VALUE_NAMES.get(kind.simpleString(), "Decimal" if isinstance(kind, T.DecimalType) else kind.simpleString())
-        raise QueryError("E503", f"max({field}) returned a value of type {name}, expected a timestamp")
+        raise QueryError("E503", f"max({field}) returned {name}; expected TIMESTAMP or TIMESTAMPTZ")
 
 
 def latest_by_relation(df: DataFrame, targets: list[tuple[str, str, str | None]]) -> DataFrame:
-    """(source_id, observed, naive) of several targets (source_id, field, filter) over one relation in one scan."""
+    """(source_id, observed, naive, infinite) of several targets (source_id, field, filter) over one relation in one scan.
+    A value at either end of what a timestamp can hold stands for infinity and is no load time."""
     picks, kinds = [], {}
     for i, (source_id, field, condition) in enumerate(targets):
         value = F.expr(field)
         kind = df.select(value.alias("v")).schema["v"].dataType
-        _checked(None, kind, field)
+        _checked(kind, field)
         kinds[source_id] = isinstance(kind, T.TimestampNTZType)
         value = F.when(F.expr(f"({condition})"), value) if condition else value
         utc = value if kinds[source_id] else F.convert_timezone(F.current_timezone(), F.lit("UTC"), value.cast("timestamp_ntz"))
         picks.append(F.max(utc).cast("timestamp_ntz").alias(f"m{i}"))
-    # a filter that all targets share reaches the scan
-    shared = {c for _, _, c in targets}
-    if len(shared) == 1 and None not in shared:
-        df = df.where(F.expr(f"({shared.pop()})"))
+    # rows that no target's filter keeps needn't be read
+    if all(c for _, _, c in targets):
+        df = df.where(F.expr(" OR ".join(sorted({f"({c})" for _, _, c in targets}))))
     wide = df.agg(*picks)
-    rows = F.array(*[F.struct(F.lit(s).alias("source_id"), F.col(f"m{i}").alias("observed"), F.lit(kinds[s]).alias("naive"))
-                     for i, (s, _, _) in enumerate(targets)])
-    return wide.select(F.explode(rows).alias("r")).select("r.*")
+    rows = F.array(*[F.struct(F.lit(s).alias("source_id"), F.col(f"m{i}").alias("at"), F.lit(kinds[s]).alias("naive")) for i, (s, _, _) in enumerate(targets)])
+    found = wide.select(F.explode(rows).alias("r")).select("r.*")
+    infinite = F.expr("coalesce(at >= timestamp_ntz'9999-12-31 23:59:59.999999' OR at <= timestamp_ntz'0001-01-01 00:00:00', false)")
+    return found.select("source_id", F.when(~infinite, F.col("at")).alias("observed"), "naive", infinite.alias("infinite"))
+
 
+def observe(spark: SparkSession, rules: DataFrame, folder: str = "", given: dict[str, DataFrame] | None = None, connection: dict | None = None) -> DataFrame:
+    """Load times of all rules: a scan per relation, a few of them at a time, a row per source back.
 
-def observe(spark: SparkSession, rules: DataFrame, folder: str = "", given: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Load times of all rules: a scan per relation; a relation that fails marks its sources and no others."""
+    What fails while a relation is named or analysed marks its sources (E502, E503). Where a scan fails as it
+    runs, its sources are read one by one, so that only the broken ones are marked.
+    """
     by_relation = defaultdict(list)
     for r in rules.select("source_id", "relation", "loaded_at_field", "filter").collect():
         by_relation[r["relation"]].append((r["source_id"], r["loaded_at_field"], r["filter"]))
-    out = local_frame(spark, [], OBSERVATIONS)
-    for relation, targets in sorted(by_relation.items()):
+    try:
+        reader = connected(spark, connection, folder)
+    except QueryError as e:
+        return local_frame(spark, [r for targets in by_relation.values() for r in _failed(targets, e)], OBSERVATIONS)
+
+    def read(relation: str, targets: list[tuple]) -> list[tuple]:
+        try:
+            df = reader(relation) if reader and not (given and relation in given) else resolve_relation(spark, relation, folder, given)
+        except (QueryError, PySparkException) as e:
+            return _failed(targets, e)
+        return _read(df, targets)
+
+    # CSV inference sets a session option, so relations are named in order and only scanned together
+    with ThreadPoolExecutor(RELATIONS_AT_ONCE if not any(r.strip().startswith("read_csv") for r in by_relation) else 1) as pool:
+        found = list(pool.map(inheritable_thread_target(spark)(lambda x: read(*x)), sorted(by_relation.items())))
+    return local_frame(spark, [r for rows in found for r in rows], OBSERVATIONS)
+
+
+def _read(df: DataFrame, targets: list[tuple]) -> list[tuple]:
+    out, good = [], []
+    for t in targets:
         try:
-            df = resolve_relation(spark, relation, folder, given)
+            _checked(df.select(F.expr(t[1]).alias("v")).schema["v"].dataType, t[1])
+            if t[2]:
+                df.where(F.expr(f"({t[2]})"))
+            good.append(t)
         except (QueryError, PySparkException) as e:
-            out = out.unionByName(_failed(spark, targets, e))
-            continue
-        good = []
-        for t in targets:
-            try:
-                latest_by_relation(df, [t])
-                good.append(t)
-            except (QueryError, PySparkException) as e:
-                out = out.unionByName(_failed(spark, [t], e))
-        if good:
-            found = latest_by_relation(df, good)
-            out = out.unionByName(found.select("source_id", "observed", "naive", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("message")))
+            out += _failed([t], e)
+    if not good:
+        return out
+    try:
+        rows = {r["source_id"]: r for r in latest_by_relation(df, good).collect()}
+    except Exception as e:  # a failure of the data, known only as it runs
+        return out + (_failed(good, e) if len(good) == 1 else [r for t in good for r in _read(df, [t])])
+    for source_id, field, _ in good:
+        r = rows[source_id]
+        if r["infinite"]:
+            out += _failed([(source_id, field, None)], QueryError("E502", f"query failed: max({field}) returned an infinite timestamp"))
+        else:
+            out.append((source_id, r["observed"], r["naive"], None, None))
     return out
 
 
-def _failed(spark: SparkSession, targets: list[tuple], error: Exception) -> DataFrame:
+def _failed(targets: list[tuple], error: Exception) -> list[tuple]:
     code = error.code if isinstance(error, QueryError) else "E502"
     message = str(error) if isinstance(error, QueryError) else f"query failed: {first_line(error)}"
-    return local_frame(spark, [(s, None, None, code, message) for s, _, _ in targets], OBSERVATIONS)
+    return [(s, None, None, code, message) for s, _, _ in targets]
