@@ -1,15 +1,19 @@
 """Secret scans with a linear-chain conditional random field.
 
-Three base patterns find secrets of known forms. The field tags each word as the beginning of a secret,
-inside one or outside, from the word's shape, the words around it and features of the whole file, with
-learned transitions; Viterbi decoding picks the best tags. It is trained on the base finds of a bounded
-sample of documents, with the shape alone to go by, and so finds secrets whose names or forms the patterns
-don't know. Its spans are added where they touch no base span; base spans always stay.
+Three base patterns find secrets of known forms. The field tags each word as the beginning of a secret, inside one
+or outside, from the word's shape, the hashed words around it, the hashed name it is assigned to and features of
+the whole file, with learned transitions; Viterbi decoding picks the best tags. It is trained on the base finds of a
+bounded sample of documents. So that it learns more than the patterns know,
 
-The scan weighs every word of a text. Where a word's whole weight is for outside by more than its two transitions
-can win back, the best path over the text runs outside there, so only the words between such words are
-decoded, with the same tags as decoding the text at once (``field_spans``). For training, texts are taken
-apart into ``stretches`` around words of a telling form, each with two words of context.
+* names and neighbours are hidden from half of the training, where shapes have to do alone, and
+* words that look like random tokens but are of no known form have free tags: the likelihood sums over them, so they
+  are not taught to be harmless, and end up where words of their shape and surroundings belong.
+
+Its spans are added where they touch no base span; base spans always stay.
+
+The scan weighs every word of a text. A word whose weight for outside is more than all that the text's suspicious
+words could win together is outside on the best path, so only the words between such words are decoded, with the same
+tags as decoding the text at once (``field_spans``).
 
 Defined results
 * null text: empty, no spans; texts of any length are scanned whole, to the last character;
@@ -22,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -32,14 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import hash_sample
+from tidewatch.llm.common import cut, hash_sample, ship_package
 
-TRAIN_DOCS = 4000
+#: Bounds of what is learned from: documents (half of them with a base find, if there are), stretches of words with
+#: and without a find, and words of a stretch.
+TRAIN_DOCS, TRAIN_STRETCHES, STRETCH_WORDS = 4000, 12_000, 200
+#: Words beside a word and names are told apart by so many hash values.
+NEIGHBOURS = 512
 PLAIN_BELOW = 20
 TAGS = ("O", "B", "I")
 KINDS = ("assign", "access", "hex", "field")
-#: A span of the field is a secret only if it is this probable by the word's own shape: length and variety.
-LEAST_LENGTH = 12
+#: The base patterns for a first look at documents to learn from.
+BASE = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 
 _ASSIGN = re.compile(
     r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -51,7 +60,6 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _REMEMBERED, _REMEMBERED_CHARS = 300_000, 4_000_000
 #: Characters that no plain word has, capitals inside a word, and words long enough to be worth a look.
 _ODD = re.compile(r"[0-9=_+/@:]|[a-z][A-Z]|[^\x20\x09-\x0D]{%d,}" % PLAIN_BELOW)
-_TELLING = re.compile(r"pass|secret|token|key|auth|credential|bearer", re.IGNORECASE)
 
 Span = tuple[int, int, str]
 
@@ -67,6 +75,12 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
+def secret_values(text: str) -> list[Span]:
+    """What training calls the secret of a base find: of an assignment the value, not the name."""
+    found = [(m.start(2), m.end(2), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 6] if ":" in text or "=" in text else []
+    return sorted(found + [s for s in base_spans(text) if s[2] != "assign"])
+
+
 def _entropy(word: str) -> float:
     n = len(word)
     counts = map(word.count, dict.fromkeys(word)) if n <= 64 else Counter(word).values()
@@ -78,28 +92,69 @@ def _share(c: int, n: int) -> float:
     return c / n * math.log2(c / n)
 
 
-def word_features(word: str) -> list[str]:
-    """Shape of a word, without its letters."""
+_CLASSES = str.maketrans({c: k for k, cs in (("d", "0123456789"), ("l", "abcdefghijklmnopqrstuvwxyz"), ("u", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) for c in cs})
+_NOT_LETTER = re.compile(r"[\W\d_]+")
+
+
+def parts(word: str) -> tuple[str, str | None, str]:
+    """A word without marks around it, the name it assigns to (or None) and its value."""
     core = word.strip("\"'`,;()[]{}<>")
-    cut = re.split(r"[:=]", core, maxsplit=1) if ":" in core or "=" in core else [core]
-    value = cut[1].strip("\"'") if len(cut) > 1 else core
-    kinds = "l" if value.isascii() and value.isalpha() and value.islower() else "".join(sorted({"d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in set(value)}))
-    out = [f"kinds={kinds}", f"length={min(12, len(value) // 4)}", f"entropy={int(2 * _entropy(value)) if value else -1}"]
-    if len(cut) > 1:
-        out += ["assigned", "named" if _TELLING.search(cut[0]) else "unnamed"]
-    if value and value[0] in "0123456789abcdef" and all(c in "0123456789abcdef" for c in value):
-        out.append("hexadecimal")
-    if "@" in word or "www." in word or "http:" in word or "https:" in word:
-        out.append("address")
-    if not core[:1].isalpha() and re.fullmatch(r"[-+().\d/:%,]*", core):
-        out.append("number")
-    return out
+    if ":" in core or "=" in core:
+        name, _, value = core.partition("=") if "=" in core.rstrip("=") else core.partition(":")
+        if value.strip("\"'"):
+            return core, name, value.strip("\"'")
+    return core, None, core
+
+
+def bucket(word: str) -> int:
+    """Hash value of a word's letters; words without one are told by their marks."""
+    return zlib.crc32((_NOT_LETTER.sub("", word).lower() or word[:1] + word[-1:]).encode("utf-8", "surrogatepass")) % NEIGHBOURS
+
+
+LENGTHS, TURNS, ENTROPIES = (6, 9, 12, 16, 20, 28), (2, 4, 6, 9), (2.0, 2.5, 3.0, 3.4)
+
+
+def shape(word: str) -> tuple[str, ...]:
+    """Features of a word's form, without its letters."""
+    core, name, value = parts(word)
+    plain = value.isascii() and value.isalpha() and value.islower()
+    if plain:
+        kinds, turns = "l", 0
+    else:
+        marks = re.sub(r"[^dlu]", "s", value.translate(_CLASSES)) if value.isascii() else "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value)
+        kinds = "".join(sorted(set(marks)))
+        turns = sum(a != b for a, b in zip(marks, marks[1:]))
+    # steps, not values: a longer or more mixed word than any seen has all the features of those seen
+    out = [f"has {k}" for k in kinds] + ["letters and digits"] * ("d" in kinds and ("l" in kinds or "u" in kinds))
+    out += [f"length>={n}" for n in LENGTHS if len(value) >= n] + [f"turns>={n}" for n in TURNS if turns >= n]
+    if not plain:
+        entropy = _entropy(value) if value else 0.0
+        out += [f"entropy>={n}" for n in ENTROPIES if entropy >= n]
+    if name is not None:
+        out.append("assigned")
+    if not plain:
+        if value[:1] in "0123456789abcdef" and not value.strip("0123456789abcdef"):
+            out.append("hexadecimal")
+        if "@" in word or "www." in word or "://" in word:
+            out.append("address")
+        if not core[:1].isalpha() and re.fullmatch(r"[-+().\d/:%,]*", core):
+            out.append("number")
+        if "." in value:
+            out.append(f"dots={min(3, value.count('.'))}")
+    return tuple(out)
 
 
-def _telling(word: str) -> str:
-    if word in ("=", ":", ":=", "=>"):
-        return "mark"
-    return "telling" if len(word) < 40 and _TELLING.search(word) else "other"
+def word_features(word: str) -> list[str]:
+    """Form of a word, and the name it assigns to."""
+    name = parts(word)[1]
+    return [*shape(word), f"name={bucket(name)}" if name is not None else "no name"]
+
+
+def doubtful(word: str) -> bool:
+    """Does a word look like a random token? Only training asks: such words of no known form have free tags."""
+    core, _, value = parts(word)
+    kinds = sum(any(test(c) for c in value) for test in (str.isdigit, str.isupper, str.islower))
+    return len(value) >= 12 and kinds >= 2 and "@" not in word and "://" not in word and "www." not in word and bool(re.search(r"[A-Za-z]", value)) and _entropy(value) >= 3
 
 
 def file_features(text: str) -> list[str]:
@@ -114,10 +169,9 @@ Word = tuple[int, int, list[str]]
 
 def stretches(text: str) -> Iterator[list[Word]]:
     """The parts of a text that are not all plain words, each with two words of context on both sides."""
-    spots = [(m.start(), m.end()) for pattern in (_ODD, _TELLING) for m in pattern.finditer(text)]
+    spots = [m.span() for m in _ODD.finditer(text)]
     if not spots:
         return
-    spots.sort()
     words: list[tuple[int, int]] = []  # the odd words
     for a, b in spots:
         if words and a < words[-1][1]:
@@ -131,7 +185,7 @@ def stretches(text: str) -> Iterator[list[Word]]:
     for word in words:
         if group:
             gap = [m.span() for m in islice(_WORD.finditer(text, group[-1][1], word[0]), 5)]
-            if len(gap) <= 4:  # no word of context is told twice
+            if len(gap) <= 4 and len(group) < STRETCH_WORDS:  # no word of context is told twice
                 group += [*gap, word]
                 continue
             yield _described(text, group, file)
@@ -158,15 +212,22 @@ def _described(text: str, group: list[tuple[int, int]], file: list[str]) -> list
         end = start
     group = [*before, *group, *(m.span() for m in islice(_WORD.finditer(text, group[-1][1]), 2))]
     words = [text[a:b] for a, b in group]
-    near = [_telling(w) for w in words]
+    near = [bucket(w) for w in words]
     out = []
     for i, (a, b) in enumerate(group):
-        around = [f"before={near[i - 1] if i else 'other'}", f"after={near[i + 1] if i + 1 < len(near) else 'other'}",
-                  f"before2={near[i - 2] if i > 1 else 'other'}"]
-        out.append((a, b, [*word_features(words[i]), f"self={near[i]}", *around, *file]))
+        around = [f"before={near[i - 1]}" if i else "first", f"after={near[i + 1]}" if i + 1 < len(near) else "last", f"before2={near[i - 2]}" if i > 1 else "early"]
+        out.append((a, b, [*word_features(words[i]), *around, *file]))
     return out
 
 
+#: Features that half of the training does without.
+HIDDEN = ("before=", "before2=", "after=", "name=", "hexadecimal")
+
+
+def hidden(features: Iterable[str]) -> list[str]:
+    return [f for f in features if not f.startswith(HIDDEN)]
+
+
 def tags_of(stretch: list[Word], spans: list[Span]) -> list[int]:
     """Tags of the words by the base spans that touch them."""
     out, open_end = [], -1
@@ -217,109 +278,152 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def fit(examples: list[tuple[list[list[str]], list[int]]], rounds: int = 6, rate: float = 0.2, l2: float = 1e-3) -> Field | None:
-    """Maximise the conditional likelihood of the tags by adaptive gradient steps, stretch by stretch."""
+#: Tags a word may have, by its number in the training table; free words may have any.
+FREE = 3
+
+
+def posterior(emit: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log of the sum over all tag paths, expected tags of each word and expected transitions; both ends lie outside."""
+    n = len(emit)
+    forward, backward = np.zeros((n, 3)), np.zeros((n, 3))
+    forward[0] = moves[0] + emit[0]
+    for i in range(1, n):
+        forward[i] = _log_sum(forward[i - 1][:, None] + moves, 0) + emit[i]
+    backward[-1] = moves[:, 0]
+    for i in range(n - 2, -1, -1):
+        backward[i] = _log_sum(moves + (emit[i + 1] + backward[i + 1])[None, :], 1)
+    total = float(_log_sum(forward[-1] + backward[-1], 0))
+    marginal = np.exp(forward + backward - total)
+    steps = np.zeros((3, 3))
+    steps[0] += marginal[0]
+    steps[:, 0] += marginal[-1]
+    if n > 1:
+        pairs = forward[:-1, :, None] + moves[None] + (emit[1:] + backward[1:])[:, None, :] - total
+        steps += np.exp(pairs).sum(axis=0)
+    return total, marginal, steps
+
+
+def allowed(emit: np.ndarray, tags: list[int]) -> np.ndarray:
+    """Emissions with the tags a word can't have ruled out."""
+    out = np.where(np.arange(3)[None, :] == np.asarray(tags)[:, None], emit, -1e9)
+    free = np.asarray(tags) == FREE
+    out[free] = emit[free]
+    return out
+
+
+def gradient(emit: np.ndarray, moves: np.ndarray, tags: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood of the tags (summed over those of free words), and its slope by emissions and transitions."""
+    total, marginal, steps = posterior(emit, moves)
+    held, wanted, made = posterior(allowed(emit, tags), moves)
+    return held - total, wanted - marginal, made - steps
+
+
+def fit(examples: list[tuple[list[list[str]], list[int]]], rounds: int = 4, rate: float = 0.2, l2: float = 1e-3) -> Field | None:
+    """Maximise the conditional likelihood of the tags by adaptive gradient steps, stretch by stretch; every other step
+    hides names and neighbours."""
     counts = Counter(f for words, _ in examples for features in words for f in features)
-    if not any(t for _, tags in examples for t in tags):
+    if not any(t in (1, 2) for _, tags in examples for t in tags):
         return None
     field = Field({f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= 2))})
     w, moves = field.weights, field.moves
     gw2, gm2 = np.full_like(w, 1e-2), np.full_like(moves, 1e-2)
-    numbered = [([[field.names[f] for f in features if f in field.names] for features in words], tags) for words, tags in examples]
+    bare = {i for f, i in field.names.items() if f.startswith(HIDDEN)}
+    numbered = []
+    for words, tags in examples:
+        full = [[field.names[f] for f in features if f in field.names] for features in words]
+        numbered.append((full, [[f for f in fs if f not in bare] for fs in full], tags))
     order = np.random.default_rng(5)
-    for _ in range(rounds):
+    for turn in range(rounds):
         for at in order.permutation(len(numbered)):
-            words, tags = numbered[at]
-            emit, n = field.emissions(words), len(words)
-            forward, backward = np.zeros((n, 3)), np.zeros((n, 3))
-            forward[0] = moves[0] + emit[0]
-            for i in range(1, n):
-                forward[i] = _log_sum(forward[i - 1][:, None] + moves, 0) + emit[i]
-            backward[-1] = moves[:, 0]
-            for i in range(n - 2, -1, -1):
-                backward[i] = _log_sum(moves + (emit[i + 1] + backward[i + 1])[None, :], 1)
-            total = _log_sum(forward[-1] + backward[-1], 0)
-            marginal = np.exp(forward + backward - total)
-            gm = np.zeros_like(moves)
-            gm[0] -= marginal[0]
-            gm[:, 0] -= marginal[-1]
-            gm[0, tags[0]] += 1
-            gm[tags[-1], 0] += 1
-            for i in range(1, n):
-                gm -= np.exp(forward[i - 1][:, None] + moves + (emit[i] + backward[i])[None, :] - total)
-                gm[tags[i - 1], tags[i]] += 1
-            for features, p, tag in zip(words, marginal, tags):
+            full, some, tags = numbered[at]
+            words = some if (turn + at) % 2 else full
+            _, ge, gm = gradient(field.emissions(words), moves, tags)
+            for features, g in zip(words, ge):
                 if features:
-                    g = -p
-                    g[tag] += 1
                     g = g - l2 * w[features]
                     gw2[features] += g * g
                     w[features] += rate * g / np.sqrt(gw2[features])
             gm2 += gm * gm
             moves += rate * gm / np.sqrt(gm2)
-    _settle(field)
     return field
 
 
-def _settle(field: Field) -> None:
-    """Make plain words outside by more than transitions can win back."""
-    plain = [f for f in ("kinds=l", "self=other", "before=other", "after=other", "before2=other") if f in field.names]
-    emit = field.weights[[field.names[f] for f in plain]].sum(axis=0)
-    spread = 2 * (field.moves.max() - field.moves.min())
-    short = spread - (emit[0] - emit[1:].max())
-    if short > 0 and "kinds=l" in field.names:
-        field.weights[field.names["kinds=l"], 0] += short + 1e-6
-
-
 class Known(dict):
-    """Words seen by a task to numbers of shapes: what a word weighs by itself and how it tells of its neighbours."""
-
-    CLASSES = ("other", "telling", "mark")
+    """Words seen by a task to numbers: what a word weighs by itself and how it tells of its neighbours."""
 
     def __init__(self, field: Field):
         super().__init__()
-        self.field, self.chars, self.shapes, self.filled = field, 0, {}, 0
-        self.own, self.near = np.zeros((1024, 3)), np.zeros(1024, np.int8)
-        self.before, self.after, self.before2 = (np.array([self.weigh([f"{at}={c}"]) for c in self.CLASSES]) for at in ("before", "after", "before2"))
+        self.field, self.chars = field, 0
+        table = lambda at: np.array([self.weigh([f"{at}={c}"]) for c in range(NEIGHBOURS)])
+        self.before, self.after, self.before2 = table("before"), table("after"), table("before2")
+        self.edges = {e: self.weigh([e]) for e in ("first", "last", "early")}
+        self.shapes: dict[tuple, int] = {}
+        self.forms: list[tuple[float, float, float]] = []
+        # a word's entry holds its form and its hash value in one number
+        inside = field.moves[1:, 1:].max() - field.moves[0, 0]
+        self.inside, self.edge = inside, field.moves[0, 1:].max() + field.moves[1:, 0].max() - 2 * field.moves[0, 0]
 
     def weigh(self, features: Iterable[str]) -> np.ndarray:
         return self.field.weights[[self.field.names[f] for f in features if f in self.field.names]].sum(axis=0)
 
     def __missing__(self, word: str) -> int:
-        near = _telling(word)
-        features = (*word_features(word), f"self={near}")
+        features = tuple(word_features(word))
         at = self.shapes.setdefault(features, len(self.shapes))
-        if at == len(self.own):
-            self.own, self.near = np.concatenate([self.own, np.zeros_like(self.own)]), np.concatenate([self.near, np.zeros_like(self.near)])
-        if at == self.filled:
-            self.own[at], self.near[at] = self.weigh(features), self.CLASSES.index(near)
-            self.filled += 1
-        self[word] = at
+        if at == len(self.forms):
+            self.forms.append(tuple(self.weigh(features)))
+            self._table = None
+        entry = at * NEIGHBOURS + bucket(word)
+        self[word] = entry
         self.chars += len(word)
-        return at
+        return entry
+
+    _table: np.ndarray | None = None
 
     def emissions(self, text: str) -> np.ndarray:
         """What every word of the text weighs for each tag."""
         if len(self) > _REMEMBERED or self.chars > _REMEMBERED_CHARS:
             self.clear()
             self.chars = 0
-        at = np.fromiter(map(self.__getitem__, words), np.int64) if (words := _WORD.findall(text)) else np.zeros(0, np.int64)
-        near = np.concatenate([[0, 0], self.near[at], [0]])
-        return self.own[at] + self.before[near[1:-2]] + self.after[near[3:]] + self.before2[near[:-3]] + self.weigh(file_features(text))
+        words = _WORD.findall(text)
+        if not words:
+            return np.zeros((0, 3))
+        at, near = np.divmod(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), NEIGHBOURS)
+        if self._table is None or len(self._table) < len(self.forms):
+            self._table = np.array(self.forms)
+        out = self._table[at] + self.weigh(file_features(text))
+        out[1:] += self.before[near[:-1]]
+        out[0] += self.edges["first"]
+        out[:-1] += self.after[near[1:]]
+        out[-1] += self.edges["last"]
+        out[2:] += self.before2[near[:-2]]
+        out[:2] += self.edges["early"]
+        return out
+
+    def suspicious(self, emit: np.ndarray) -> np.ndarray:
+        """Numbers of the words that may not be outside. A run of tags beside outside wins at most the sum of its words'
+        gains and the edges, so a word whose loss is more than all gains of the text together is in no run."""
+        gain = emit[:, 1:].max(axis=1) - emit[:, 0] + self.inside
+        most = np.maximum(gain, 0).sum() + max(0.0, self.edge - self.inside)
+        return np.nonzero(gain + most > -1e-9)[0]
 
 
 def field_spans(text: str, field: Field, base: list[Span], known: Known | None = None) -> list[Span]:
-    """Spans of the field that touch no base span; quotes and commas around a secret are left out."""
+    """Spans of the field that touch no base span. Marks around a secret and the name it is assigned to are left out."""
     out: list[Span] = []
-    emit = (Known(field) if known is None else known).emissions(text)
-    # tags of neighbours can win back no more than this, so elsewhere the best path is outside
-    doubtful = np.nonzero(emit[:, 0] - emit[:, 1:].max(axis=1) <= 2 * (field.moves.max() - field.moves.min()) + 1e-9)[0]
-    if not len(doubtful):
+    known = Known(field) if known is None else known
+    emit = known.emissions(text)
+    if not len(emit):
         return out
-    words = [m.span() for m in _WORD.finditer(text)]
-    for run in np.split(doubtful, np.nonzero(np.diff(doubtful) > 1)[0] + 1):
-        stretch = words[run[0]:run[-1] + 1]
+    some = known.suspicious(emit)
+    if not len(some):
+        return out
+    words = None
+    for run in np.split(some, np.nonzero(np.diff(some) > 1)[0] + 1):
         tags, i = field.best_tags(emit[run]), 0
+        if not any(tags):
+            continue
+        words = words or [m.span() for m in _WORD.finditer(text)]
+        stretch = words[run[0]:run[-1] + 1]
         while i < len(tags):
             if not tags[i]:
                 i += 1
@@ -328,11 +432,10 @@ def field_spans(text: str, field: Field, base: list[Span], known: Known | None =
             while j < len(tags) and tags[j] == 2:
                 j += 1
             a, b = stretch[i][0], stretch[j - 1][1]
-            while b > a and text[b - 1] in "\"'`,;.)]}>":
-                b -= 1
-            while a < b and text[a] in "\"'`([{<":
-                a += 1
-            if b - a >= LEAST_LENGTH and not any(s[0] < b and a < s[1] for s in base) and not (out and a < out[-1][1]):
+            value = parts(text[a:stretch[i][1]])[2]
+            a = text.index(value, a) if value else a
+            b = max(a + 1, a + len(text[a:b].rstrip("\"'`,;.)]}>")))
+            if not any(s[0] < b and a < s[1] for s in base) and not (out and a < out[-1][1]):
                 out.append((a, b, "field"))
             i = j
     return out
@@ -342,26 +445,43 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, b, kind in spans)
 
 
-def train(docs: DataFrame, rows: int = TRAIN_DOCS) -> Field | None:
-    """Fit the field on the base finds of a bounded sample of documents (by hash of the id)."""
+def examples_of(text: str) -> Iterator[tuple[list[list[str]], list[int]]]:
+    """Stretches of a text with their tags; look-alikes of no known form are free."""
+    base = secret_values(text)
+    for stretch in stretches(text):
+        tags = [FREE if t == 0 and doubtful(text[a:b]) else t for (a, b, _), t in zip(stretch, tags_of(stretch, base))]
+        yield [features for _, _, features in stretch], tags
+
+
+def train(docs: DataFrame, rows: int = TRAIN_DOCS, most: int = TRAIN_STRETCHES) -> Field | None:
+    """Fit the field on stretches of a bounded sample of documents (by hash), those with a base find and others."""
+    ship_package(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, tags = [], []
-            for text in batch.column(1).to_pylist():
-                base = base_spans(text)
-                for stretch in stretches(text):
-                    words.append([features for _, _, features in stretch])
-                    tags.append(tags_of(stretch, base))
+            for text in batch.column(0).to_pylist():
+                for w, t in examples_of(text):
+                    words.append(w)
+                    tags.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.list_(pa.string()))), pa.array(tags, pa.list_(pa.int8()))], ["words", "tags"])
 
-    ids = [r[0] for r in hash_sample(docs.where("doc_id is not null").select("doc_id"), "doc_id", rows).collect()]
-    if not ids:
+    texts = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("_h"), F.col("text").rlike(BASE).alias("_found"))
+    counts = {r["_found"]: r["n"] for r in texts.groupBy("_found").agg(F.count("*").alias("n")).collect()}
+    made = None
+    for found, n in counts.items():
+        share = texts.where((F.col("_found") == found) & (F.pmod("_h", F.lit(1 << 40)) < F.lit(4.0 * rows * (1 << 40)) / F.lit(n)))
+        # equal rows hash alike: one of them will do
+        picked = share.groupBy("_h").agg(F.first("text").alias("text")).orderBy(F.pmod("_h", F.lit(1 << 40)), "_h").limit(rows // 2).select("text")
+        made = picked if made is None else made.unionByName(picked)
+    if made is None:
         return None
-    sample = docs.select("doc_id", "text").where(F.col("doc_id").isin(ids) & F.col("text").isNotNull())
-    found = sample.mapInArrow(work, "words array<array<string>>, tags array<tinyint>").toPandas()
-    examples = sorted(([list(map(str, f)) for f in w], [int(t) for t in g]) for w, g in zip(found["words"], found["tags"]))
-    return fit(examples[:20 * rows])
+    found = cut(made.repartition(8).mapInArrow(work, "words array<array<string>>, tags array<tinyint>"))
+    held = []
+    for told in (True, False):
+        some = found.where(F.exists("tags", lambda t: t.isin(1, 2)) == told)
+        held += hash_sample(some.withColumn("_key", F.xxhash64("words", "tags")), "_key", most).select("words", "tags").collect()
+    return fit(sorted(([list(f) for f in r["words"]], list(r["tags"])) for r in held))
 
 
 def scan(docs: DataFrame, rows: int = TRAIN_DOCS) -> DataFrame:
