@@ -1,6 +1,7 @@
 """Language id, quality classifier, secret scan and the pipeline: held-out accuracy and exact parts."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -66,6 +67,27 @@ def test_cumulative_link_gradient_finds_the_order():
     assert tails[0, 0] < 0.5 < tails[1, 0] and tails[1, 1] < 0.5 < tails[2, 1]
 
 
+def test_fit_reaches_the_best_likelihood():
+    """Against plain descent on the same penalised likelihood, and its slopes against differences."""
+    rng = np.random.default_rng(7)
+    grades, n_features = rng.integers(0, 3, 200), 6
+    x = (rng.random((200, n_features)) < 0.2 + 0.2 * (np.arange(n_features)[None] % 3 == grades[:, None])).astype(float)
+    x[:, 0] = 1
+
+    def loss(w, t):
+        upto = np.concatenate([np.zeros((200, 1)), 1 / (1 + np.exp(-(t[None] - (x @ w)[:, None]))), np.ones((200, 1))], axis=1)
+        return -np.log(upto[np.arange(200), grades + 1] - upto[np.arange(200), grades]).mean() + 2.5e-4 * (w * w).sum()
+
+    z = np.concatenate([np.zeros(n_features), [-0.5, 0.5]])
+    f = lambda z: loss(z[:-2], z[-2:])
+    for _ in range(3000):
+        z = z - 0.5 * np.array([(f(z + e) - f(z - e)) / 2e-5 for e in np.eye(len(z)) * 1e-5])
+    rows = [np.nonzero(r)[0] for r in x]
+    model = quality.fit(np.array([len(r) for r in rows]), np.concatenate(rows), grades, steps=1500, rate=0.02)
+    got = loss(model.weights[:n_features], model.thresholds)
+    assert abs(got - f(z)) < 1e-3
+
+
 def test_quality_on_unseen_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     split = labels.selectExpr("*", "pmod(hash(doc_id), 4) = 0 as held")
@@ -105,47 +127,83 @@ def test_base_spans_equal_the_patterns():
         assert secrets.base_spans(text) == brute_base(text), text
 
 
-def test_stretches_decode_like_whole_texts(spark, sf_dir):
-    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + ["set key = Zq81kX02pLm93Tr7 here and password=abcdef123456 there " * 3]
-    examples = [([f for _, _, f in s], secrets.tags_of(s, secrets.base_spans(t))) for t in texts for s in secrets.stretches(t)]
-    field = secrets.fit(examples)
-    assert field is not None
-    for text in texts[-20:]:
-        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-        if not words:
-            continue
-        whole = field.decode(secrets._described(text, words, secrets.file_features(text)))
-        marked = {w[:2] for s in secrets.stretches(text) for w, tag in zip(s, field.decode(s)) if tag}
-        assert {w for w, tag in zip(words, whole) if tag} == marked
+def path_weight(field, emit, tags):
+    ends = [0, *tags, 0]
+    return sum(field.moves[a, b] for a, b in zip(ends, ends[1:])) + sum(e[t] for e, t in zip(emit, tags))
 
 
-def test_every_word_is_weighed(spark, sf_dir):
-    names = ["kinds=lu", "length=2", "length=3", "length=4", "before=telling", "before2=telling", "assigned"]
+def random_field(rng, names=()):
     field = secrets.Field({f: i for i, f in enumerate(names)})
-    field.weights[:, 1] = [1, 0, 0, 0, 2, 2, 2]
-    field.weights[0, 0] = 2
-    for text, secret in (("bearer QwErTyUiOpAsDfGh", "QwErTyUiOpAsDfGh"), ("auth key QwErTyUiOpAsDf", "QwErTyUiOpAsDf"),
-                         ("the password is QwErTyUiOpAsDf at 12", "QwErTyUiOpAsDf"), ("pwd:QwErTyUiOpAs", "pwd:QwErTyUiOpAs")):
-        at = text.index(secret)
-        assert (at, at + len(secret), "field") in secrets.field_spans(text, field, []), text
-    rng = random.Random(6)
-    letters = lambda: "".join(rng.choice("QwErTyUiOp") for _ in range(16))
-    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    texts += [f"{t[:200]} {rng.choice(['bearer', 'password is', 'auth key', 'pwd:'])} {letters()} {t[200:400]}" for t in texts[:60]] + ["set key = Zq81kX02pLm93Tr7 here and password=abcdef123456 there " * 3]
-    examples = [([f for _, _, f in s], secrets.tags_of(s, secrets.base_spans(t))) for t in texts for s in secrets.stretches(t)]
-    learned, got = secrets.fit(examples, rounds=2), 0
-    known = secrets.Known(learned)
-    for text in texts[-90:]:
-        words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-        described = secrets._described(text, words, secrets.file_features(text)) if words else []
-        emit = learned.emissions(learned.number(described)) if words else np.zeros((0, 3))
-        assert np.allclose(known.emissions(text), emit)
-        tags = learned.decode(described) if words else []
-        found = secrets.field_spans(text, learned, [], known)
-        got += len(found)
-        assert all(any(tag and a < f[1] and f[0] < b for (a, b), tag in zip(words, tags)) for f in found)
-        assert all(any(a < f[1] and f[0] < b for f in found) for (a, b), tag in zip(words, tags) if tag == 1 and b - a > 16)
-    assert got
+    field.weights, field.moves = rng.normal(size=(len(names), 3)), rng.normal(size=(3, 3))
+    return field
+
+
+def test_viterbi_and_sums_equal_all_paths():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 6):
+        field, emit = random_field(rng), rng.normal(size=(n, 3))
+        paths = list(itertools.product(range(3), repeat=n))
+        weights = np.array([path_weight(field, emit, p) for p in paths])
+        assert tuple(field.best_tags(emit)) == paths[int(weights.argmax())]
+        total, marginal, steps = secrets.posterior(emit, field.moves)
+        share = np.exp(weights - total)
+        assert np.isclose(share.sum(), 1)
+        assert np.allclose(marginal, [[sum(s for s, p in zip(share, paths) if p[i] == t) for t in range(3)] for i in range(n)])
+        assert np.allclose(steps, [[sum(s * sum((a, b) == x for x in zip((0, *p), (*p, 0))) for s, p in zip(share, paths)) for b in range(3)] for a in range(3)])
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    emit, moves, tags = rng.normal(size=(5, 3)), rng.normal(size=(3, 3)), [0, 1, secrets.FREE, 2, 0]
+    value, by_emit, by_move = secrets.gradient(emit, moves, tags)
+    for array, slope in ((emit, by_emit), (moves, by_move)):
+        for at in np.ndindex(array.shape):
+            held = array[at]
+            array[at] = held + 1e-6
+            more = secrets.gradient(emit, moves, tags)[0]
+            array[at] = held
+            assert abs((more - value) / 1e-6 - slope[at]) < 1e-4
+
+
+def test_suspicious_words_hold_all_tags():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        field = random_field(rng)
+        emit = rng.normal(size=(30, 3)) * 2
+        emit[rng.random(30) < 0.7, 0] += rng.choice([2, 6, 12])
+        whole, known = field.best_tags(emit), secrets.Known(field)
+        tags = [0] * 30
+        some = known.suspicious(emit)
+        for run in np.split(some, np.nonzero(np.diff(some) > 1)[0] + 1) if len(some) else ():
+            for i, t in zip(run, field.best_tags(emit[run])):
+                tags[i] = t
+        assert np.isclose(path_weight(field, emit, tags), path_weight(field, emit, whole))
+
+
+def test_words_weigh_what_their_features_weigh():
+    text = "the key: Zq81kX02pLm93Tr7 and password=abcdef123456 or 192.168.0.1, see https://a.b/c"
+    words = [m.span() for m in secrets._WORD.finditer(text)]
+    described = secrets._described(text, words, secrets.file_features(text))
+    field = random_field(np.random.default_rng(1), sorted({f for _, _, fs in described for f in fs}))
+    assert np.allclose(secrets.Known(field).emissions(text), field.emissions(field.number(described)))
+
+
+def test_secrets_of_unseen_forms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field, rng = secrets.train(docs), random.Random(4)
+    r = lambda n, letters="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(letters) for _ in range(n))
+    forms = [lambda: f"credential={r(24)}", lambda: f"sk_live_{r(24)}", lambda: f"eyJ{r(20)}.{r(40)}.{r(30)}", lambda: f"Bearer {r(30)}", lambda: f"xoxb-{r(12)}-{r(24)}"]
+    found = clean = 0
+    known = secrets.Known(field)
+    rows = [x["text"] for x in docs.where("text is not null and length(text) between 20 and 3000").limit(200).collect()]
+    for k, text in enumerate(rows):
+        clean += len(secrets.field_spans(text, field, secrets.base_spans(text), known))
+        words, secret = text.split(" "), forms[k % len(forms)]()
+        at = rng.randrange(len(words) + 1)
+        planted = " ".join([*words[:at], secret, *words[at:]])
+        a = planted.index(secret)
+        found += any(x < a + len(secret) and a < y for x, y, _ in secrets.field_spans(planted, field, secrets.base_spans(planted), known))
+    assert found >= 0.9 * len(rows) and clean <= 2
 
 
 def test_field_adds_what_the_patterns_do_not_name(spark):

@@ -3,6 +3,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from tidewatch.llm import mix, shard
 
 
@@ -117,3 +119,17 @@ def test_equal_whole_rows_scatter(spark):
     assert len(places) == 1000 and places[-1] - places[0] > 2700
     again = shard.shard(docs.repartition(5), bucket_bytes=2000).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
+
+
+def test_written_shards_hold_the_rows_in_slot_order(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 700, f"text {i % 300}", {"a": i % 3, "b": 1}) for i in range(2000)], "doc_id long, text string, m map<string,int>")
+    shard.write_shards(docs, str(tmp_path / "out"), n_shards=5, bucket_bytes=4096)
+    rows = spark.read.parquet(str(tmp_path / "out")).withColumn("file", F.input_file_name()).collect()
+    count = lambda rs: Counter((r["doc_id"], r["text"], tuple(sorted(r["m"].items()))) for r in rs)
+    assert count(rows) == count(docs.collect())
+    by_shard, by_file = {}, {}
+    for r in rows:
+        by_shard.setdefault(r["shard"], []).append(r["slot"])
+        by_file.setdefault(r["file"], []).append(r["slot"])
+    assert sorted(by_shard) == [0, 1, 2, 3, 4] and all(sorted(s) == list(range(400)) for s in by_shard.values())
+    assert all(s == sorted(s) for s in by_file.values())

@@ -215,3 +215,41 @@ def test_centres_of_very_many_vectors(spark):
     vectors = spark.range(9_000_000).selectExpr("id as vec_id", "array(cast(id % 2 as double), 3D) as v")
     center = ann.centers(vectors)[2]
     assert abs(center[0] - 0.5) < 0.1 and center[1] == 3
+
+
+def test_neighbours_of_very_large_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(200, 16)) * 1e39)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in ann.search(df).collect()}
+    v = np.array([r[1] for r in rows])
+    for q in (0, 100):
+        far = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+        far[q] = np.inf
+        assert [got[q, k] for k in range(1, 11)] == list(np.argsort(far)[:10])
+
+
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_heavy_star_is_one_component(spark, few, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_KEYS", few)
+    pairs = [(5000, i) for i in range(2500)] + [(9000, 9001), (9001, 9002), (7, 8000)]
+    got = {r["node"]: r["comp"] for r in neardup.connected(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert set(got) == {x for p in pairs for x in p}
+    assert all(got[x] == 0 for x in (*range(2500), 5000, 8000)) and all(got[x] == 9000 for x in (9000, 9001, 9002))
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = [*base[:-1], "other"]
+    a, b = " ".join(base), " ".join(near)
+    rows = [(7, None), (7, None), (1, a), (1, b), (None, a), (None, b), (2, a), (2, a), (3, "quite another text of its own"), (3, "quite another text of its own"), (4, ""), (4, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in neardup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    first = min((a, b), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert got == sorted([(7, None), (7, None), (1, first), (3, "quite another text of its own"), (4, ""), (4, "")], key=str)
+
+
+def test_benchmark_of_several_blocks_is_read_block_by_block(spark):
+    items = spark.createDataFrame([(i, " ".join(f"b{i}x{j}" for j in range(20))) for i in range(30)] * 2, "item_id long, text string")
+    docs = spark.createDataFrame([(i, "some words before " + " ".join(f"b{i}x{j}" for j in range(3, 18)) + " and after") for i in range(30)], "doc_id long, text string")
+    one, many = ({r["doc_id"]: (r["n_words"], r["items"], [tuple(s) for s in r["spans"]]) for r in decontam.find(docs, items, block_bytes=n).collect()} for n in (1 << 20, 1000))
+    assert one == many and all(v[1] == [str(k)] for k, v in one.items())

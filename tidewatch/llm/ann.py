@@ -1,10 +1,11 @@
 """Approximate nearest neighbours with randomly rotated one-bit codes.
 
 Vectors are centred on the mean of a bounded sample, rotated by a seeded random orthogonal matrix and kept
-as the signs of their coordinates (one packed bit each) with two scalars: the distance from the centre and
-the inner product of the unit vector with its code. The inner product of a query with a code then estimates
-its inner product with the vector, with an error bound that shrinks with the dimension; vectors whose
-lower bound beats the k-th best distance so far are ranked again by their exact distance.
+as the signs of their coordinates (one bit each, in 64-bit words) with two scalars: the distance from the centre
+and the inner product of the unit vector with its code. A query's components are quantised into bit planes, so its
+inner product with a code is a few ANDs and population counts; it estimates the inner product with the vector, with
+an error bound that shrinks with the dimension. Vectors whose lower bound beats the k-th best distance so far, and
+those whose bound is not finite, are ranked again by their exact distance.
 
 The query set is read in blocks of at most ``QUERY_BLOCK`` vectors, each broadcast (that is its bound) to one
 pass over the codes. A task keeps the k best per query and gives them out at its end; they meet in one
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_broadcast_if_small, cut
+from tidewatch.llm.common import by_broadcast_if_small, cut, ship_package
 
 #: Vectors of the sample whose mean is the centre, by dimension (a top-k that Spark limits before it shuffles).
 SAMPLE = 1000
@@ -38,7 +39,10 @@ QUERY_BLOCK = 8192
 DIMENSIONS = 10_000
 #: Width of the error bound in the units of the estimator's deviation; 1.9 is usual, more reranks more.
 EPSILON = 3.0
-_ROWS_AT_ONCE, _QUERIES_AT_ONCE = 2048, 256
+#: Steps of a quantised query component, a power of two.
+LEVELS = 32
+_ROWS_AT_ONCE, _QUERIES_AT_ONCE = 2048, 64
+NOBODY = np.iinfo(np.int64).max
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -46,22 +50,58 @@ def rotation(dim: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def encode(vectors: np.ndarray, center: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits, distance from the centre and inner product of unit vector and code."""
-    turned = (vectors - center) @ turn
-    norm = np.linalg.norm(turned, axis=1)
-    aligned = np.abs(turned).sum(axis=1) / (math.sqrt(vectors.shape[1]) * np.where(norm > 0, norm, 1.0))
-    return np.packbits(turned > 0, axis=1), norm, np.where(norm > 0, aligned, 1.0)
+def packed_bits(bits: np.ndarray) -> np.ndarray:
+    """Rows of booleans as 64-bit words; the last word is filled up with zeros."""
+    wide = np.zeros((bits.shape[0], -(-bits.shape[1] // 64) * 64), bool)
+    wide[:, :bits.shape[1]] = bits
+    return np.packbits(wide, axis=1).view(np.uint64)
 
 
-def bounds(codes: np.ndarray, norm: np.ndarray, aligned: np.ndarray, turned_queries: np.ndarray) -> np.ndarray:
-    """Lower bounds of squared distances, queries by rows."""
-    dim = turned_queries.shape[1]
-    signs = (np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
-    q_norm = np.linalg.norm(turned_queries, axis=1)[:, None]
-    estimate = (turned_queries.astype(np.float32) @ signs.T).astype(np.float64) / aligned
-    error = np.sqrt(np.maximum(0, 1 - aligned**2)) / aligned * EPSILON / math.sqrt(max(1, dim - 1)) * q_norm
-    return norm**2 + q_norm**2 - 2 * norm * (estimate + error) - 1e-5 * (norm**2 + q_norm**2)
+def encode(vectors: np.ndarray, center: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sign bits in 64-bit words, distance from the centre and inner product of unit vector and code."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        turned = (vectors - center) @ turn
+        norm = np.linalg.norm(turned, axis=1)
+        aligned = np.abs(turned).sum(axis=1) / (math.sqrt(vectors.shape[1]) * np.where(norm > 0, norm, 1.0))
+    return packed_bits(turned > 0), norm, np.where(norm > 0, aligned, 1.0)
+
+
+class Asked:
+    """Turned queries, quantised to LEVELS: bit planes of 64-bit words and the scalars that undo the quantising."""
+
+    def __init__(self, turned: np.ndarray):
+        self.dim = turned.shape[1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.norm = np.linalg.norm(turned, axis=1)
+            low, high = turned.min(axis=1), turned.max(axis=1)
+            self.step = np.where(high > low, (high - low) / (LEVELS - 1), 1.0)
+            self.low = low
+            level = np.nan_to_num(np.rint((turned - low[:, None]) / self.step[:, None])).astype(np.int64)
+            # what quantising loses, as the signs of a code could add it up
+            self.lost = np.linalg.norm(turned - (low[:, None] + level * self.step[:, None]), axis=1)
+        self.planes = [packed_bits((level >> b) & 1 > 0) for b in range(LEVELS.bit_length() - 1)]
+        self.total = level.sum(axis=1)
+
+
+def bounds(codes: np.ndarray, norm: np.ndarray, aligned: np.ndarray, asked: Asked, part: slice) -> np.ndarray:
+    """Lower bounds of squared distances, queries by rows, from population counts of packed codes and query planes.
+
+    The sum of a query's levels where a code's bit is set gives its inner product with the code; a bound that isn't
+    finite says nothing, so its row has to be ranked exactly.
+    """
+    dim, ones = asked.dim, np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
+    picked = np.zeros((len(range(*part.indices(len(asked.norm)))), len(codes)), np.int64)
+    for b, plane in enumerate(asked.planes):
+        for word in range(codes.shape[1]):
+            picked += np.bitwise_count(plane[part, word][:, None] & codes[None, :, word]).astype(np.int64) << b
+    step, low, q_norm = asked.step[part, None], asked.low[part, None], asked.norm[part, None]
+    with np.errstate(over="ignore", invalid="ignore"):
+        # signs are +1 where the bit is set, else -1
+        signed = step * (2 * picked - asked.total[part, None]) + low * (2 * ones[None, :] - dim)
+        estimate = signed / math.sqrt(dim) / aligned
+        error = EPSILON * (np.sqrt(np.maximum(0, 1 - aligned**2)) / math.sqrt(max(1, dim - 1)) * q_norm + asked.lost[part, None] / math.sqrt(dim)) / aligned
+        out = norm**2 + q_norm**2 - 2 * norm * (estimate + error) - 1e-9 * (norm**2 + q_norm**2)
+    return np.where(np.isfinite(out), out, -np.inf)
 
 
 class Best:
@@ -69,9 +109,10 @@ class Best:
 
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, center: np.ndarray, turn: np.ndarray, k: int):
         self.ids, self.queries, self.k = query_ids, queries, k
-        self.turned = (queries - center) @ turn
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.asked = Asked((queries - center) @ turn)
         self.far = np.full((len(queries), k), np.inf)
-        self.who = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.who = np.full((len(queries), k), NOBODY)
 
     def see(self, vec_ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norm: np.ndarray, aligned: np.ndarray) -> None:
         for a in range(0, len(vectors), _ROWS_AT_ONCE):
@@ -79,26 +120,28 @@ class Best:
             ids, block = vec_ids[rows], vectors[rows]
             for b in range(0, len(self.queries), _QUERIES_AT_ONCE):
                 part = slice(b, b + _QUERIES_AT_ONCE)
-                low = bounds(codes[rows], norm[rows], aligned[rows], self.turned[part])
-                low[self.ids[part][:, None] == ids[None, :]] = np.inf
+                low = bounds(codes[rows], norm[rows], aligned[rows], self.asked, part)
+                own = self.ids[part][:, None] == ids[None, :]
                 for i in range(low.shape[0]):
-                    self._rerank(b + i, low[i], ids, block)
-
-    def _rerank(self, i: int, low: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
+                    self._rerank(b + i, low[i], ~own[i], ids, block)
+
+    def _rerank(self, i: int, low: np.ndarray, open_: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
+        if self.who[i, -1] == NOBODY and len(low) > 4 * self.k:  # a first bound from the most promising rows
+            first = np.argpartition(np.where(open_, low, np.inf), 2 * self.k)[:2 * self.k]
+            self._take(i, first[open_[first]], ids, block)
+            open_ = open_.copy()
+            open_[first] = False
         worst = self.far[i, -1]
-        if math.isinf(worst) and len(low) > 4 * self.k:  # a first bound from the most promising rows
-            self._take(i, np.argpartition(low, 2 * self.k)[:2 * self.k], low, ids, block)
-            low = low.copy()
-            low[np.argpartition(low, 2 * self.k)[:2 * self.k]] = np.inf
-            worst = self.far[i, -1]
-        self._take(i, np.nonzero(low <= worst * worst)[0], low, ids, block)
-
-    def _take(self, i: int, picked: np.ndarray, low: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
-        picked = picked[np.isfinite(low[picked])]
+        with np.errstate(over="ignore"):
+            near = open_ if self.who[i, -1] == NOBODY else open_ & (low <= worst * worst)
+        self._take(i, np.nonzero(near)[0], ids, block)
+
+    def _take(self, i: int, picked: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
         if not len(picked):
             return
-        apart = block[picked] - self.queries[i]
-        far = np.concatenate([self.far[i], np.sqrt((apart * apart).sum(axis=1))])
+        with np.errstate(over="ignore"):
+            apart = block[picked] - self.queries[i]
+            far = np.concatenate([self.far[i], np.sqrt((apart * apart).sum(axis=1))])
         who = np.concatenate([self.who[i], ids[picked]])
         order = np.lexsort((who, far))[:self.k]
         self.far[i], self.who[i] = far[order], who[order]
@@ -130,6 +173,7 @@ def centers(vectors: DataFrame) -> dict[int, np.ndarray]:
 
 def build_index(vectors: DataFrame, seed: int = 31) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """Every usable vector with its code: vec_id, v, code, norm, aligned; and the centres."""
+    ship_package(vectors.sparkSession)
     usable = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v")).where(_usable(F.col("v")) & F.col("vec_id").isNotNull())
     center = centers(usable)
 
@@ -163,10 +207,10 @@ def _pass(index: DataFrame, held, seed: int, k: int) -> DataFrame:
             for dim, found in best.items():
                 rows = np.nonzero(dims == dim)[0]
                 if len(rows):
-                    codes = np.frombuffer(b"".join(batch.column(2).take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
+                    codes = np.frombuffer(b"".join(batch.column(2).take(pa.array(rows)).to_pylist()), np.uint64).reshape(len(rows), -1)
                     found.see(ids[rows], _matrix(vs, rows, dim), codes, norm[rows], aligned[rows])
         for found in best.values():
-            some = np.isfinite(found.far)
+            some = found.who != NOBODY
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(found.ids, some.sum(axis=1))), pa.array(found.who[some]), pa.array(found.far[some])], ["query_id", "vec_id", "score"])
 

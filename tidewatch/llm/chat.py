@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import ship_package
+
 OPEN, CLOSE = "### ", "</turn>"
 _CONTROL = re.compile(r"(\\*)(### |</turn>)")
 _HEADER = re.compile(r"### ([A-Za-z0-9_%.~-]*): ")
@@ -108,6 +110,7 @@ _FORMATTED = "conv_id long, formatted string, loss array<struct<start:int,end:in
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, formatted text and loss spans (code points) of each conversation."""
+    ship_package(rows.sparkSession)
     turn = F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", F.lit("")).alias("role"),
                     F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))

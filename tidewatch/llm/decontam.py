@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import cut, ship_package
+
 #: Words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z, over UTF-8 bytes.
 ITEM_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WIDTH = 13
@@ -101,6 +103,7 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[by
 
 def _index_source(docs: DataFrame, items: list[tuple[str, bytes]]):
     """Broadcast of one block: its items and the corpus frequency of their words."""
+    ship_package(docs.sparkSession)
     vocabulary = frozenset(w for _, text in items for w in item_words(text))
     frequency = document_frequency(docs, vocabulary) if vocabulary else {}
     return docs.sparkSession.sparkContext.broadcast((items, frequency))
@@ -139,28 +142,39 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda a: a["n"])
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items in blocks of about block_bytes of text, an item whole in one block."""
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(1, math.ceil(total / block_bytes))
-    parts = items.where("text is not null").select(
-        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"),
-        F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("block"))
-    return [sorted((r["item_id"], bytes(r["text"])) for r in parts.where(F.col("block") == b).collect()) for b in range(n)]
+class Blocks:
+    """The distinct items in blocks of about block_bytes of text, an item whole in one block. Only one block at a time is
+    with the driver, on its way to a broadcast."""
+
+    def __init__(self, items: DataFrame, block_bytes: int):
+        held = items.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
+        total = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        self.n = max(1, math.ceil(total / block_bytes))
+        self.parts = held.select("item_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)).alias("block"))
+        if self.n > 1:
+            self.parts = cut(self.parts)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[list[tuple[str, bytes]]]:
+        for b in range(self.n):
+            yield sorted((r["item_id"], bytes(r["text"])) for r in self.parts.where(F.col("block") == b).collect())
 
 
 def _digest() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _find(docs: DataFrame, blocks: list[list[tuple[str, bytes]]], width: int) -> DataFrame:
+def _find(docs: DataFrame, blocks: Blocks, width: int) -> DataFrame:
     digest = F.lit("") if len(blocks) == 1 else _digest()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), digest.alias("_digest"))
-    found = _find_block(rows, blocks[0], width)
+    found = None
+    for block in blocks:
+        one = _find_block(rows, block, width)
+        found = one if found is None else found.unionByName(one)
     if len(blocks) == 1:
         return found
-    for block in blocks[1:]:
-        found = found.unionByName(_find_block(rows, block, width))
     # rows equal in id and text find the same: merged over the blocks, then dealt out again
     merged = found.groupBy("doc_id", "_digest", "n_words").agg(
         F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
@@ -170,7 +184,7 @@ def _find(docs: DataFrame, blocks: list[list[tuple[str, bytes]]], width: int) ->
 
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per document: doc_id, n_words, spans of hit words, items (ids of items with occurring windows)."""
-    return _find(docs, _blocks(items, block_bytes), width).drop("_digest")
+    return _find(docs, Blocks(items, block_bytes), width).drop("_digest")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -192,12 +206,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_b
     With one block of items rows are dropped where they stand, without a shuffle; with more they are
     dropped by doc_id and text digest.
     """
-    blocks = _blocks(items, block_bytes)
+    blocks = Blocks(items, block_bytes)
     if len(blocks) > 1:
         bad = judged(_find(docs, blocks, width)).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("_digest").alias("_bad")).distinct()
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), _digest().alias("_text"))
         return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad_id")) & (F.col("_text") == F.col("_bad")), "left_anti").select("_row.*")
-    held = _index_source(docs.select(F.col("text").cast("binary")), blocks[0])
+    held = _index_source(docs.select(F.col("text").cast("binary")), next(iter(blocks)))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

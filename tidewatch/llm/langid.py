@@ -2,8 +2,8 @@
 
 For each language a suffix automaton of labelled text is built. A text is parsed greedily into phrases,
 each the longest match with the language's text; the fewer phrases, weighted by the log of the length of the
-labelled text, the closer the language (the cross-parsing estimate of relative entropy). Phrases end at
-word boundaries, so the parse of a word is the same wherever it stands and is remembered.
+labelled text, the closer the language (the cross-parsing estimate of relative entropy). The parse runs over the whole
+text, its words joined by single blanks, and phrases go on across words.
 
 The automata are fitted on a bounded sample of labelled rows (``DOCS_PER_LANGUAGE`` rows by hash of their
 id, ``CHARS_PER_LANGUAGE`` characters); every whole text is parsed.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_broadcast_if_small
+from tidewatch.llm.common import by_broadcast_if_small, ship_package
 
 DOCS_PER_LANGUAGE = 200
 CHARS_PER_LANGUAGE = 60_000
@@ -33,9 +33,6 @@ CHARS_PER_LANGUAGE = 60_000
 LANGUAGES = 10_000
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBERED = 200_000
-#: Bits for the phrase count of one language where the counts of all are kept in one integer.
-_BITS = 48
 
 
 def letters(text: str) -> list[str]:
@@ -76,19 +73,19 @@ def suffix_automaton(text: str) -> dict:
     return start
 
 
-def phrases(start: dict, word: str) -> int:
-    """Number of longest matches that a greedy parse of the word needs."""
+def phrases(start: dict, text: str) -> int:
+    """Number of longest matches that a greedy parse of the text needs; a character never seen is one by itself."""
     n, state = 0, start
-    for c in word:
-        to = state.get(c)
-        if to is None:
+    for c in text:
+        try:
+            state = state[c]
+        except KeyError:
             if state is not start:
                 n += 1
-            to = start.get(c)
-            if to is None:  # a character never seen is a phrase by itself
+            state = start.get(c)
+            if state is None:
                 n += 1
-                to = start
-        state = to
+                state = start
     return n + (state is not start)
 
 
@@ -97,36 +94,16 @@ class Model:
         self.languages = sorted(texts)
         self.weight = [math.log2(max(2, len(texts[lang]))) for lang in self.languages]
         self.starts = [suffix_automaton(texts[lang]) for lang in self.languages]
-        self.words = _Words(self)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = letters(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        total = sum(map(self.words.__getitem__, words))
-        mask = (1 << _BITS) - 1
-        cost = sorted((w * ((total >> (_BITS * i)) & mask), lang) for i, (w, lang) in enumerate(zip(self.weight, self.languages)))
+        joined = f" {' '.join(words)} "
+        cost = sorted((w * phrases(start, joined), lang) for w, start, lang in zip(self.weight, self.starts, self.languages))
         return cost[0][1], 1.0 if len(cost) == 1 else 1.0 - cost[0][0] / cost[1][0]
 
 
-class _Words(dict):
-    """Phrase counts of a word, one field of an integer per language."""
-
-    def __init__(self, model: Model):
-        super().__init__()
-        self.starts = model.starts
-
-    def __missing__(self, word: str) -> int:
-        framed, packed = f" {word} ", 0
-        for i, start in enumerate(self.starts):
-            packed |= phrases(start, framed) << (_BITS * i)
-        if len(self) > _REMEMBERED:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = packed
-        return packed
-
-
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
@@ -137,14 +114,14 @@ def training_texts(docs: DataFrame) -> dict[str, str]:
     # about four times the rows needed pass a bound on the hash, so that no language sends more to one task;
     # divided, not multiplied: the product of hash and count passes the range of long
     counts = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.lit(4.0 * DOCS_PER_LANGUAGE * (1 << 40)) / F.col("_n")
-    labelled_ids = labelled.select("lang", "doc_id").join(by_broadcast_if_small(counts, LANGUAGES), "lang").where(share)
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled_ids.withColumn("_r", order).where(F.col("_r") <= DOCS_PER_LANGUAGE)
-    ids = sorted({r["doc_id"] for r in chosen.select("doc_id").collect()})
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("lang", "text").orderBy("lang", F.xxhash64("doc_id"), "doc_id") if ids else None
+    hashed = labelled.select("lang", "text", "doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("_h"))
+    few = hashed.join(by_broadcast_if_small(counts, LANGUAGES), "lang").where(F.col("_h") < F.lit(4.0 * DOCS_PER_LANGUAGE * (1 << 40)) / F.col("_n"))
+    # equal rows hash alike: one of them will do
+    few = few.groupBy("lang", "doc_id", "_h").agg(F.first("text").alias("text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))
+    rows = few.withColumn("_r", order).where(F.col("_r") <= DOCS_PER_LANGUAGE).orderBy("lang", "_r").select("lang", F.substring("text", 1, CHARS_PER_LANGUAGE).alias("text"))
     out: dict[str, str] = {}
-    for row in rows.toLocalIterator() if rows is not None else ():
+    for row in rows.toLocalIterator():
         held = out.get(row["lang"], " ")
         if len(held) < CHARS_PER_LANGUAGE and (words := letters(row["text"])):
             out[row["lang"]] = (held + " ".join(words) + " ")[:CHARS_PER_LANGUAGE]
@@ -165,6 +142,7 @@ def _model(texts: dict[str, str]) -> Model:
 
 def identify(docs: DataFrame) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score (by how much the best parse is shorter than the next)."""
+    ship_package(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(training_texts(docs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

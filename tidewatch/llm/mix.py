@@ -16,6 +16,8 @@ Defined results
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,11 +102,16 @@ def _keyed(docs: DataFrame, seed: int) -> DataFrame:
                              "_key": mix_key(F.col("doc_id"), F.col("text"), seed)})
 
 
-def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, digits: int = 3) -> DataFrame:
+def cell_digits(sized: DataFrame) -> int:
+    """Hexadecimal digits of a key that name its range, so that a range holds some 10,000 rows of all."""
+    return min(8, max(3, math.ceil(math.log(max(1, sized.count() / 10_000), 16))))
+
+
+def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, digits: int | None = None) -> DataFrame:
     """A row per document: doc_id, size, source_size, target and taken (words the mix takes, repeats counted)."""
     sized = cut(_keyed(docs.select("doc_id", "text", "source"), seed).select("doc_id", "_source", "_size", "_key"))
     cuts = source_cuts(sized.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_key").alias("key")),
-                       weights, cap, digits)
+                       weights, cap, digits or cell_digits(sized))
     return with_cuts(sized, cuts).select(
         "doc_id", F.col("_size").alias("size"), "_mix.source_size", "_mix.target",
         (F.col("_mix.epochs") * F.col("_size") + F.col("_mix.part")).alias("taken"))
@@ -118,14 +125,14 @@ def first_words(text: Column, n: Column) -> Column:
     return F.substring(text, F.lit(1), F.length(F.array_join(kept, " ")))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, digits: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 17, digits: int | None = None) -> DataFrame:
     """The mixed rows: each document once per whole epoch and, before the cut, once more.
 
     The document at the cut appears with its first words only, n_chars following. Columns as in docs.
     """
     sized = cut(_keyed(docs.select("doc_id", "text", "source"), seed).select("_source", "_size", "_key"))
     cuts = source_cuts(sized.select(F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_key").alias("key")),
-                       weights, cap, digits)
+                       weights, cap, digits or cell_digits(sized))
     packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     rows = with_cuts(_keyed(packed, seed), cuts)
     whole, part, size = F.col("_mix.epochs"), F.col("_mix.part"), F.col("_size")

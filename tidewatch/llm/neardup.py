@@ -21,7 +21,10 @@ Defined results
 * repeated rows: equal components; rows that share a doc_id but not a text are told apart by text;
 * null doc_id: never the component's id while another row has one; alone, component_id is null and the
   row is kept;
+* ``deduplicate`` keeps one row of each component whatever the ids, and every row without words;
 * empty table: empty result; extra columns are ignored by ``components`` and carried by ``deduplicate``.
+
+The comparison within a family is quadratic in the members outside its largest component; no cap is set on it.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_broadcast_if_small, cut
+from tidewatch.llm.common import BROADCAST_KEYS, by_broadcast_if_small, cut, ship_package
 
 SAMPLES, BAND_ROWS, SKETCH_BITS = 128, 4, 512
 BANDS = SAMPLES // BAND_ROWS
@@ -265,17 +268,36 @@ def _family_links(stars: DataFrame, labels: DataFrame, classes: DataFrame, sets_
     return cut(rows.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long"))
 
 
+#: A node with more links than this is heavy: its links meet its least neighbour by broadcast or in SALTS parts.
+HEAVY, SALTS = 500, 64
+
+
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows (u, v) with m of least (u, m, n). The links of a heavy u are never one task's."""
+    heavy = cut(least.where(F.col("n") > HEAVY).select(F.col("u").alias("_u"), F.col("m").alias("_m")))
+    count = heavy.limit(BROADCAST_KEYS + 1).count()
+    if not count:
+        return rows.join(least.select("u", "m"), "u")
+    if count <= BROADCAST_KEYS:
+        marked = rows.join(F.broadcast(heavy), F.col("u") == F.col("_u"), "left")
+    else:
+        parts = heavy.select("_u", "_m", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
+        salted = rows.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        marked = salted.join(parts, (F.col("u") == F.col("_u")) & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_s")
+    light = marked.where("_m is null").select("u", "v").join(least.where(F.col("n") <= HEAVY).select("u", "m"), "u")
+    return marked.where("_m is not null").select("u", "v", F.col("_m").alias("m")).unionByName(light)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, comp): for every node of the edges (a, b), the smallest node it is connected with."""
     links = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     mark = None
     while True:
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        large = cut(_with_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small = _with_least(large, least)
         links = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                     .union(least.select("u", F.col("m").alias("v"))).distinct())
         now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
@@ -285,8 +307,9 @@ def connected(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(links.select("v", "v").distinct())
 
 
-def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document: doc_id, text_md5, n_shingles, component_id, kept (it is the component's first)."""
+def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their shingle sets' digests, the classes of equal sets (cid), and the labels (node, comp) of linked classes."""
+    ship_package(docs.sparkSession)
     rows = cut(_signed(docs, width))
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -304,8 +327,12 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     more = _family_links(stars, labels, classes, sets_of, percent)
     if more.limit(1).count():
         labels = connected(labels.select(F.col("comp").alias("a"), F.col("node").alias("b")).union(more))
-    labels = cut(labels)
+    return rows, classes, cut(labels)
+
 
+def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """A row per document: doc_id, text_md5, n_shingles, component_id, kept (it is the component's first)."""
+    rows, classes, labels = _labelled(docs, width, percent)
     named = labels.join(classes.select(F.col("cid").alias("node"), "min_id", "digest"), "node")
     first = named.groupBy("comp").agg(F.min("min_id").alias("component_id"))
     linked = by_broadcast_if_small(named.join(first, "comp").select("digest", "component_id"))
@@ -317,15 +344,34 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents with one row of each component, all columns as they are."""
-    judged = cut(components(docs, width, percent).select("doc_id", "text_md5", "kept"))
-    out = by_broadcast_if_small(judged.where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).distinct())
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_md5").eqNullSafe(F.col("_md5"))
-    rows = rows.join(out, same, "left_anti")
-    if judged.where("kept").groupBy("doc_id", "text_md5").count().where("count > 1").limit(1).count():
-        rows = rows.dropDuplicates(["doc_id", "text_md5"])
-    return rows.select("_row.*")
+    """The documents with one row of each component, all columns as they are: the one of the smallest doc_id (a row
+    without one comes last), then of the smallest text digest. Rows without words stay, each of them.
+
+    Components are told by their classes, not by ids, so shared and null ids change nothing. Only rows to drop and
+    rows that occur more than once are told from the others by id and digest; the rest pass without a shuffle.
+    """
+    rows, classes, labels = _labelled(docs, width, percent)
+    node = labels.join(classes.select(F.col("cid").alias("node"), "digest"), "node").select("digest", "comp")
+    worded = rows.where("n_shingles > 0").select("doc_id", "text_md5", "digest").groupBy("doc_id", "text_md5", "digest").agg(F.count("*").alias("n"))
+    own = classes.select("digest", "cid")
+    judged = worded.join(own, "digest").join(by_broadcast_if_small(node), "digest", "left").select(
+        "doc_id", "text_md5", "n", F.coalesce("comp", "cid").alias("comp"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_md5").alias("order"))
+    judged = cut(judged)
+    winner = judged.groupBy("comp").agg(F.min("order").alias("best"), F.count("*").alias("held"))
+    # components of one row have nothing to drop
+    several = judged.join(winner.where("held > 1"), "comp")
+    drop = by_broadcast_if_small(several.where("order <> best").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")))
+    key = lambda: F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_md5").eqNullSafe(F.col("_md5"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("text_md5"))
+    packed = packed.join(drop, key(), "left_anti")
+    twice = judged.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5")).join(
+        drop.select(F.col("_id").alias("_i"), F.col("_md5").alias("_m")), F.col("_id").eqNullSafe(F.col("_i")) & F.col("_md5").eqNullSafe(F.col("_m")), "left_anti")
+    twice = by_broadcast_if_small(twice)
+    if not twice.limit(1).count():
+        return packed.select("_row.*")
+    once = packed.join(twice, key(), "left_anti").select("_row")
+    many = packed.join(twice, key(), "left_semi").groupBy("doc_id", "text_md5").agg(F.first("_row").alias("_row")).select("_row")
+    return once.unionByName(many).select("_row.*")
 
 
 NEARDUP_SQL = r"""

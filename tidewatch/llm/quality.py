@@ -23,18 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, hash_sample
+from tidewatch.llm.common import cut, hash_sample, ship_package
 
 TRAIN_ROWS = 6000
 BUCKETS = 1 << 18
 GRADES = 3
 #: The grade from which a document counts as good, and the tail probability from which it is kept.
 GOOD, KEEP = 2, 0.5
-_CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: Capitals of any script.
+_CAPITAL = regex.compile(r"\p{Lu}")
+_NO_CAPITALS = dict.fromkeys(range(ord("A"), ord("Z") + 1))
 _REMEMBERED = 200_000
 
 
@@ -43,8 +46,7 @@ def tokens(text: str) -> list[str]:
     found = _TOKEN.findall(text.lower())
     out = set(found)
     n = len(found) or 1
-    raw = text.encode()
-    upper = len(raw) - len(raw.translate(None, _CAPITALS))
+    upper = len(_CAPITAL.findall(text)) if not text.isascii() else len(text) - len(text.translate(_NO_CAPITALS))
     marks = (f" distinct {10 * len(out) // n}", f" size {n.bit_length()}", f" upper {10 * upper // (len(text) or 1)}")
     return [*out, *marks]
 
@@ -115,6 +117,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
+    ship_package(docs.sparkSession)
     sample = hash_sample(cut(graded(labels)), "_id", rows)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

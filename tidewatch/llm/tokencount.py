@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.common import ship_package
+
 #: The pre-tokenizer's fixed pattern; white space as Unicode defines it.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
                       r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -214,6 +216,7 @@ def counter_for(tokenizer_json: str) -> PrefixCounter:
 
 def _held(df: DataFrame, tokenizer_path: str):
     """The tokenizer file, of fixed size, as a broadcast: executors need no file of their own."""
+    ship_package(df.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
