@@ -41,7 +41,7 @@ from tidewatch.llm.common import cut, hash_sample, ship_package
 
 #: Bounds of what is learned from: documents (half of them with a base find, if there are), stretches of words with
 #: and without a find, and words of a stretch.
-TRAIN_DOCS, TRAIN_STRETCHES, STRETCH_WORDS = 4000, 12_000, 200
+TRAIN_DOCS, TRAIN_STRETCHES, STRETCH_WORDS = 4000, 4000, 200
 #: Words beside a word and names are told apart by so many hash values.
 NEIGHBOURS = 512
 PLAIN_BELOW = 20
@@ -318,7 +318,11 @@ def gradient(emit: np.ndarray, moves: np.ndarray, tags: list[int]) -> tuple[floa
     return held - total, wanted - marginal, made - steps
 
 
-def fit(examples: list[tuple[list[list[str]], list[int]]], rounds: int = 4, rate: float = 0.2, l2: float = 1e-3) -> Field | None:
+#: Gradient steps, a stretch each; every stretch is seen once in each way at least.
+STEPS = 20_000
+
+
+def fit(examples: list[tuple[list[list[str]], list[int]]], rounds: int | None = None, rate: float = 0.2, l2: float = 1e-3) -> Field | None:
     """Maximise the conditional likelihood of the tags by adaptive gradient steps, stretch by stretch; every other step
     hides names and neighbours."""
     counts = Counter(f for words, _ in examples for features in words for f in features)
@@ -333,7 +337,7 @@ def fit(examples: list[tuple[list[list[str]], list[int]]], rounds: int = 4, rate
         full = [[field.names[f] for f in features if f in field.names] for features in words]
         numbered.append((full, [[f for f in fs if f not in bare] for fs in full], tags))
     order = np.random.default_rng(5)
-    for turn in range(rounds):
+    for turn in range(rounds or max(2, STEPS // max(1, len(numbered)))):
         for at in order.permutation(len(numbered)):
             full, some, tags = numbered[at]
             words = some if (turn + at) % 2 else full
