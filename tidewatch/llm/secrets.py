@@ -319,7 +319,7 @@ def gradient(emit: np.ndarray, moves: np.ndarray, tags: list[int]) -> tuple[floa
 
 
 #: Gradient steps, a stretch each; every stretch is seen once in each way at least.
-STEPS = 20_000
+STEPS = 40_000
 
 
 def fit(examples: list[tuple[list[list[str]], list[int]]], rounds: int | None = None, rate: float = 0.2, l2: float = 1e-3) -> Field | None:
