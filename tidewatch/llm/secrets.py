@@ -27,6 +27,7 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -96,9 +97,17 @@ _CLASSES = str.maketrans({c: k for k, cs in (("d", "0123456789"), ("l", "abcdefg
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
+_MARKS = "\"'`,;()[]{}<>.!?"
+
+
+def plain_letters(value: str) -> bool:
+    """Lower-case letters, the first one in either case."""
+    return value.isalpha() and (len(value) == 1 or value[1:].islower())
+
+
 def parts(word: str) -> tuple[str, str | None, str]:
     """A word without marks around it, the name it assigns to (or None) and its value."""
-    core = word.strip("\"'`,;()[]{}<>")
+    core = word.strip(_MARKS)
     if ":" in core or "=" in core:
         name, _, value = core.partition("=") if "=" in core.rstrip("=") else core.partition(":")
         if value.strip("\"'"):
@@ -117,9 +126,9 @@ LENGTHS, TURNS, ENTROPIES = (6, 9, 12, 16, 20, 28), (2, 4, 6, 9), (2.0, 2.5, 3.0
 def shape(word: str) -> tuple[str, ...]:
     """Features of a word's form, without its letters."""
     core, name, value = parts(word)
-    plain = value.isascii() and value.isalpha() and value.islower()
+    plain = plain_letters(value)
     if plain:
-        kinds, turns = "l", 0
+        kinds, turns = ("l" if value.islower() else "lu"), 0
     else:
         marks = re.sub(r"[^dlu]", "s", value.translate(_CLASSES)) if value.isascii() else "".join("d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value)
         kinds = "".join(sorted(set(marks)))
@@ -362,6 +371,7 @@ class Known(dict):
         self.before, self.after, self.before2 = table("before"), table("after"), table("before2")
         self.edges = {e: self.weigh([e]) for e in ("first", "last", "early")}
         self.shapes: dict[tuple, int] = {}
+        self.quick: dict[tuple[bool, int], int] = {}
         self.forms: list[tuple[float, float, float]] = []
         # a word assigned to a name never seen is weighed as in the half of the training that hides names and neighbours
         self.heeds: list[float] = []
@@ -372,15 +382,24 @@ class Known(dict):
     def weigh(self, features: Iterable[str]) -> np.ndarray:
         return self.field.weights[[self.field.names[f] for f in features if f in self.field.names]].sum(axis=0)
 
-    def __missing__(self, word: str) -> int:
-        features = tuple(word_features(word))
+    def form(self, features: tuple[str, ...]) -> int:
         at = self.shapes.setdefault(features, len(self.shapes))
         if at == len(self.forms):
             self.forms.append(tuple(self.weigh(features)))
             name = features[-1]
             self.heeds.append(0.0 if name.startswith("name=") and name not in self.field.names else 1.0)
             self._table = None
-        entry = at * NEIGHBOURS + bucket(word)
+        return at
+
+    def __missing__(self, word: str) -> int:
+        core = word.strip(_MARKS)
+        if plain_letters(core):  # the form of most words is their length
+            key = (core.islower(), bisect(LENGTHS, len(core)))
+            if (at := self.quick.get(key)) is None:
+                at = self.quick[key] = self.form(tuple(word_features(word)))
+            entry = at * NEIGHBOURS + zlib.crc32(core.lower().encode("utf-8", "surrogatepass")) % NEIGHBOURS
+        else:
+            entry = self.form(tuple(word_features(word))) * NEIGHBOURS + bucket(word)
         self[word] = entry
         self.chars += len(word)
         return entry
