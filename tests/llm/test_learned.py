@@ -27,16 +27,6 @@ def test_phrases_are_greedy_longest_matches():
         assert langid.phrases(start, word) == n
 
 
-def test_words_are_parsed_like_the_whole_text(monkeypatch):
-    monkeypatch.setattr(langid, "_REMEMBERED", 40)
-    rng = random.Random(2)
-    for sample in ("".join(rng.choice("abc ") for _ in range(200)), "abcabc"):
-        parser = langid.Parser(sample)
-        for _ in range(200):
-            words = ["".join(rng.choice("abcd") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 30))]
-            assert parser.phrases([f"{w} " for w in words]) == langid.phrases(langid.suffix_automaton(sample), f" {' '.join(words)} ")
-
-
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = {r["doc_id"]: r for r in langid.identify(docs).collect()}

@@ -32,8 +32,6 @@ CHARS_PER_LANGUAGE = 60_000
 #: Up to so many labels are joined by broadcast.
 LANGUAGES = 10_000
 UNKNOWN = "und"
-#: Bound of the words that the states of one language remember.
-_REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -79,67 +77,29 @@ def phrases(start: dict, text: str) -> int:
     """Number of longest matches that a greedy parse of the text needs; a character never seen is one by itself."""
     n, state = 0, start
     for c in text:
-        try:
-            state = state[c]
-        except KeyError:
-            if state is not start:
-                n += 1
-            state = start.get(c)
-            if state is None:
+        to = state.get(c)  # phrases are short: raising at each end would cost more than asking each time
+        if to is None:
+            n += state is not start
+            to = start.get(c)
+            if to is None:
                 n += 1
-                state = start
+                to = start
+        state = to
     return n + (state is not start)
 
 
-class Parser:
-    """Counts phrases of whole texts. A word read from a state always adds the same phrases and ends in the same state,
-    so the state remembers it (words end in a blank, so none is a character)."""
-
-    def __init__(self, text: str):
-        self.start = suffix_automaton(text)
-        self.remembered: list[tuple[dict, str]] = []
-
-    def read(self, state: dict, word: str) -> tuple[int, dict]:
-        n, at, start = 0, state, self.start
-        for c in word:
-            to = at.get(c)
-            if to is None:
-                n += at is not start
-                to = start.get(c)
-                if to is None:
-                    n += 1
-                    to = start
-            at = to
-        if len(word) <= 64:
-            if len(self.remembered) >= _REMEMBERED:
-                for held, known in self.remembered:
-                    del held[known]
-                self.remembered.clear()
-            state[word] = (n, at)
-            self.remembered.append((state, word))
-        return n, at
-
-    def phrases(self, words: list[str]) -> int:
-        """As ``phrases`` of the words joined by blanks, with one in front and one behind."""
-        total, state = (0, self.start[" "]) if " " in self.start else (1, self.start)
-        for word in words:
-            n, state = state.get(word) or self.read(state, word)
-            total += n
-        return total + (state is not self.start)
-
-
 class Model:
     def __init__(self, texts: dict[str, str]):
         self.languages = sorted(texts)
         self.weight = [math.log2(max(2, len(texts[lang]))) for lang in self.languages]
-        self.parsers = [Parser(texts[lang]) for lang in self.languages]
+        self.starts = [suffix_automaton(texts[lang]) for lang in self.languages]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = letters(text) if text else []
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        words = [f"{w} " for w in words]
-        cost = sorted((w * parser.phrases(words), lang) for w, parser, lang in zip(self.weight, self.parsers, self.languages))
+        joined = f" {' '.join(words)} "
+        cost = sorted((w * phrases(start, joined), lang) for w, start, lang in zip(self.weight, self.starts, self.languages))
         return cost[0][1], 1.0 if len(cost) == 1 else 1.0 - cost[0][0] / cost[1][0]
 
 
