@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, hash_sample, ship_package
+from tidewatch.llm.common import by_broadcast_if_small, cut, hash_sample, ship_package
 
 #: Bounds of what is learned from: documents (half of them with a base find, if there are), stretches of words with
 #: and without a find, and words of a stretch.
@@ -494,16 +494,19 @@ def train(docs: DataFrame, rows: int = TRAIN_DOCS, most: int = TRAIN_STRETCHES)
                     tags.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.list_(pa.string()))), pa.array(tags, pa.list_(pa.int8()))], ["words", "tags"])
 
-    texts = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("_h"), F.col("text").rlike(BASE).alias("_found"))
-    counts = {r["_found"]: r["n"] for r in texts.groupBy("_found").agg(F.count("*").alias("n")).collect()}
-    made = None
+    # one look at all texts with the patterns; the picks are made from the hashes and flags it leaves
+    texts = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("_h"))
+    looks = cut(texts.select("_h", F.col("text").rlike(BASE).alias("_found")))
+    counts = {r["_found"]: r["n"] for r in looks.groupBy("_found").agg(F.count("*").alias("n")).collect()}
+    picks = None
     for found, n in counts.items():
-        share = texts.where((F.col("_found") == found) & (F.pmod("_h", F.lit(1 << 40)) < F.lit(4.0 * rows * (1 << 40)) / F.lit(n)))
+        share = looks.where((F.col("_found") == found) & (F.pmod("_h", F.lit(1 << 40)) < F.lit(4.0 * rows * (1 << 40)) / F.lit(n)))
         # equal rows hash alike: one of them will do
-        picked = share.groupBy("_h").agg(F.first("text").alias("text")).orderBy(F.pmod("_h", F.lit(1 << 40)), "_h").limit(rows // 2).select("text")
-        made = picked if made is None else made.unionByName(picked)
-    if made is None:
+        picked = share.select("_h").distinct().orderBy(F.pmod("_h", F.lit(1 << 40)), "_h").limit(rows // 2)
+        picks = picked if picks is None else picks.unionByName(picked)
+    if picks is None:
         return None
+    made = texts.join(by_broadcast_if_small(picks), "_h", "left_semi").groupBy("_h").agg(F.first("text").alias("text")).select("text")
     found = cut(made.repartition(8).mapInArrow(work, "words array<array<string>>, tags array<tinyint>"))
     held = []
     for told in (True, False):
