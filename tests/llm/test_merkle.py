@@ -77,7 +77,7 @@ def test_equal_rows_spread_over_partitions(spark, monkeypatch):
     monkeypatch.setattr(merkle, "LEAVES", 8)
     rows = [(1, "same\n", "en", "a", 5)] * 70 + [(i, f"{i}\n", "en", "a", 1) for i in range(40)] + [(None, None, None, None, None)] * 20
     compare(spark.createDataFrame(rows, SCHEMA).repartition(3))
-    largest = merkle._tree(spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce('s' || source, 'n') AS _g", "doc_id AS key", "sha2(text, 256) AS leaf", "'' AS seen"))[0]
+    largest = merkle._tree(spark.createDataFrame(rows, SCHEMA).selectExpr("coalesce('s' || source, 'n') AS _g", "doc_id AS key", "sha2(coalesce(text, ''), 256) AS leaf", "'' AS seen"))[0]
     assert largest.count() == len(rows)
 
 
