@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import ann, chat, decontam, langid, merkle, mix, neardup, periodic, quality, secrets, shard, tokencount
+from tidewatch.llm import ann, chat, decontam, htmltext, langid, merkle, mix, neardup, periodic, quality, secrets, shard, tokencount
 from tidewatch.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.page_texts(table(spark, sf_dir, "pages"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_digests(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
+    "op11_html_text": op11_html_text,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -83,6 +88,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_nearest_neighbours": ann.ANN_SQL,
     "op8_near_duplicates": neardup.NEARDUP_SQL,
     "op9_decontaminate": decontam.DECONTAM_SQL,
+    "op11_html_text": htmltext.HTML_SQL,
     "op12_merkle_manifest": merkle.MERKLE_SQL,
     "op13_periodic_runs": periodic.PERIODIC_SQL,
 }
