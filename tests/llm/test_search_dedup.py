@@ -253,3 +253,28 @@ def test_benchmark_of_several_blocks_is_read_block_by_block(spark):
     docs = spark.createDataFrame([(i, "some words before " + " ".join(f"b{i}x{j}" for j in range(3, 18)) + " and after") for i in range(30)], "doc_id long, text string")
     one, many = ({r["doc_id"]: (r["n_words"], r["items"], [tuple(s) for s in r["spans"]]) for r in decontam.find(docs, items, block_bytes=n).collect()} for n in (1 << 20, 1000))
     assert one == many and all(v[1] == [str(k)] for k, v in one.items())
+
+
+@pytest.mark.parametrize("ids", ["one", "none", "few"])
+def test_many_texts_under_one_id(spark, ids):
+    """Two thousand texts, half of them near copies of one other: confirmed by id and text, not each with each."""
+    rng = random.Random(11)
+    texts = []
+    for i in range(1000):
+        words = [f"w{rng.randrange(5000)}" for _ in range(40)]
+        texts += [" ".join(words), " ".join([*words[:-1], f"y{i}"])]
+    id_of = {"one": lambda i: 7, "none": lambda i: None, "few": lambda i: i % 3}[ids]
+    rows = [(id_of(i), t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = neardup.components(docs, width=2)
+    least = {t: min(filter(lambda x: x is not None, (rows[i][0], rows[i ^ 1][0])), default=None) for i, t in enumerate(texts)}
+    digest = {hashlib.md5(t.encode()).hexdigest(): t for t in texts}
+    assert sorted((digest[r["text_md5"]], str(r["component_id"])) for r in got.collect()) == sorted((t, str(least[t])) for t in texts)
+    assert neardup.deduplicate(docs, width=2).count() == 1000
+
+
+def test_rows_of_one_id_and_text_keep_the_same_one(spark):
+    rows = [(1, "a text of some words", f"s{i % 5}", {"k": i % 5}) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>")
+    kept = [neardup.deduplicate(docs.repartition(n), width=2).collect() for n in (1, 3, 7)]
+    assert [[tuple(r) for r in k] for k in kept] == [[(1, "a text of some words", "s0", {"k": 0})]] * 3

@@ -21,7 +21,8 @@ Defined results
 * repeated rows: equal components; rows that share a doc_id but not a text are told apart by text;
 * null doc_id: never the component's id while another row has one; alone, component_id is null and the
   row is kept;
-* ``deduplicate`` keeps one row of each component whatever the ids, and every row without words;
+* ``deduplicate`` keeps one row of each component whatever the ids, and every row without words; of rows that share id and
+  text the one whose JSON comes first;
 * empty table: empty result; extra columns are ignored by ``components`` and carried by ``deduplicate``.
 
 The comparison within a family is quadratic in the members outside its largest component; no cap is set on it.
@@ -158,7 +159,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _full_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, width: int) -> DataFrame:
     """(cid, shingles) of the wanted classes, made again from one text of each."""
-    wanted = by_broadcast_if_small(classes.join(cids.distinct(), "cid", "left_semi").select("cid", "digest", F.col("min_id").alias("_id")))
+    wanted = by_broadcast_if_small(classes.join(cids.distinct(), "cid", "left_semi").select("cid", "digest", F.col("min_id").alias("_id"), F.col("min_md5").alias("_md5")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +171,9 @@ def _full_sets(docs: DataFrame, classes: DataFrame, cids: DataFrame, width: int)
                     sets.append(shingles.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["cid", "shingles"])
 
-    texts = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
-             .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "digest", "text"))
-    # a doc_id may be repeated, so a class may come more than once: all alike
+    # by id and text, as many texts may share an id or have none; equal rows bring a class more than once, all alike
+    texts = (docs.select(F.col("doc_id").cast("long"), F.md5("text").alias("text_md5"), F.col("text").cast("binary").alias("text"))
+             .join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_md5") == F.col("_md5"))).select("cid", "digest", "text"))
     return cut(texts.mapInArrow(work, "cid long, shingles array<long>").dropDuplicates(["cid"]))
 
 
@@ -312,7 +313,8 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, Dat
     ship_package(docs.sparkSession)
     rows = cut(_signed(docs, width))
     classes = rows.where("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("min_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("one"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = classes.select("digest", F.col("one.doc_id").alias("min_id"), F.col("one.text_md5").alias("min_md5"), "n_shingles", "bands", "sketch")
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
     bands = classes.select("cid", F.explode("bands").alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -370,7 +372,7 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     if not twice.limit(1).count():
         return packed.select("_row.*")
     once = packed.join(twice, key(), "left_anti").select("_row")
-    many = packed.join(twice, key(), "left_semi").groupBy("doc_id", "text_md5").agg(F.first("_row").alias("_row")).select("_row")
+    many = packed.join(twice, key(), "left_semi").groupBy("doc_id", "text_md5").agg(F.min_by("_row", F.to_json("_row")).alias("_row")).select("_row")
     return once.unionByName(many).select("_row.*")
 
 
