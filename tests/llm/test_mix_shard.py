@@ -3,9 +3,10 @@
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import mix, shard
+from tidewatch.llm import common, mix, shard
 
 
 def words(text):
@@ -133,3 +134,30 @@ def test_written_shards_hold_the_rows_in_slot_order(spark, tmp_path):
         by_file.setdefault(r["file"], []).append(r["slot"])
     assert sorted(by_shard) == [0, 1, 2, 3, 4] and all(sorted(s) == list(range(400)) for s in by_shard.values())
     assert all(s == sorted(s) for s in by_file.values())
+
+
+def test_copies_are_numbered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(common, "COPIES", 10)
+    rows = spark.createDataFrame([("a", 1), ("b", 10), ("c", 11), ("d", 95), ("e", 0)], "k string, n long")
+    got = Counter((r["k"], r["copy"]) for r in common.with_copies(rows, "n", "copy").collect())
+    assert got == Counter((k, i + 1) for k, n in (("a", 1), ("b", 10), ("c", 11), ("d", 95)) for i in range(n))
+
+
+@pytest.mark.parametrize("broadcast", [0, 300_000])
+def test_shards_of_rows_a_third_of_which_are_equal(spark, monkeypatch, broadcast):
+    """Equal rows scatter like others, whether repeated rows are few or too many to be named to every task; maps inside of others are carried."""
+    monkeypatch.setattr(shard, "BROADCAST_KEYS", broadcast)
+    monkeypatch.setattr(common, "COPIES", 50)
+    kind = "doc_id long, text string, s struct<m:map<string,int>,l:array<map<int,string>>>, n map<string,map<string,int>>"
+    rows = [(None, "the same", ({"b": 1, "a": 2}, [{1: "x"}, None]), {"o": {"q": 1, "p": 2}}) if i % 3 == 0 else (i, f"text {i}", ({"k": i}, []) if i % 5 else None, None if i % 7 else {"o": {"p": i}})
+            for i in range(1500)]
+    docs = spark.createDataFrame(rows, kind).repartition(4).cache()
+    out = shard.shard(docs, n_shards=7, bucket_bytes=4096)
+    assert out.schema.simpleString() == docs.schema.simpleString()[:-1] + ",shard:int,slot:bigint>"
+    got = out.collect()
+    check_shards(got, 7, 1500)
+    told = lambda r: repr((r["doc_id"], r["text"], r["s"] and (sorted(r["s"]["m"].items()), r["s"]["l"]), r["n"] and sorted((k, sorted(v.items())) for k, v in r["n"].items())))
+    assert Counter(map(told, got)) == Counter(map(told, docs.collect()))
+    places = [at for at, r in enumerate(sorted(got, key=lambda r: (r["shard"], r["slot"]))) if r["doc_id"] is None]
+    assert len(places) == 500 and places[-1] - places[0] > 1300
+    assert sorted((told(r), r["shard"], r["slot"]) for r in got) == sorted((told(r), r["shard"], r["slot"]) for r in shard.shard(docs.repartition(6), n_shards=7, bucket_bytes=4096).collect())

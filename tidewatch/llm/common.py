@@ -48,6 +48,20 @@ def by_broadcast_if_small(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataF
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
+#: Copies of a row that one row is made into at once.
+COPIES = 10_000
+
+
+def with_copies(rows: DataFrame, n: str, copy: str) -> DataFrame:
+    """Each row n times, numbered from 1 in ``copy``; rows must be cheap to read twice. What is to be copied very often is dealt
+    out in blocks first, so that neither an array nor a task holds all copies of a row."""
+    few = rows.where(F.col(n).between(1, COPIES)).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n).cast("long"))))
+    many = rows.where(F.col(n) > COPIES).withColumn("_block", F.explode(F.expr(f"sequence(0L, ({n} - 1) div {COPIES})")))
+    many = many.repartition(max(2, rows.sparkSession.sparkContext.defaultParallelism), F.xxhash64("_block", n))
+    many = many.withColumn(copy, F.explode(F.expr(f"sequence(_block * {COPIES} + 1, least(_block * {COPIES} + {COPIES}, CAST({n} AS BIGINT)))"))).drop("_block")
+    return few.unionByName(many)
+
+
 def hash_sample(rows: DataFrame, key: str, k: int) -> DataFrame:
     """The k rows (all, if fewer) whose key hashes lowest, for fitting on a bounded sample.
 

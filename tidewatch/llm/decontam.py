@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, ship_package
+from tidewatch.llm.common import cut, ship_package, with_copies
 
 #: Words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z, over UTF-8 bytes.
 ITEM_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -176,10 +176,10 @@ def _find(docs: DataFrame, blocks: Blocks, width: int) -> DataFrame:
     if len(blocks) == 1:
         return found
     # rows equal in id and text find the same: merged over the blocks, then dealt out again
-    merged = found.groupBy("doc_id", "_digest", "n_words").agg(
+    merged = cut(found.groupBy("doc_id", "_digest", "n_words").agg(
         F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        F.count("*").alias("n"))
-    return merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("n") / len(blocks)).cast("int")))).drop("_copy", "n")
+        (F.count("*") / len(blocks)).cast("long").alias("_n")))
+    return with_copies(merged, "_n", "_copy").drop("_copy", "_n")
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
