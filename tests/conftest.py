@@ -1,6 +1,7 @@
 """One local session for all tests."""
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -14,7 +15,8 @@ def spark():
 
     session = (SparkSession.builder.master("local[4]").appName("tests").config("spark.sql.shuffle.partitions", "4")
                .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
-               .config("spark.driver.memory", "3g").getOrCreate())
+               .config("spark.driver.memory", "3g").config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tidewatch-warehouse-"))
+               .config("spark.driver.extraJavaOptions", "-Dderby.stream.error.file=/dev/null").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -16,7 +16,7 @@ from tidewatch.functions.holidays import holiday_dim, holiday_ranges
 from tidewatch.functions.timeutil import classify_local, format_duration, resolve_local, ts
 from tidewatch.operators import backtest, calendar, catalog, evaluate, releases, trace
 from tidewatch.operators.releases import rule
-from tidewatch.sources.observe import latest_by_relation, observe
+from tidewatch.sources.observe import latest_by_relation, latest_for_keys, observe
 
 NOW = datetime(2024, 1, 31, 18, 30)
 MIXED_NOW = datetime(2024, 1, 31, 6, 30)
@@ -86,6 +86,27 @@ def observe_many_relations(spark, sf_dir):
     return observe(spark, releases.rules_frame(spark, rows), sf_dir, {"joined": joined}).select("source_id", "observed", "code")
 
 
+@query("SELECT 'c' || c_custkey AS source_id, max(o_orderdate) AS observed FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def keyed_load_times(spark, sf_dir):
+    """A source per customer, all of them by one aggregate over the orders."""
+    asked = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("source_id"), F.lit(0).alias("f"), F.col("c_custkey").cast("long").alias("k0"))
+    return latest_for_keys(table(spark, sf_dir, "orders"), asked, ("o_custkey",), ["o_orderdate"]).select("source_id", F.col("at").alias("observed"))
+
+
+@query("""SELECT source_id, observed, code FROM (VALUES ('commented', NULL, 'E502'), ('field', NULL, 'E502'), ('filter', NULL, 'E502'), ('inside', (SELECT max(ts) FROM events WHERE value > 50), NULL), ('quoted', NULL, 'E502'),
+          ('view', NULL, 'E502')) t(source_id, observed, code)""")
+def outside_relation_refused(spark, sf_dir):
+    """Ways to files that aren't below the rules' folder, each refused, beside a subquery that stays in it."""
+    outside = f"{sf_dir}/orders.parquet"
+    spark.read.parquet(outside).createOrReplaceTempView("tidewatch_outside")
+    own = f"read_parquet('{sf_dir}/events.parquet')"
+    texts = {"inside": (f"(SELECT * FROM {own} WHERE value > 50)", "ts", None), "commented": (f"(SELECT o_orderdate AS ts FROM parquet/**/.`{outside}`)", "ts", None),
+             "quoted": (f"(SELECT o_orderdate AS ts FROM `parquet`.`{outside}`)", "ts", None), "view": ("(SELECT o_orderdate AS ts FROM tidewatch_outside)", "ts", None),
+             "field": (own, f"(SELECT max(o_orderdate) FROM parquet.`{outside}`)", None), "filter": (own, "ts", f"ts > (SELECT min(o_orderdate) FROM parquet.`{outside}`)")}
+    rows = [rule(s, cron="0 6 * * *", relation=r, loaded_at_field=f, filter=c) for s, (r, f, c) in texts.items()]
+    return observe(spark, releases.rules_frame(spark, rows), f"{sf_dir}/events.parquet").select("source_id", "observed", "code")
+
+
 @query("SELECT event_type AS source_id, timezone('UTC', timezone('Europe/Berlin', max(ts))) AS observed_at FROM events GROUP BY 1")
 def observed_zone_normalised(spark, sf_dir):
     last = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source_id")).agg(F.max("ts").alias("observed"))
