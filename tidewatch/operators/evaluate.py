@@ -59,7 +59,7 @@ def _latest(times: str) -> str:
     return let("had", f"filter({times}, r -> {_PAST})", let("top", "array_max(transform(had, r -> r.instant))", "array_min(filter(had, r -> r.instant = top))"))
 
 
-def in_steps(rows: DataFrame, steps: list[dict[str, str]], at_once: int = 5) -> DataFrame:
+def in_steps(rows: DataFrame, steps: list[dict[str, str]], at_once: int = 3) -> DataFrame:
     """Columns added step by step, several steps a statement: the plan is analysed once for each statement."""
     for i in range(0, len(steps), at_once):
         text = "SELECT * FROM {rows}"
@@ -80,24 +80,26 @@ def _search() -> list[dict[str, str]]:
     steps.append(dict(near=schedule_days(f"date_sub(today, {NEAR_DAYS})", f"date_add(today, {NEAR_DAYS})")))
     steps.append(dict(around=times_on(_AROUND)))
     steps.append(dict(last_near=_latest("around"), next_near=f"array_min(filter(around, r -> {_FUTURE}))"))
+    # farther days are asked for by their spans, so that the text of a schedule's days stands here once for all of them
     begin = f"date_sub(today, {HORIZON_DAYS + 2})"
-    back = schedule_days(f"greatest({begin}, date_sub(coalesce(active_from, {begin}), 1))", f"date_sub(today, {NEAR_DAYS - 2})")
-    ahead = schedule_days(f"greatest(date_add(today, {NEAR_DAYS - 2}), date_sub(coalesce(active_from, today), 1))", f"date_add(today, {HORIZON_DAYS + 2})")
-    steps.append(dict(far_back=f"CASE WHEN last_near IS NULL AND (floor IS NULL OR floor <= now) THEN {back} END",
-                        far_ahead=f"CASE WHEN next_near IS NULL THEN {ahead} END"))
+    span = lambda first, last: f"named_struct('a', {first}, 'b', {last})"
+    back = span(f"greatest({begin}, date_sub(coalesce(active_from, {begin}), 1))", f"date_sub(today, {NEAR_DAYS - 2})")
+    ahead = span(f"greatest(date_add(today, {NEAR_DAYS - 2}), date_sub(coalesce(active_from, today), 1))", f"date_add(today, {HORIZON_DAYS + 2})")
+    whole, recent = span("date_sub(first_day, 2)", "date_add(today, 2)"), span(begin, "date_add(today, 2)")
+    steps.append(dict(spans=f"array(CASE WHEN last_near IS NULL AND (floor IS NULL OR floor <= now) THEN {back} END, CASE WHEN next_near IS NULL THEN {ahead} END, "
+                            f"CASE WHEN stale THEN {recent} WHEN first_day < date_sub(today, {NEAR_DAYS - 4}) THEN {whole} END)"))
+    steps.append(dict(far=f"transform(spans, s -> CASE WHEN s IS NOT NULL THEN {schedule_days('s.a', 's.b')} END)"))
+    # counting: as many days from the load time on as reach the cap
+    steps.append(dict(far_back="far[0]", far_ahead="far[1]", since_days=f"CASE WHEN start IS NULL THEN NULL WHEN NOT stale AND first_day >= date_sub(today, {NEAR_DAYS - 4}) "
+                      f"THEN filter(near, x -> x.final IS NULL OR x.final BETWEEN date_sub(first_day, 2) AND date_add(today, 2)) ELSE far[2] END"))
     end = let("held", kept("far_back"), "slice(held, greatest(size(held) - 3, 1), 4)")
     steps.append(dict(last=f"coalesce(last_near, CASE WHEN far_back IS NOT NULL THEN {_latest(times_on(end))} END)",
                         next_release=f"coalesce(next_near, CASE WHEN far_ahead IS NOT NULL THEN array_min(filter({times_on(f'slice({kept("far_ahead")}, 1, 5)')}, r -> {_FUTURE})) END)"))
-    # counting: as many days from the load time on as reach the cap
-    whole = schedule_days("date_sub(first_day, 2)", "date_add(today, 2)")
-    recent = schedule_days(begin, "date_add(today, 2)")
-    steps.append(dict(since_days=f"CASE WHEN start IS NULL THEN NULL WHEN stale THEN {recent} WHEN first_day >= date_sub(today, {NEAR_DAYS - 4}) "
-                                   f"THEN filter(near, x -> x.final IS NULL OR x.final BETWEEN date_sub(first_day, 2) AND date_add(today, 2)) ELSE {whole} END"))
     after_start = "CASE WHEN inclusive THEN r.instant >= start ELSE r.instant > start END"
     some = lambda days: times_on(f"slice({kept(days)}, 1, CAST(ceil({MAX_COUNTED} / size({TIMES_OF_DAY})) AS INT) + 8)")
     steps.append(dict(since=f"filter({some('since_days')}, r -> r.instant <= now AND {_ACTIVE} AND CASE WHEN stale THEN r.instant >= oldest ELSE {after_start} END)"))
     steps.append(dict(by_recent=f"coalesce(stale AND exists(since, r -> {_LATE}), false)"))
-    steps.append(dict(old_days=f"CASE WHEN stale AND NOT by_recent THEN {whole} END"))
+    steps.append(dict(old_days=f"CASE WHEN stale AND NOT by_recent THEN {schedule_days('date_sub(first_day, 2)', 'date_add(today, 2)')} END"))
     steps.append(dict(counted=f"CASE WHEN old_days IS NOT NULL THEN filter({some('old_days')}, r -> r.instant <= now AND {_ACTIVE} AND {after_start}) ELSE since END"))
     capped = lambda times: f"CAST(least(coalesce({distinct_instants(times)}, 0), {MAX_COUNTED}) AS BIGINT)"
     steps.append(dict(first=f"{let('f', 'array_min(counted)', f'CASE WHEN NOT stale OR by_recent OR f.instant <= {days_off("start", HORIZON_DAYS)} THEN f END')}",
