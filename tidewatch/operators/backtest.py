@@ -60,7 +60,7 @@ def hourly_load(stamp: Column, minute: int = 5) -> Column:
 BLOCK_MINUTES = 60
 
 
-def _carried(events: DataFrame, key: str, value: str, how: str, order: tuple[str, ...] = ("at",), block_minutes: int = BLOCK_MINUTES) -> DataFrame:
+def carried(events: DataFrame, key: str, value: str, how: str, order: tuple[str, ...] = ("at",), block_minutes: int = BLOCK_MINUTES) -> DataFrame:
     """Adds _run, the running max or sum of ``value`` per key in time order: within blocks of time, plus what the blocks before it add up to.
 
     A key's rows are dealt by blocks of time, and only one row a block is put in order over all of its time, so a
@@ -86,7 +86,7 @@ def loads_as_of(instants: DataFrame, loads: DataFrame, key: str = "source_id") -
     # loads of one instant count once
     loads = loads.select(key, "loaded_at").distinct()
     events = instants.select(key, "at", F.lit(None).cast("timestamp_ntz").alias("loaded_at")).unionByName(loads.select(key, F.col("loaded_at").alias("at"), "loaded_at"))
-    seen = _carried(events, key, "loaded_at", "max").where("loaded_at is null").select(key, "at", F.col("_run").alias("last_load"))
+    seen = carried(events, key, "loaded_at", "max").where("loaded_at is null").select(key, "at", F.col("_run").alias("last_load"))
     return seen.drop(key) if single else seen
 
 
@@ -125,7 +125,7 @@ def reference_overdue(instants: DataFrame, publications: DataFrame, key: str = "
         late.select(key, F.col("proxy").alias("at"), F.lit(-1).alias("step"), F.lit(-2).alias("place")))
     marks = marks.groupBy(key, "at", "place").agg(F.sum("step").alias("step")).withColumn("asked", F.lit(False))
     events = marks.unionByName(instants.select(key, "at", F.lit(-1).alias("place"), F.lit(0).cast("long").alias("step"), F.lit(True).alias("asked")).distinct())
-    seen = _carried(events, key, "step", "sum", ("at", "place")).where("asked").select(key, "at", (F.col("_run") > 0).alias("overdue"))
+    seen = carried(events, key, "step", "sum", ("at", "place")).where("asked").select(key, "at", (F.col("_run") > 0).alias("overdue"))
     return seen.drop(key) if single else seen
 
 

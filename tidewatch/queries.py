@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.frames import local_frame
 from tidewatch.functions.holidays import holiday_dim, holiday_ranges
 from tidewatch.functions.timeutil import classify_local, format_duration, resolve_local, ts
-from tidewatch.operators import backtest, calendar, catalog, evaluate, releases, trace
+from tidewatch.operators import backtest, calendar, catalog, evaluate, releases, sweep, trace
 from tidewatch.operators.releases import rule
 from tidewatch.sources.observe import latest_by_relation, latest_for_keys, observe
 
@@ -684,7 +684,7 @@ def replay_grid(spark, sf_dir):
     cal, days = calendars(spark, date(2018, 12, 1), date(2029, 6, 1))
     loads = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id"), F.col("ts").alias("loaded_at"))
     rows = releases.rules_frame(spark, [rule(t, business_days="16:00", grace_minutes=120, observed_tz="UTC") for t in ("click", "error", "purchase", "signup", "view")])
-    v = evaluate.replay(rows, loads, days, cal, datetime(2024, 1, 5), datetime(2024, 1, 29), 360)
+    v = sweep.replay(rows, loads, days, cal, datetime(2024, 1, 5), datetime(2024, 1, 29), 360)
     return v.select("source_id", "evaluated_at", "status")
 
 
@@ -760,3 +760,30 @@ def loads_as_of_by_source(spark, sf_dir):
     loads = table(spark, sf_dir, "events").select(F.col("event_type").alias("source_id"), F.col("ts").alias("loaded_at"))
     grid = loads.select("source_id").distinct().select("source_id", F.explode(F.sequence(ts(datetime(2024, 1, 5)), ts(datetime(2024, 1, 29)), F.expr("interval 6 hours"))).alias("at"))
     return backtest.loads_as_of(grid, loads)
+
+
+def customer_rules(spark, sf_dir):
+    """A rule per customer, all with one of four schedules."""
+    kinds = releases.rules_frame(spark, [rule("0", business_days="16:00", grace_minutes=120, observed_tz="UTC"), rule("1", cron="0 6 * * *", grace_minutes=60, observed_tz="UTC"),
+                                         rule("2", monthly=(-1, "09:00"), grace_minutes=1440, observed_tz="UTC"), rule("3", cron="0 * * * *", grace_minutes=180, observed_tz="UTC")])
+    customers = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("name"), (F.col("c_custkey") % 4).cast("string").alias("source_id"))
+    return customers.join(F.broadcast(kinds), "source_id").withColumn("source_id", F.col("name")).select(*kinds.columns)
+
+
+CUSTOMERS_SQL = """WITH m AS (SELECT TIMESTAMP '1999-06-01 12:00' AS now), d AS (SELECT CAST(x AS TIMESTAMP) AS d FROM generate_series(TIMESTAMP '1994-11-01', TIMESTAMP '1999-08-31', INTERVAL 1 DAY) t(x)),
+rel AS (SELECT 0 AS k, d + INTERVAL 16 HOUR AS r, INTERVAL 2 HOUR AS g FROM d WHERE isodow(d) < 6 UNION ALL SELECT 1, d + INTERVAL 6 HOUR, INTERVAL 1 HOUR FROM d
+  UNION ALL SELECT 2, max(d) + INTERVAL 9 HOUR, INTERVAL 24 HOUR FROM d WHERE isodow(d) < 6 GROUP BY date_trunc('month', d) UNION ALL SELECT 3, d + h * INTERVAL 1 HOUR, INTERVAL 3 HOUR FROM d, range(24) t(h)),
+o AS (SELECT c_custkey, c_custkey % 4 AS k, max(o_orderdate) FILTER (o_orderdate <= now) AS obs FROM customer CROSS JOIN m LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+ends AS (SELECT k, max(r) FILTER (r <= now) AS last, min(r) FILTER (r > now) AS next, any_value(g) AS g FROM rel, m GROUP BY k),
+open AS (SELECT c_custkey, min(r) AS u, count(*) AS n, count(*) FILTER (r + g < now) AS missed FROM o JOIN rel USING (k), m WHERE r > obs AND r <= now GROUP BY c_custkey),
+v AS (SELECT c_custkey, obs, last, next, g, u, coalesce(least(n, 10000), 0) AS n, coalesce(least(missed, 10000), 0) AS missed, CASE WHEN obs IS NULL THEN 'NO_DATA' WHEN u IS NULL THEN 'ON_TIME' WHEN missed > 0 THEN 'OVERDUE' ELSE 'NOT_DUE' END AS status
+      FROM o JOIN ends USING (k) LEFT JOIN open USING (c_custkey))
+SELECT 'c' || c_custkey AS source_id, status, coalesce(u, last) AS release, coalesce(u, last) + g AS deadline, CAST(missed AS BIGINT) AS missed_count, CAST(n - missed AS BIGINT) AS pending_count, next AS next_expected_arrival FROM v"""
+
+
+@query(CUSTOMERS_SQL)
+def verdicts_of_customers(spark, sf_dir):
+    """Every customer is a source whose loads are its orders; four schedules are made and shared by all."""
+    cal, days = calendars(spark, date(1989, 1, 1), date(2005, 1, 1))
+    loads = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_id"), F.col("o_orderdate").alias("loaded_at"))
+    return sweep.verdicts(customer_rules(spark, sf_dir), loads, days, cal, [datetime(1999, 6, 1, 12)]).select(*COLUMNS)
