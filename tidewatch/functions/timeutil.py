@@ -32,10 +32,6 @@ def to_local(instant: Column, tz: Column) -> Column:
     return F.convert_timezone(F.lit("UTC"), tz, instant)
 
 
-def local_date(instant: Column, tz: Column) -> Column:
-    return to_local(instant, tz).cast("date")
-
-
 def shift(instant: Column, microseconds: Column) -> Column:
     """Elapsed-time addition."""
     return F.timestamp_add("MICROSECOND", microseconds, instant)

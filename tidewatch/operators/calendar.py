@@ -19,12 +19,6 @@ def date_spine(spark: SparkSession, first: date, last: date) -> DataFrame:
     return spark.range(1).select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("date"))
 
 
-def month_spine(spark: SparkSession, first: date, last: date) -> DataFrame:
-    """First and last day of every month touched."""
-    months = spark.range(1).select(F.explode(F.sequence(F.trunc(F.lit(first), "MM"), F.lit(last), F.expr("interval 1 month"))).alias("month_start"))
-    return months.withColumn("month_end", F.last_day("month_start"))
-
-
 def holiday_union(refs: DataFrame, holidays: DataFrame) -> DataFrame:
     """(calendar_id, date, name, ref_label): each holiday of a calendar once, named by its first reference."""
     joined = refs.join(holidays, "ref_label")

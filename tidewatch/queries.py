@@ -16,6 +16,7 @@ from tidewatch.functions.holidays import holiday_dim, holiday_ranges
 from tidewatch.functions.timeutil import classify_local, format_duration, resolve_local, ts
 from tidewatch.operators import backtest, calendar, catalog, evaluate, releases, sweep, trace
 from tidewatch.operators.releases import rule
+from tidewatch.plans import replay as replays
 from tidewatch.sources.observe import latest_by_relation, latest_for_keys, observe
 
 NOW = datetime(2024, 1, 31, 18, 30)
@@ -824,3 +825,34 @@ def verdicts_of_customers(spark, sf_dir):
     cal, days = calendars(spark, date(1989, 1, 1), date(2005, 1, 1))
     loads = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source_id"), F.col("o_orderdate").alias("loaded_at"))
     return sweep.verdicts(customer_rules(spark, sf_dir), loads, days, cal, [datetime(1999, 6, 1, 12)]).select(*COLUMNS)
+
+
+REPLAY_SQL = """WITH pub AS (SELECT CAST(ts AS DATE) AS rate_date, min(ts + INTERVAL 20 HOUR) AS proxy FROM events GROUP BY 1),
+loads AS (SELECT CASE WHEN date_trunc('hour', proxy) + INTERVAL 5 MINUTE >= proxy THEN date_trunc('hour', proxy) + INTERVAL 5 MINUTE ELSE date_trunc('hour', proxy) + INTERVAL 65 MINUTE END AS l FROM pub),
+rel AS (SELECT CAST(d AS TIMESTAMP) AS r FROM generate_series(TIMESTAMP '2023-11-01 16:00', TIMESTAMP '2024-03-01 16:00', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6),
+grid AS (SELECT CAST(d AS TIMESTAMP) AS "at" FROM generate_series(TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-29', INTERVAL 30 MINUTE) t(d)),
+late AS (SELECT r + INTERVAL 2 HOUR AS deadline, proxy FROM rel JOIN pub ON rate_date = CAST(r AS DATE)),
+j AS (SELECT "at", EXISTS (SELECT 1 FROM late WHERE deadline < "at" AND proxy > "at") AS truth, (SELECT max(l) FROM loads WHERE l <= "at") AS last_load FROM grid),
+k AS (SELECT *, last_load IS NOT NULL AND EXISTS (SELECT 1 FROM rel WHERE r > last_load AND r + INTERVAL 2 HOUR < "at") AS rule_says,
+        coalesce(date_diff('microsecond', last_load, "at") > 26 * 3600000000, FALSE) AS stale FROM j),
+x AS (SELECT "at", 'calendar rule, hourly loader' AS model, rule_says AS said, truth, last_load FROM k UNION ALL SELECT "at", 'fixed threshold 26 h', stale, truth, last_load FROM k)
+"""
+
+
+def _replayed(spark, sf_dir):
+    """Publications twenty hours after each event, the day's first counts; the loader runs at HH:05."""
+    cal, days = calendars(spark, date(2018, 1, 1), date(2030, 1, 1))
+    pub = table(spark, sf_dir, "events").select(F.col("ts").cast("date").alias("rate_date"), F.timestamp_add("HOUR", F.lit(20), F.col("ts")).alias("last_modified"))
+    rules = releases.rules_frame(spark, [rule("fx", business_days="16:00", grace_minutes=120)])
+    return replays.replayed(rules, pub, days, cal, datetime(2024, 1, 3), datetime(2024, 1, 29), 30)
+
+
+@query(REPLAY_SQL + """SELECT model, count(*) FILTER (said AND truth) AS tp, count(*) FILTER (said AND NOT truth) AS fp, count(*) FILTER (NOT said AND truth) AS fn, count(*) FILTER (NOT said AND NOT truth) AS tn FROM x GROUP BY 1""")
+def replay_scores(spark, sf_dir):
+    return backtest.confusion(_replayed(spark, sf_dir).select("model", "said", "truth"))
+
+
+@query(REPLAY_SQL + """SELECT model AS kind, CASE WHEN said THEN 'false alarm: ' || model || ' says late, nothing published is missing; last load ' ELSE 'missed: ' || model || ' says fine, a publication is past its deadline; last load ' END
+  || coalesce(strftime(last_load, '%Y-%m-%d %H:%M'), 'never') AS explanation, count(*) AS n, min("at") AS first_at, max("at") AS last_at FROM x WHERE said <> truth GROUP BY 1, 2""")
+def replay_disagreements(spark, sf_dir):
+    return replays.disagreement_groups(_replayed(spark, sf_dir))
