@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 from tidewatch import __version__
+from tidewatch.operators.evaluate import exit_code
 from tidewatch.plans import api, report
 from tidewatch.sources.config import ConfigError, Issue
 from tidewatch.sources.observe import QueryError
@@ -72,12 +75,37 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> tuple[str, int]:
     if args.output and not report.writable(args.output):
         raise ConfigError([Issue("E217", f"cannot write output file {args.output}")])
     rows = (api.check(spark, args.config, now, args.select) if args.command == "check" else api.upcoming(spark, args.config, now, args.count, args.select)).cache()
+    if args.command == "check" and args.format == "json" and args.output and rows.count() > report.ONE_FILE:
+        report.write_json_report(rows, now, args.output + ".parts")
+        return f"parts of this report are in {args.output}.parts\n", exit_code(rows).first()[0]
     text = report.json_report(rows, args.command, now) if args.format == "json" else report.table_report(rows, args.command, now)
     if args.command == "check":
         return text, report.exit_code([r["status"] for r in rows.select("status").collect()])
     return text, 2 if rows.where("error is not null").limit(1).count() else 0
 
 
+def _deliver(text: str, code: int, output: str | None) -> int:
+    """Write the text and give the exit code: a file that can't be written is E217 and at least 2; a reader that has gone
+    away is no fault."""
+    if output:
+        try:
+            Path(output).write_text(text, encoding="utf-8")
+        except OSError as e:
+            print(f"E217 cannot write output file {output}: {e.strerror}", file=sys.stderr)
+            return max(code, 2)
+        return code
+    try:
+        sys.stdout.write(text)
+        sys.stdout.flush()  # here and not when the interpreter ends, where a broken pipe would be a fault
+    except BrokenPipeError:
+        if (hole := os.open(os.devnull, os.O_WRONLY)) >= 0 and hasattr(sys.stdout, "fileno"):
+            try:
+                os.dup2(hole, sys.stdout.fileno())
+            except (OSError, ValueError):  # a stream without a descriptor has nothing left to flush
+                pass
+    return code
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     try:
         args = parser().parse_args(argv)
@@ -86,17 +114,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if not args.command:
         parser().print_usage(sys.stderr)
         return 2
-    if hasattr(sys.stdout, "reconfigure"):
+    if hasattr(sys.stdout, "reconfigure"):  # names may hold what the terminal can't show
         sys.stdout.reconfigure(errors="backslashreplace")
     try:
         spark = spark or SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
         text, code = _run(args, spark)
-        if getattr(args, "output", None):
-            with open(args.output, "w", encoding="utf-8") as f:
-                f.write(text)
-        else:
-            sys.stdout.write(text)
-        return code
+        return _deliver(text, code, getattr(args, "output", None))
     except ConfigError as e:
         print("\n".join(map(str, e.issues)), file=sys.stderr)
         return 2

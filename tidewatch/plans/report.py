@@ -8,9 +8,13 @@ from datetime import UTC, datetime
 from pathlib import Path
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidewatch import __version__
+from tidewatch.functions.stored import stored
+from tidewatch.operators.evaluate import exit_code as code_of
+from tidewatch.operators.evaluate import status_summary
 
 #: Fixed order of the summary.
 STATUSES = ("ON_TIME", "NOT_DUE", "OVERDUE", "NO_DATA", "CONFIG_ERROR", "QUERY_ERROR")
@@ -68,6 +72,85 @@ def json_report(rows: DataFrame, kind: str, now: datetime) -> str:
     return json.dumps(head | body, indent=2, ensure_ascii=False) + "\n"
 
 
+#: A report of up to so many rows is one file written by the driver; a larger one is a folder of parts written by executors.
+ONE_FILE = 100_000
+
+
+def _text(c: Column) -> Column:
+    """A string as JSON."""
+    whole = F.to_json(F.struct(c.alias("v")))
+    return F.when(c.isNull(), "null").otherwise(F.substr(whole, F.lit(6), F.length(whole) - 6))
+
+
+def _iso(c: Column) -> Column:
+    """``2026-09-25T16:00:00``, with six digits where there is a fraction."""
+    text = F.translate(c.cast("string"), " ", "T")
+    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
+
+
+def _zulu(c: Column) -> Column:
+    return _text(F.concat(_iso(c), F.lit("Z")))
+
+
+def _in_zone(instant: Column, tz: Column) -> Column:
+    wall = F.convert_timezone(F.lit("UTC"), tz, instant)
+    off = F.timestamp_diff("SECOND", instant, wall)
+    size = F.abs(off)
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    rest = F.when(size % 60 != 0, F.concat(F.lit(":"), two(size % 60))).otherwise("")
+    return _text(F.concat(_iso(wall), F.when(off < 0, "-").otherwise("+"), two(F.floor(size / 3600)), F.lit(":"), two(F.floor(size / 60) % 60), rest))
+
+
+def _object(fields: dict[str, Column], depth: int) -> Column:
+    pad = "  " * depth
+    parts = [F.concat(F.lit(f'{pad}  "{k}": '), v) for k, v in fields.items()]
+    return F.concat(F.lit("{\n"), F.concat_ws(",\n", *parts), F.lit(f"\n{pad}}}"))
+
+
+def _issue_text(issue: Column, source_id: Column, depth: int) -> Column:
+    return F.when(issue.isNull(), "null").otherwise(_object({"code": _text(issue["code"]), "message": _text(issue["message"]), "location": _text(source_id)}, depth))
+
+
+def _result_text() -> Column:
+    """A verdict's entry of the document, as ``_result`` and ``json.dumps`` make it."""
+    c, logical = F.col, lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    zone = c("schedule_timezone")
+    release = _object({"instant": _zulu(c("release")), "local": _in_zone(c("release"), zone), "adjusted_from": _text(c("adjusted_from").cast("string")), "dst": _text(c("dst")), "clamped": logical(c("clamped"))}, 3)
+    raw = F.concat(_iso(c("observed_raw")), F.when(c("was_naive"), "").otherwise("+00:00"))
+    seen = _object({"instant": _zulu(c("observed_at")), "raw": _text(raw), "was_naive": logical(c("was_naive")), "interpreted_timezone": _text(c("interpreted_timezone"))}, 3)
+    warnings = F.transform("warnings", lambda w: F.concat(F.lit("        "), _issue_text(w, c("source_id"), 4)))
+    listed = F.when(F.coalesce(F.size("warnings"), F.lit(0)) < 1, "[]").otherwise(F.concat(F.lit("[\n"), F.array_join(warnings, ",\n"), F.lit("\n      ]")))
+    return _object({
+        "source_id": _text(c("source_id")), "origin": _text(c("origin")), "status": _text(c("status")), "is_verdict": logical(c("status").isin(*VERDICTS)), "schedule_timezone": _text(zone),
+        "release": F.when(c("release").isNull(), "null").otherwise(release), "deadline": _zulu(c("deadline")), "observed": F.when(c("observed_at").isNull(), "null").otherwise(seen),
+        "next_expected_arrival": _zulu(c("next_expected_arrival")), "missed_count": logical(c("missed_count")), "missed_truncated": logical(c("missed_truncated")),
+        "pending_count": logical(c("pending_count")), "explanation": _text(c("explanation")), "warnings": listed, "error": _issue_text(c("error"), c("source_id"), 3)}, 2)
+
+
+def json_report_parts(rows: DataFrame, now: datetime) -> DataFrame:
+    """(ord, value): the text of a check's document in pieces, a row each, in the order of ord; the verdicts themselves never meet in one place."""
+    spark = rows.sparkSession
+    counts = status_summary(rows).first()
+    head = {"schema_version": VERSION, "kind": "check", f"{TOOL}_version": __version__, "evaluated_at": utc(now), "exit_code": code_of(rows).first()[0],
+            "summary": {"total": counts["total"]} | {s: counts[s.lower()] for s in STATUSES}}
+    begin = json.dumps(head, indent=2, ensure_ascii=False)[:-2] + ',\n  "results": ['
+    if not counts["total"]:
+        return spark.createDataFrame([(0, begin + "]\n}")], "ord long, value string")
+    # sorted by source, numbered in that order: places in a partition, which range partitions keep apart
+    placed = stored(rows.orderBy("source_id").select(F.monotonically_increasing_id().alias("at"), F.concat(F.lit("    "), _result_text()).alias("text")))
+    last = placed.agg(F.max("at")).first()[0]
+    body = placed.select((F.col("at") + 1).alias("ord"), F.concat("text", F.when(F.col("at") < last, ",").otherwise("")).alias("value"))
+    return spark.createDataFrame([(0, begin), (last + 2, "  ]\n}")], "ord long, value string").unionByName(body)
+
+
+def write_json_report(rows: DataFrame, now: datetime, folder: str) -> None:
+    """A check's document as a folder of parts, written by executors: run together in the order of their names they are what
+    ``json_report`` gives. ``rows`` is read more than once and so should be stored."""
+    parts = json_report_parts(rows, now)
+    n = max(1, parts.sparkSession.sparkContext.defaultParallelism)
+    parts.repartitionByRange(n, "ord").sortWithinPartitions("ord").select("value").write.text(folder)
+
+
 def _table(header: list[str], rows: list[list[str]]) -> list[str]:
     widths = [max(map(len, column)) for column in zip(header, *rows)]
     return ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in (header, *rows)]
