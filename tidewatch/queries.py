@@ -146,6 +146,13 @@ def target_holidays(spark, sf_dir):
     return with_rows(spark, sf_dir, holiday_dim(spark, ["financial XECB"], 1999, 2030).select("date"), "date")
 
 
+@query(with_rows_sql("WITH " + EASTER_SQL + """ SELECT make_date(y, m, x) AS date FROM years, (VALUES (1, 1), (5, 1), (5, 8), (7, 14), (8, 15), (11, 1), (11, 11), (12, 25)) f(m, x)
+  UNION SELECT CAST(d + k * INTERVAL 1 DAY AS DATE) FROM easter, (VALUES (1), (39), (50)) o(k)""", "date"))
+def holidays_from_rule_rows(spark, sf_dir):
+    """French holidays, expanded from rows of rules."""
+    return with_rows(spark, sf_dir, holiday_dim(spark, ["country FR"], 1999, 2030).select("date"), "date")
+
+
 @query(with_rows_sql("WITH " + EASTER_SQL + """ SELECT date, count(*) AS n_refs FROM (SELECT date FROM target UNION ALL SELECT * FROM (VALUES (DATE '2001-12-24'), (DATE '2001-12-25')) v(date))
           WHERE year(date) = 2001 GROUP BY 1""", "date"))
 def holiday_union(spark, sf_dir):
