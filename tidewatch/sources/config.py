@@ -10,6 +10,7 @@ import re
 import reprlib
 from dataclasses import dataclass, field
 from datetime import date
+from functools import cache
 from pathlib import Path
 from typing import Any, NamedTuple
 from zoneinfo import available_timezones
@@ -189,8 +190,14 @@ def parse_date(value: Any, where: str = "date") -> date:
         raise Bad(at("E106", where, f"invalid value {shown(value)}: not a valid calendar date")) from e
 
 
+@cache
+def zones() -> frozenset[str]:
+    """The names of all zones; finding them reads the whole zone database."""
+    return frozenset(available_timezones()) - {"Factory", "localtime"}
+
+
 def parse_timezone(value: Any, where: str = "timezone") -> str:
-    if not isinstance(value, str) or value not in available_timezones() or value in ("Factory", "localtime"):
+    if not isinstance(value, str) or value not in zones():
         raise Bad(at("E201", where, f"unknown time zone {shown(value)}"))
     return ZONE_ALIASES.get(value, value)
 
