@@ -821,7 +821,7 @@ rel AS (SELECT 0 AS k, d + INTERVAL 16 HOUR AS r, INTERVAL 2 HOUR AS g FROM d WH
 o AS (SELECT c_custkey, c_custkey % 4 AS k, max(o_orderdate) FILTER (o_orderdate <= now) AS obs FROM customer CROSS JOIN m LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
 ends AS (SELECT k, max(r) FILTER (r <= now) AS last, min(r) FILTER (r > now) AS next, any_value(g) AS g FROM rel, m GROUP BY k),
 open AS (SELECT c_custkey, min(r) AS u, count(*) AS n, count(*) FILTER (r + g < now) AS missed FROM o JOIN rel USING (k), m WHERE r > obs AND r <= now GROUP BY c_custkey),
-v AS (SELECT c_custkey, obs, last, next, g, u, coalesce(least(n, 10000), 0) AS n, coalesce(least(missed, 10000), 0) AS missed, CASE WHEN obs IS NULL THEN 'NO_DATA' WHEN u IS NULL THEN 'ON_TIME' WHEN missed > 0 THEN 'OVERDUE' ELSE 'NOT_DUE' END AS status
+v AS (SELECT c_custkey, obs, last, next, g, u, least(coalesce(n, 0), 10000) AS n, least(coalesce(missed, 0), 10000) AS missed, CASE WHEN obs IS NULL THEN 'NO_DATA' WHEN u IS NULL THEN 'ON_TIME' WHEN missed > 0 THEN 'OVERDUE' ELSE 'NOT_DUE' END AS status
       FROM o JOIN ends USING (k) LEFT JOIN open USING (c_custkey))
 SELECT 'c' || c_custkey AS source_id, status, coalesce(u, last) AS release, coalesce(u, last) + g AS deadline, CAST(missed AS BIGINT) AS missed_count, CAST(n - missed AS BIGINT) AS pending_count, next AS next_expected_arrival FROM v"""
 
