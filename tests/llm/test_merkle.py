@@ -81,6 +81,12 @@ def test_equal_rows_spread_over_partitions(spark, monkeypatch):
     assert largest.count() == len(rows)
 
 
+def test_many_sources_share_batches(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "_ROWS", 7)
+    monkeypatch.setattr(merkle, "LEAVES", 90)
+    compare(spark.createDataFrame([(i, f"{i}\n", None, f"source {i % 150}", i) for i in range(400)], SCHEMA))
+
+
 def test_one_leaf_and_one_source(spark):
     one = spark.createDataFrame([(4, "a\nb", "en", "s", 3)], SCHEMA)
     compare(one)

@@ -93,17 +93,29 @@ def _runs(batches: Iterator[pa.RecordBatch], ends: dict[int, tuple]) -> Iterator
 _NODE = "_g string, total long, level int, i long, h string"
 
 
+#: Rows of a batch handed on by a task; small groups share one.
+_ROWS = 4096
+
+
 def _ragged(rows: DataFrame, ends: dict[int, tuple]) -> DataFrame:
     """The nodes held wholly by a partition whose parents are not, roots among them."""
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["_g", "total", "level", "i", "h"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for group, start, total, held in _runs(batches, ends):
-            levels, out, above = _levels(held["leaf"], start, total), [], range(0)
+            levels, above = _levels(held["leaf"], start, total), range(0)
             for level in range(len(levels) - 1, -1, -1):
                 at, digests = levels[level]
                 out += [(group, total, level, at + k, h) for k, h in enumerate(digests) if (at + k) // ARITY not in above]
                 above = range(at, at + len(digests))
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["_g", "total", "level", "i", "h"])
+            if len(out) >= _ROWS:
+                yield batch(out)
+                out = []
+        if out:
+            yield batch(out)
 
     return cut(rows.select("_pid", "_g", "leaf").mapInArrow(work, _NODE))
 
@@ -111,33 +123,34 @@ def _ragged(rows: DataFrame, ends: dict[int, tuple]) -> DataFrame:
 def _local_paths(rows: DataFrame, ends: dict[int, tuple]) -> DataFrame:
     """Rows with the ragged node above them (level, i) and the siblings on the way to it (inner)."""
     key = rows.schema["key"].dataType.simpleString()
+    kinds = {"_g": pa.string(), "key": pa.int64() if key == "bigint" else pa.string(), "leaf": pa.string(), "seen": pa.string(), "level": pa.int32(), "i": pa.int64()}
+
+    def batch(rows: list[tuple], steps: list[tuple], offsets: list[int]) -> pa.RecordBatch:
+        sides = [pa.array([x[side] for x in steps], pa.string()) for side in (0, 1)]
+        paths = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(sides, ["left", "right"]))
+        return pa.RecordBatch.from_arrays([*[pa.array(c, kind) for c, kind in zip(zip(*rows), kinds.values())], paths], [*kinds, "inner"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, steps, offsets = [], [], [0]
         for group, start, total, held in _runs(batches, ends):
             levels = _levels(held["leaf"], start, total)
-            for begin in range(0, len(held["leaf"]), 4096):
-                some = range(begin, min(begin + 4096, len(held["leaf"])))
-                offsets, left, right, level_of, number_of = [0], [], [], [], []
-                for k in some:
-                    i, level = start + k, 0
-                    while level + 1 < len(levels):
-                        at, digests = levels[level + 1]
-                        up = i // ARITY
-                        if not at <= up < at + len(digests):
-                            break
-                        first, own = levels[level]
-                        left.append("".join(own[ARITY * up - first:i - first]))
-                        right.append("".join(own[i + 1 - first:ARITY * (up + 1) - first]))
-                        i, level = up, level + 1
-                    offsets.append(len(left))
-                    level_of.append(level)
-                    number_of.append(i)
-                steps = pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string())], ["left", "right"])
-                kinds = {"key": pa.int64() if key == "bigint" else pa.string(), "leaf": pa.string(), "seen": pa.string()}
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([group] * len(some), pa.string()), *[pa.array(held[c][begin:begin + len(some)], kind) for c, kind in kinds.items()],
-                     pa.array(level_of, pa.int32()), pa.array(number_of, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), steps)],
-                    ["_g", *kinds, "level", "i", "inner"])
+            for k, row in enumerate(zip(held["key"], held["leaf"], held["seen"])):
+                i, level = start + k, 0
+                while level + 1 < len(levels):
+                    at, digests = levels[level + 1]
+                    up = i // ARITY
+                    if not at <= up < at + len(digests):
+                        break
+                    first, own = levels[level]
+                    steps.append(("".join(own[ARITY * up - first:i - first]), "".join(own[i + 1 - first:ARITY * (up + 1) - first])))
+                    i, level = up, level + 1
+                offsets.append(len(steps))
+                out.append((group, *row, level, i))
+                if len(out) >= _ROWS:
+                    yield batch(out, steps, offsets)
+                    out, steps, offsets = [], [], [0]
+        if out:
+            yield batch(out, steps, offsets)
 
     return rows.mapInArrow(work, f"_g string, key {key}, leaf string, seen string, level int, i long, inner array<{STEP}>")
 
@@ -152,8 +165,6 @@ def _power(n: str) -> str:
 
 
 _POWERS = "array(" + ", ".join(f"{ARITY ** k}L" for k in range(40)) + ") AS powers"
-
-
 _DEPTH = "size(filter(powers, p -> p < total))"
 
 
