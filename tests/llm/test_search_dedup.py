@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from tidewatch.llm import ann, decontam, neardup
+from tidewatch.llm import ann, decontam, decontam_join, neardup
 
 
 def lowered(text):
@@ -160,6 +160,50 @@ def test_decontamination_odd(odd_docs, no_docs, items):
     assert {r["n_hit"] for r in decontam.decontamination_report(odd_docs, items.limit(0)).collect()} == {0}
 
 
+def test_decontamination_by_shuffle_odd(odd_docs, no_docs, items):
+    """The join by shuffle on odd rows, on no documents, and on items that hold no word."""
+    held = [(r["item_id"], r["text"]) for r in items.collect()]
+    got = decontam.find(odd_docs, items, block_bytes=1)
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"]) for r in decontam.judged(got).collect()) == sorted((str(r["doc_id"]), *brute_find(r["text"], held)[:2]) for r in odd_docs.collect())
+    kept = decontam.decontaminate(odd_docs, items, block_bytes=1)
+    assert kept.columns == odd_docs.columns and sorted(map(str, kept.collect())) == sorted(str(r) for r in odd_docs.collect() if not brute_find(r["text"], held)[4])
+    assert decontam.find(no_docs, items, block_bytes=1).collect() == []
+    wordless = items.where("item_id = 101")
+    assert wordless.count() == 1 and {len(r["items"]) for r in decontam.find(odd_docs, wordless, block_bytes=1).collect()} == {0}
+
+
+@pytest.mark.parametrize("hot, bits", [(40, 28), (100_000, 16)])
+def test_decontamination_by_shuffle_hot_passage(spark, monkeypatch, hot, bits):
+    """A third of all documents hold one passage, and many items share it: its windows are dealt out in parts; with small bit sets
+    more places are candidates, and the finds stay the same."""
+    monkeypatch.setattr(decontam_join, "HOT", hot)
+    monkeypatch.setattr(decontam_join, "SIEVE_BITS", bits)
+    rng = random.Random(12)
+    passage = " ".join(f"p{rng.randrange(40)}" for _ in range(30))
+    held = [(i, f"{passage} tail{i} of {i}") for i in range(40)] + [(100 + i, " ".join(f"q{rng.randrange(300)}" for _ in range(rng.choice([3, 13, 25])))) for i in range(400)]
+    docs = []
+    for i in range(300):
+        words = " ".join(f"q{rng.randrange(300)}" for _ in range(rng.randrange(40)))
+        docs.append((i % 150, f"{words} {passage} {words} {passage}" if i % 3 == 0 else f"{words}, {rng.choice(held)[1].upper()}"))
+    docs += docs[:90]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    found = decontam.judged(decontam.find(df, spark.createDataFrame(held, "item_id long, text string"), block_bytes=1)).collect()
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(sorted(r["items"])).encode()).hexdigest(), r["contaminated"]) for r in found)
+    assert got == sorted((str(d), *brute_find(t, held)) for d, t in docs)
+
+
+def test_window_keys_tell_windows_apart():
+    """Keys of a window and of a prefix are the same wherever it stands, and differ for other words, orders, offsets and lengths."""
+    words = [b"a", b"b", b"c", b"a", b"b", b"c", b"b", b"a"]
+    hashed = decontam_join.hashes(words)
+    by_length = dict(decontam_join.window_keys(hashed, [2, 3]))
+    for n, keys in by_length.items():
+        texts = [tuple(words[i:i + n]) for i in range(len(words) - n + 1)]
+        assert len(keys) == len(texts) and len(set(keys.tolist())) == len(set(texts))
+    keys = {(w, o, n): int(decontam_join.prefix_keys(decontam_join.hashes([w]), np.array([o]), n)[0]) for w in (b"a", b"b") for o in range(13) for n in range(1, 14)}
+    assert len(set(keys.values())) == len(keys)
+
+
 # --- nearest neighbours ---
 
 

@@ -7,8 +7,8 @@ counts in how many documents each benchmark word occurs; a second pass joins doc
 prefix words, bounds the window's place by the word's offset and the window's length by the document's
 end, and verifies the words one by one.
 
-The items travel by broadcast in blocks of at most ``block_bytes`` of text, so what is broadcast has a
-fixed bound; with several blocks the documents are scanned once per block and the finds are merged.
+Items of at most ``block_bytes`` of text travel by broadcast. Larger benchmarks are joined by shuffle
+(``decontam_join``), with the same finds and as few scans of the documents.
 
 Defined results
 * null or empty text: no words, no hits; items without words have no window;
@@ -20,8 +20,6 @@ Defined results
 
 from __future__ import annotations
 
-import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,10 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, ship_package, with_copies
+from tidewatch.llm import decontam_join
+from tidewatch.llm.common import item_words, ship_package
 
-#: Words of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after lower-casing A-Z, over UTF-8 bytes.
-ITEM_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WIDTH = 13
 BLOCK_BYTES = 2 << 20
 
@@ -40,10 +37,6 @@ _SPAN = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("items", pa.list_(pa.string()))])
 
 
-def item_words(text: bytes | None) -> list[bytes]:
-    return ITEM_WORD.findall(text.lower()) if text else []
-
-
 def item_windows(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
     if not words:
         return []
@@ -102,14 +95,14 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[by
 
 
 def _index_source(docs: DataFrame, items: list[tuple[str, bytes]]):
-    """Broadcast of one block: its items and the corpus frequency of their words."""
+    """Broadcast of the items and the corpus frequency of their words."""
     ship_package(docs.sparkSession)
     vocabulary = frozenset(w for _, text in items for w in item_words(text))
     frequency = document_frequency(docs, vocabulary) if vocabulary else {}
     return docs.sparkSession.sparkContext.broadcast((items, frequency))
 
 
-def _find_block(docs: DataFrame, items: list[tuple[str, bytes]], width: int) -> DataFrame:
+def _find_by_broadcast(docs: DataFrame, items: list[tuple[str, bytes]], width: int) -> DataFrame:
     held = _index_source(docs, items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,49 +135,33 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, step, lambda a: a["n"])
 
 
-class Blocks:
-    """The distinct items in blocks of about block_bytes of text, an item whole in one block. Only one block at a time is
-    with the driver, on its way to a broadcast."""
-
-    def __init__(self, items: DataFrame, block_bytes: int):
-        held = items.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
-        total = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        self.n = max(1, math.ceil(total / block_bytes))
-        self.parts = held.select("item_id", F.col("text").cast("binary").alias("text"), F.pmod(F.xxhash64("item_id", "text"), F.lit(self.n)).alias("block"))
-        if self.n > 1:
-            self.parts = cut(self.parts)
+def distinct_items(items: DataFrame) -> DataFrame:
+    """(item_id string, text binary) of the items with a text, each once."""
+    held = items.where("text is not null").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").distinct()
+    return held.select("item_id", F.col("text").cast("binary").alias("text"))
 
-    def __len__(self) -> int:
-        return self.n
 
-    def __iter__(self) -> Iterator[list[tuple[str, bytes]]]:
-        for b in range(self.n):
-            yield sorted((r["item_id"], bytes(r["text"])) for r in self.parts.where(F.col("block") == b).collect())
+def _small(items: DataFrame, block_bytes: int) -> list[tuple[str, bytes]] | None:
+    """Distinct items for a broadcast; None if their texts are over block_bytes."""
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return sorted((r["item_id"], bytes(r["text"])) for r in items.collect()) if total <= block_bytes else None
 
 
 def _digest() -> Column:
     return F.md5(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _find(docs: DataFrame, blocks: Blocks, width: int) -> DataFrame:
-    digest = F.lit("") if len(blocks) == 1 else _digest()
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), digest.alias("_digest"))
-    found = None
-    for block in blocks:
-        one = _find_block(rows, block, width)
-        found = one if found is None else found.unionByName(one)
-    if len(blocks) == 1:
-        return found
-    # rows equal in id and text find the same: merged over the blocks, then dealt out again
-    merged = cut(found.groupBy("doc_id", "_digest", "n_words").agg(
-        F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-        (F.count("*") / len(blocks)).cast("long").alias("_n")))
-    return with_copies(merged, "_n", "_copy").drop("_copy", "_n")
+def _rows(docs: DataFrame, digest: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), digest.alias("_digest"))
 
 
 def find(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row per document: doc_id, n_words, spans of hit words, items (ids of items with occurring windows)."""
-    return _find(docs, Blocks(items, block_bytes), width).drop("_digest")
+    items = distinct_items(items)
+    small = _small(items, block_bytes)
+    if small is None:
+        return decontam_join.find(_rows(docs, _digest()), items, width).drop("_digest")
+    return _find_by_broadcast(_rows(docs, F.lit("")), small, width).drop("_digest")
 
 
 def judged(found: DataFrame) -> DataFrame:
@@ -203,15 +180,17 @@ def decontamination_report(docs: DataFrame, items: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that are not contaminated, all columns as they are.
 
-    With one block of items rows are dropped where they stand, without a shuffle; with more they are
+    Where the items travel by broadcast rows are dropped where they stand, without a shuffle; else they are
     dropped by doc_id and text digest.
     """
-    blocks = Blocks(items, block_bytes)
-    if len(blocks) > 1:
-        bad = judged(_find(docs, blocks, width)).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("_digest").alias("_bad")).distinct()
+    items = distinct_items(items)
+    small = _small(items, block_bytes)
+    if small is None:
+        found = decontam_join.find(_rows(docs, _digest()), items, width, with_items=False)
+        bad = judged(found).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("_digest").alias("_bad")).distinct()
         rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"), _digest().alias("_text"))
         return rows.join(bad, F.col("_id").eqNullSafe(F.col("_bad_id")) & (F.col("_text") == F.col("_bad")), "left_anti").select("_row.*")
-    held = _index_source(docs.select(F.col("text").cast("binary")), next(iter(blocks)))
+    held = _index_source(docs.select(F.col("text").cast("binary")), small)
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
