@@ -9,8 +9,9 @@ Whatever the size of the benchmark, the documents are scanned twice: once for ho
   document is a candidate where both hold it, the prefix word stands at its offset and the window ends inside the text. Beyond the
   bound the sets let more places through, and lose none.
 * Verification: candidates meet windows on prefix word, offset, length and window, and word by word. A window that more than ``HOT``
-  candidates ask for is dealt out over as many parts, candidates by their document and place.
-* Only what was found is brought together: spans by document, then items by document and distinct window.
+  candidates ask for is dealt out over parts, candidates by their document and place.
+* Only what was found is brought together: spans by document, then items by document and distinct set of items. A document's list
+  of items is as long as what it holds; nothing is cut from it.
 
 Defined results are those of ``decontam``.
 """
@@ -185,17 +186,22 @@ def scan(docs: DataFrame, lengths: list[int], prefixes: tuple[np.ndarray, int],
         look, "doc_id long, _digest string, n_words long, candidates array<struct<prefix:long,window:long,start:int,end:int,words:binary>>")
 
 
-def _confirmed(places: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The candidates that are windows, word by word, with the part of their window; and the parts of hot windows."""
-    hot = by_broadcast_if_small(places.groupBy("window").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).selectExpr("window", f"_n div {HOT} + 1 AS _parts"))
-    dealt = places.join(hot, "window", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "_digest", "start"), F.coalesce("_parts", F.lit(1)))).drop("_parts")
-    keys = ["prefix", "window", "words", "part"]
-    return dealt.join(in_parts(known.select("prefix", "window", "words").distinct(), hot), keys), hot
+def dealt(rows: DataFrame, known: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Rows joined with the known ones on keys. Keys that more than HOT rows ask for are dealt out over parts, rows by the columns
+    ``by``, the known ones to each part."""
+    hot = by_broadcast_if_small(rows.groupBy(keys[0]).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).selectExpr(keys[0], f"_n div {HOT} + 1 AS _parts"))
+    rows = rows.join(hot, keys[0], "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    known = known.join(hot, keys[0], "left").withColumn("_part", F.explode(F.expr("sequence(0L, coalesce(_parts, 1L) - 1)"))).drop("_parts")
+    return rows.join(known, [*keys, "_part"]).drop("_part")
 
 
-def in_parts(known: DataFrame, hot: DataFrame) -> DataFrame:
-    """Each window once for each part its candidates are dealt to."""
-    return known.join(hot, "window", "left").withColumn("part", F.explode(F.expr("sequence(0L, coalesce(_parts, 1L) - 1)"))).drop("_parts")
+def item_sets(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(prefix, window, words, set_id) and (set_id, item_id): windows of the same items, as those of a passage that many items share,
+    have one set, told by its size and two sums of hashes, and listed once."""
+    summed = lambda salt: F.hex(F.bit_xor(F.xxhash64(F.lit(salt), "item_id")))
+    sets = cut(known.groupBy("prefix", "window", "words").agg(F.concat_ws(":", F.count("*").cast("string"), summed(1), summed(2)).alias("set_id")))
+    one = sets.groupBy("set_id").agg(F.min(F.struct("prefix", "window", "words")).alias("w")).select("set_id", "w.*")
+    return sets, one.join(known.select("prefix", "window", "words", "item_id"), ["prefix", "window", "words"]).select("set_id", "item_id")
 
 
 def _spans(confirmed: DataFrame) -> DataFrame:
@@ -219,14 +225,13 @@ def find(docs: DataFrame, items: DataFrame, width: int, with_items: bool = True)
     # rows equal in id and text have equal candidates; they are looked at once and dealt out again at the end
     once = rows.where("size(candidates) > 0").groupBy("doc_id", "_digest").agg(F.first("candidates").alias("candidates"))
     places = cut(once.select("doc_id", "_digest", F.explode("candidates").alias("c")).select("doc_id", "_digest", "c.*"))
-    confirmed, hot = _confirmed(places, known)
-    confirmed = cut(confirmed)
+    sets, members = item_sets(known)
+    confirmed = cut(dealt(places, sets, ["window", "prefix", "words"], ["doc_id", "_digest", "start"]).select("doc_id", "_digest", "start", "end", "set_id"))
     out = rows.groupBy("doc_id", "_digest", "n_words").agg(F.count("*").alias("_n"))
     found = _spans(confirmed)
     none = F.array().cast("array<string>")
     if with_items:
-        holds = confirmed.select("doc_id", "_digest", "prefix", "window", "words", "part").distinct()
-        holds = holds.join(in_parts(known.drop("length"), hot), ["prefix", "window", "words", "part"])
+        holds = dealt(cut(confirmed.select("doc_id", "_digest", "set_id").distinct()), members, ["set_id"], ["doc_id", "_digest"])
         own = holds.groupBy("doc_id", "_digest").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
         found = found.alias("a").join(own.alias("b"), same).select("a.*", "items")
     else:
