@@ -5,7 +5,7 @@ Whatever the size of the benchmark, the documents are scanned twice: once for ho
 * Rarity: in how many documents a word occurs, in a table of ``SLOTS`` counters by the word's hash. Words that share a counter look
   more common than they are, which costs candidates and loses none: any order of words is a right one.
 * Windows: each with its rarest word, the necessary prefix, and that word's offset.
-* Candidates: two bit sets of bounded size, one of (prefix word, offset, length), one of windows, travel by broadcast. A place of a
+* Candidates: two bit sets of bounded size, one of (prefix word, offset, length), one of windows alone and with their prefix, travel by broadcast. A place of a
   document is a candidate where both hold it, the prefix word stands at its offset and the window ends inside the text. Beyond the
   bound the sets let more places through, and lose none.
 * Verification: candidates meet windows on prefix word, offset, length and window, and word by word. A window that more than ``HOT``
@@ -57,6 +57,11 @@ def prefix_keys(word: np.ndarray, offset: np.ndarray, length: int) -> np.ndarray
     return mixed(word + (offset.astype(np.uint64) * np.uint64(1 << 16) + np.uint64(length)) * _STEP)
 
 
+def pair_keys(prefix: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """One number for a window told by its prefix."""
+    return mixed(prefix ^ (window * _STEP))
+
+
 def window_keys(word: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """For each length in order, a number for every window of so many words."""
     power, total = np.ones(1, np.uint64), np.zeros(len(word), np.uint64)
@@ -117,7 +122,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def windows(items: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
-    """(prefix, window, length, words, item_id): every window of the items, once an item. items: item_id string, text binary."""
+    """(prefix, window, pair, length, words, item_id): every window of the items, once an item. items: item_id string, text binary."""
     held = items.sparkSession.sparkContext.broadcast(counts)
 
     def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,15 +137,17 @@ def windows(items: DataFrame, counts: np.ndarray, width: int) -> DataFrame:
                 ranks = np.fromiter((rank[w] for w in words), np.int64, len(words))
                 offset = np.lib.stride_tricks.sliding_window_view(ranks, n).argmin(axis=1)
                 prefix = prefix_keys(word[np.arange(len(offset)) + offset], offset, n).view(np.int64)
-                window = next(window_keys(word, [n]))[1].view(np.int64)
+                window = next(window_keys(word, [n]))[1]
+                pair = pair_keys(prefix.view(np.uint64), window).view(np.int64)
+                window = window.view(np.int64)
                 for i in range(0, len(offset), 4096):
                     some = range(i, min(i + 4096, len(offset)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(prefix[i:i + 4096]), pa.array(window[i:i + 4096]), pa.array([n] * len(some), pa.int32()),
+                        [pa.array(prefix[i:i + 4096]), pa.array(window[i:i + 4096]), pa.array(pair[i:i + 4096]), pa.array([n] * len(some), pa.int32()),
                          pa.array([b" ".join(words[s:s + n]) for s in some], pa.binary()), pa.array([item_id] * len(some), pa.string())],
-                        ["prefix", "window", "length", "words", "item_id"])
+                        ["prefix", "window", "pair", "length", "words", "item_id"])
 
-    return items.select("item_id", "text").mapInArrow(slide, "prefix long, window long, length int, words binary, item_id string").distinct()
+    return items.select("item_id", "text").mapInArrow(slide, "prefix long, window long, pair long, length int, words binary, item_id string").distinct()
 
 
 def candidates(texts: list[list[bytes]], lengths: list[int], prefixes: Sieve, held: Sieve) -> list[list[dict]]:
@@ -156,7 +163,8 @@ def candidates(texts: list[list[bytes]], lengths: list[int], prefixes: Sieve, he
         at = np.flatnonzero(held.holds(keys) & (np.arange(len(keys)) + n <= end[:len(keys)]))
         for o in range(n):
             prefix = prefix_keys(word[at + o], np.full(len(at), o), n)
-            for k in np.flatnonzero(prefixes.holds(prefix)):
+            # common words are prefixes at many offsets; the window's own is the one it is held with
+            for k in np.flatnonzero(prefixes.holds(prefix) & held.holds(pair_keys(prefix, keys[at]))):
                 s, d = int(at[k]), int(doc[at[k]])
                 first = s - int(begin[d])
                 out[d].append({"prefix": int(prefix[k].view(np.int64)), "window": int(keys[s].view(np.int64)), "start": first, "end": first + n,
@@ -220,7 +228,8 @@ def find(docs: DataFrame, items: DataFrame, width: int, with_items: bool = True)
     ship_package(docs.sparkSession)
     known = cut(windows(items, rarity(docs), width))
     lengths = sorted(r["length"] for r in known.select("length").distinct().collect())  # at most ``width`` of them
-    rows = cut(scan(docs, lengths, sieve(known, "prefix"), sieve(known, "window")))
+    held = known.select(F.explode(F.array("window", "pair")).alias("key"))
+    rows = cut(scan(docs, lengths, sieve(known, "prefix"), sieve(held, "key")))
     same = [F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), F.col("a._digest") == F.col("b._digest")]
     # rows equal in id and text have equal candidates; they are looked at once and dealt out again at the end
     once = rows.where("size(candidates) > 0").groupBy("doc_id", "_digest").agg(F.first("candidates").alias("candidates"))
