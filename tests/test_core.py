@@ -53,6 +53,14 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert got == want
 
 
+def test_clamp_notes_hold_every_month(spark, sf_dir):
+    """Months without orders, those after August 2001, have a note too; the months together count every order."""
+    rows = {r["month"]: r for r in queries.QUERIES["clamp_notes"](spark, sf_dir).collect()}
+    assert sorted(rows) == [date(y, m, 1) for y in range(1995, 2002) for m in range(1, 13)]
+    assert rows[date(2001, 12, 1)].asDict() == {"month": date(2001, 12, 1), "n": 21, "note": "clamped: December 2001 has only 21 business days", "n_rows": 0}
+    assert sum(r["n_rows"] for r in rows.values()) == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
 def test_entry(spark):
     rows = {r["source_id"]: r for r in __spark_entry__.entry(spark).collect()}
     assert {k: r["status"] for k, r in rows.items()} == {"click": "NOT_DUE", "error": "ON_TIME", "purchase": "OVERDUE", "signup": "OVERDUE", "view": "NO_DATA"}

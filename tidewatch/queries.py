@@ -686,15 +686,16 @@ def closed_days_between(spark, sf_dir):
     return with_rows(spark, sf_dir, trace.closed_days_between(found.withColumn("calendar_id", F.lit("default")), days).select("to_date", "date", "reason"), "date")
 
 
-@query("""WITH m AS (SELECT date_trunc('month', d) AS month, count(*) AS n FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6 GROUP BY 1)
-SELECT CAST(month AS DATE) AS month, n, 'clamped: ' || strftime(month, '%B %Y') || ' has only ' || n || ' business days' AS note
-FROM m WHERE month IN (SELECT date_trunc('month', o_orderdate) FROM orders)""")
+@query("""WITH m AS (SELECT date_trunc('month', d) AS month, count(*) AS n FROM generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-12-31', INTERVAL 1 DAY) t(d) WHERE isodow(d) < 6 GROUP BY 1),
+h AS (SELECT date_trunc('month', o_orderdate) AS month, count(*) AS n_rows FROM orders GROUP BY 1)
+SELECT CAST(m.month AS DATE) AS month, n, 'clamped: ' || strftime(m.month, '%B %Y') || ' has only ' || n || ' business days' AS note, coalesce(n_rows, 0) AS n_rows
+FROM m LEFT JOIN h ON h.month = m.month""")
 def clamp_notes(spark, sf_dir):
-    """The months that have orders."""
+    """Every month of the calendar, with the number of orders it has (none: 0)."""
     _, days = calendars(spark, date(1995, 1, 1), date(2001, 12, 31))
-    asked = table(spark, sf_dir, "orders").select(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month"))
-    months = trace.business_days_per_month(days).join(asked, "month", "left_semi")
-    return months.select("month", "n", trace.clamp_text(F.col("month"), F.col("n")).alias("note"))
+    held = table(spark, sf_dir, "orders").groupBy(F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month")).agg(F.count("*").alias("n_rows"))
+    months = trace.business_days_per_month(days).join(held, "month", "left")
+    return months.select("month", "n", trace.clamp_text(F.col("month"), F.col("n")).alias("note"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
 
 
 @query("""WITH o AS (SELECT o_orderpriority AS p, max(o_orderdate) FILTER (o_orderdate < TIMESTAMP '1999-03-09') AS late, max(o_orderdate) FILTER (o_orderdate < TIMESTAMP '1998-12-02') AS early FROM orders GROUP BY 1),
