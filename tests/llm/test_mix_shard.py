@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import common, mix, shard
+from tidewatch.llm import common, mix, queries, shard
 
 
 def words(text):
@@ -95,6 +95,27 @@ def test_shard_plan(spark, sf_dir):
     assert order != sorted(order)
 
 
+def by_place(rows):
+    return {(r["shard"], r["slot"]): (r["doc_id"], len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in rows}
+
+
+def test_plan_tells_of_the_texts_that_were_moved(spark, sf_dir, odd_docs):
+    """Each row of the query describes the whole row that the operator put there: texts are shuffled, not ids alone."""
+    want = by_place(shard.shard(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect())
+    plan = queries.op3_shard(spark, sf_dir)
+    assert {(r["shard"], r["slot"]): (r["doc_id"], r["size"], r["text_crc32"]) for r in plan.collect()} == want
+    odd = {(r["shard"], r["slot"]): (r["doc_id"], r["size"], r["text_crc32"]) for r in shard.shard_plan(odd_docs).collect()}
+    assert odd == by_place(shard.shard(odd_docs).collect()) and len(odd) == odd_docs.count()
+
+
+def test_buckets_of_null_texts_stay_small(spark):
+    """Rows without text count for their own bytes, so that many of them aren't one bucket."""
+    docs = spark.range(4000).selectExpr("id as doc_id", "cast(null as string) as text", "'a' as source")
+    rows = shard.shard(docs, bucket_bytes=8 * 1000).withColumn("part", F.spark_partition_id()).collect()
+    check_shards(rows, 24, 4000)
+    assert max(Counter(r["part"] for r in rows).values()) < 1000
+
+
 def test_shard_odd(odd_docs, no_docs):
     check_shards(shard.shard_plan(odd_docs).collect(), 24, odd_docs.count())
     assert shard.shard_plan(no_docs).collect() == []

@@ -10,7 +10,7 @@ repartition and ordered within partitions and their rows are sorted first, so re
 
 Defined results
 * null text: no bytes (size 8, crc32 of nothing); null doc_id: hashed as null;
-* rows equal in every used column are numbered first, by ``shard_plan`` and ``shard``, and so scatter as well;
+* rows equal in every column are numbered first, and so scatter as well;
 * maps, those inside of structs, arrays and maps too, are carried as sorted entries and given back as maps;
 * empty table: empty result; columns of any name are carried in one struct, so no name clashes.
 """
@@ -28,6 +28,8 @@ from tidewatch.llm.common import BROADCAST_KEYS, cut, with_copies
 #: Cells of the hash space from which buckets are made: whole neighbouring cells, so the number of
 #: buckets can follow the bytes counted without hashing twice.
 CELLS = 1 << 20
+#: Bytes a row counts for in a bucket beside its text, so that a bucket of very many short or null texts fits in memory too.
+ROW_BYTES = 64
 
 
 def _shuffled(rows: DataFrame, cells: DataFrame, n_shards: int, bucket_bytes: int, seed: int) -> DataFrame:
@@ -60,21 +62,6 @@ def byte_size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
 
 
-def shard_plan(docs: DataFrame, n_shards: int = 24, bucket_bytes: int = 16 << 20, seed: int = 23) -> DataFrame:
-    """A row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
-    slim = docs.select("doc_id", byte_size(F.col("text")).alias("size"),
-                       F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
-    # equal rows are counted, then numbered, so that a large group of them scatters like any others
-    slim = cut(slim.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("n")))
-    slim = with_copies(slim, "n", "copy")
-    slim = cut(slim.select(F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "copy"), F.lit(CELLS)).alias("_cell"),
-                           F.struct("doc_id", "size", "text_crc32").alias("_row")))
-    cells = slim.groupBy("_cell").agg(F.count("*").alias("n"), F.sum(F.lit(64)).alias("bytes"))
-    out = _shuffled(slim, cells, n_shards, bucket_bytes, seed)
-    return out.select("_row.doc_id", "_row.size", "_row.text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-                      F.lit(None).cast("int").alias("grown_shard"))
-
-
 def _has_map(kind: T.DataType) -> bool:
     return (isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
             or isinstance(kind, T.StructType) and any(_has_map(f.dataType) for f in kind.fields))
@@ -123,11 +110,19 @@ def shard(docs: DataFrame, n_shards: int = 24, bucket_bytes: int = 16 << 20, see
     numbered = numbered if once is None else once.unionByName(numbered)
     scattered = numbered.select(F.pmod(F.xxhash64(F.lit(seed), "_row", "_copy"), F.lit(CELLS)).alias("_cell"), "_row")
     cells = (scattered.select("_cell", byte_size(F.col("_row").getField("text")).alias("size")).groupBy("_cell")
-             .agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
+             .agg(F.count("*").alias("n"), F.sum(F.col("size") + ROW_BYTES).alias("bytes")))
     out = _shuffled(scattered, cells, n_shards, bucket_bytes, seed)
     return out.select(*[_maps(F.col("_row").getField(c), kinds[c]).alias(c) for c in keep], "shard", "slot")
 
 
+def shard_plan(docs: DataFrame, n_shards: int = 24, **options) -> DataFrame:
+    """A row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law). Size and checksum
+    are those of the text that ``shard`` brought to that place."""
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
+    return shard(docs, n_shards, **options).select("doc_id", byte_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                                                   F.lit(None).cast("int").alias("grown_shard"))
+
+
 def write_shards(docs: DataFrame, path: str, n_shards: int = 24, **options) -> None:
     """Pass two writes what it shuffled: each shard is a folder shard=K of Parquet files, a file for each bucket that
     reaches into it, rows in slot order. A bucket's rows are neighbours, so it has rows of a shard or a few."""
